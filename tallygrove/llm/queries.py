@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing
+from . import chat, decontaminate, packing, simhash, urlfilter, warc
 
 _MODULES = {
     "op2_winnowing_decontamination": decontaminate,
     "op4_hierarchical_packing": packing,
+    "op5_simhash_pivots": simhash,
+    "op6_content_addressed_warc": warc,
+    "op7_url_rules": urlfilter,
+    "op10_prefix_target_chat": chat,
 }
 
 
