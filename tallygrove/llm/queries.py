@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, simhash, urlfilter, warc
+from . import chat, decontaminate, langid, ngram, packing, simhash, urlfilter, warc
 
 _MODULES = {
+    "op1_elias_fano_lm": ngram,
     "op2_winnowing_decontamination": decontaminate,
     "op4_hierarchical_packing": packing,
     "op5_simhash_pivots": simhash,
     "op6_content_addressed_warc": warc,
     "op7_url_rules": urlfilter,
+    "op8_bigru_language": langid,
     "op10_prefix_target_chat": chat,
 }
 
