@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, ngram, packing, simhash, urlfilter, warc
+from . import chat, decontaminate, langid, ngram, packing, simhash, suffix, urlfilter, warc
 
 _MODULES = {
     "op1_elias_fano_lm": ngram,
     "op2_winnowing_decontamination": decontaminate,
+    "op3_prefix_free_suffix": suffix,
     "op4_hierarchical_packing": packing,
     "op5_simhash_pivots": simhash,
     "op6_content_addressed_warc": warc,
