@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, ngram, packing, simhash, suffix, urlfilter, warc
+from . import chat, decontaminate, iblt, langid, ngram, packing, simhash, suffix, urlfilter, warc
 
 _MODULES = {
     "op1_elias_fano_lm": ngram,
@@ -13,6 +13,7 @@ _MODULES = {
     "op6_content_addressed_warc": warc,
     "op7_url_rules": urlfilter,
     "op8_bigru_language": langid,
+    "op9_invertible_bloom": iblt,
     "op10_prefix_target_chat": chat,
 }
 

@@ -36,9 +36,11 @@ import hashlib
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .eliasfano import EliasFano, pack, unpack
 from .shared import RangeHash, map_file, mix, pieces, put_file, runs, table, work_folder
@@ -408,8 +410,12 @@ def _removed(batches, length: int, phrases: Counts, strings: Counts, ordered: Co
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """rid (the input row of this call), doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """The columns but the text, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+
+    ``id_col`` comes out as doc_id; other columns under their own names with ``row_`` before.
+    """
+    others = [c for c in docs.columns if c not in (text_col, id_col)]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(f"`{c}`").alias(f"row_{i}") for i, c in enumerate(others)], F.col(text_col).cast("string").alias("text"))
     texts = rows.select("text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
@@ -419,11 +425,30 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     open_ = texts.mapInArrow(partial(_unsettled, length=length, shards=shards, phrases=phrases, strings=strings, hot=hot), blocks)
     compared = open_.groupBy("shard").applyInArrow(lambda group: _compare(group, length, shards), blocks)
     ordered = counted(compared, shards, "suffix-ordered", least=1)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(
-        partial(_removed, length=length, phrases=phrases, strings=strings, ordered=ordered, hot=hot),
-        f"rid long, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
-    )
+    schema = T.StructType([f for f in rows.schema if f.name != "text"])
+    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType())):
+        schema = schema.add(name, kind)
+    found = rows.mapInArrow(partial(_removed, length=length, phrases=phrases, strings=strings, ordered=ordered, hot=hot), schema)
+    return found.select("doc_id", *[F.col(f"row_{i}").alias(f"row_{c}") for i, c in enumerate(others)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+@F.pandas_udf("string")
+def _text(kept: pd.Series) -> pd.Series:
+    """Characters of which bytes are missing go whole."""
+    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+
+def clean(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
+    """The rows of ``docs`` without repeated strings; rows that lose all their text go, rows that had none stay.
+
+    ``n_chars``, where it is a column, is counted anew for rows that lost text.
+    """
+    found = remove_repeats(docs, text_col, id_col, length)
+    out = found.withColumn("text", _text("kept")).filter((F.col("n_removed") == 0) | (F.col("text") != ""))
+    own = {text_col: F.col("text"), id_col: F.col("doc_id")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row_n_chars"))
+    return out.select(*[own.get(c, F.col(f"`row_{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
