@@ -36,7 +36,6 @@ import hashlib
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -377,7 +376,7 @@ def _compare(group: pa.Table, length: int, shards: int):
 # ---- the operator -------------------------------------------------------------------------
 
 
-def _removed(batches, length: int, phrases: Counts, strings: Counts, ordered: Counts, hot: int):
+def _removed(batches, length: int, phrases: Counts, strings: Counts, ordered: Counts, hot: int, as_text: bool):
     for rows, data, offsets in pieces(batches, "text"):
         parse = Parse(data, offsets, length)
         count = phrases.of(parse.key)
@@ -403,16 +402,18 @@ def _removed(batches, length: int, phrases: Counts, strings: Counts, ordered: Co
             [
                 *[c for c, f in zip(rows.columns, rows.schema) if f.name != "text"],
                 pa.array(np.diff(offsets)), pa.array(np.diff(lost)), pa.array(np.diff(before).astype(np.int64)),
-                pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
             ],
             [*[f.name for f in rows.schema if f.name != "text"], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES, as_text: bool = False) -> DataFrame:
     """The columns but the text, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
-    ``id_col`` comes out as doc_id; other columns under their own names with ``row_`` before.
+    ``id_col`` comes out as doc_id; other columns under their own names with
+    ``row_`` before.  With ``as_text``, kept is text: characters of which bytes
+    are missing go whole.
     """
     others = [c for c in docs.columns if c not in (text_col, id_col)]
     rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(f"`{c}`").alias(f"row_{i}") for i, c in enumerate(others)], F.col(text_col).cast("string").alias("text"))
@@ -426,25 +427,19 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     compared = open_.groupBy("shard").applyInArrow(lambda group: _compare(group, length, shards), blocks)
     ordered = counted(compared, shards, "suffix-ordered", least=1)
     schema = T.StructType([f for f in rows.schema if f.name != "text"])
-    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType())):
+    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType() if as_text else T.BinaryType())):
         schema = schema.add(name, kind)
-    found = rows.mapInArrow(partial(_removed, length=length, phrases=phrases, strings=strings, ordered=ordered, hot=hot), schema)
+    found = rows.mapInArrow(partial(_removed, length=length, phrases=phrases, strings=strings, ordered=ordered, hot=hot, as_text=as_text), schema)
     return found.select("doc_id", *[F.col(f"row_{i}").alias(f"row_{c}") for i, c in enumerate(others)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
-@F.pandas_udf("string")
-def _text(kept: pd.Series) -> pd.Series:
-    """Characters of which bytes are missing go whole."""
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
 def clean(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """The rows of ``docs`` without repeated strings; rows that lose all their text go, rows that had none stay.
 
     ``n_chars``, where it is a column, is counted anew for rows that lost text.
     """
-    found = remove_repeats(docs, text_col, id_col, length)
-    out = found.withColumn("text", _text("kept")).filter((F.col("n_removed") == 0) | (F.col("text") != ""))
+    found = remove_repeats(docs, text_col, id_col, length, as_text=True)
+    out = found.withColumnRenamed("kept", "text").filter((F.col("n_removed") == 0) | (F.col("text") != ""))
     own = {text_col: F.col("text"), id_col: F.col("doc_id")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row_n_chars"))
