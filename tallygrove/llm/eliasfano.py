@@ -41,17 +41,20 @@ def unpack(block: np.ndarray) -> tuple[dict[str, np.ndarray], dict]:
     return arrays, head["values"]
 
 
+_L8, _H8 = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of the k-th one in each byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for byte in range(256) for k in range(8)], np.uint8)
+
+
 def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th one (from 0) in each word."""
-    at = np.zeros(len(words), np.uint64)
+    """Place of the k-th one (from 0) in each word: byte sums by multiplication, then a table."""
     k = k.astype(np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = (words >> at) & _U((1 << width) - 1)
-        ones = np.bitwise_count(low).astype(np.uint64)
-        right = k >= ones
-        k = np.where(right, k - ones, k)
-        at = np.where(right, at + _U(width), at)
-    return at
+    sums = words - ((words >> _ONE) & _U(0x5555555555555555))
+    sums = (sums & _U(0x3333333333333333)) + ((sums >> _U(2)) & _U(0x3333333333333333))
+    sums = ((sums + (sums >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _L8
+    byte = np.bitwise_count((k * _L8 | _H8) - sums & _H8).astype(np.uint64) << _U(3)
+    k -= (sums << _U(8)) >> byte & _U(0xFF)
+    return byte + _IN_BYTE[((words >> byte & _U(0xFF)) << _U(3)) + (k & _U(7))]
 
 
 class EliasFano:
@@ -70,7 +73,7 @@ class EliasFano:
         size = n + (int(high[-1]) if n else 0) + 2
         words = -(-size // 64)
         at = high + np.arange(n)
-        upper = np.zeros(words, np.uint64)
+        upper = np.zeros(words + 1, np.uint64)  # one more, so that 64 bits can be read from any place
         np.bitwise_or.at(upper, at >> 6, _ONE << (at & 63).astype(np.uint64))
         ones = np.bitwise_count(upper).astype(np.uint64)
         rank = np.concatenate([[0], np.cumsum(ones)[:-1]]).astype(np.uint32)
@@ -101,13 +104,23 @@ class EliasFano:
         at = word * 64 + _select(self.upper[word], i - self.rank[word]).astype(np.int64)
         return ((at - i).astype(np.uint64) << _U(self.bits)) | self.low(i)
 
-    def _below(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a high part of at most ``high`` (which occurs or is below one that does)."""
-        word = np.searchsorted(self._zeros, high, "right") - 1
-        return word * 64 + _select(~self.upper[word], high - self._zeros[word]).astype(np.int64) - high
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero of the unary part."""
+        word = np.searchsorted(self._zeros, k, "right") - 1
+        return word * 64 + _select(~self.upper[word], k - self._zeros[word]).astype(np.int64)
+
+    def _run(self, at: np.ndarray) -> np.ndarray:
+        """Ones from each place of the unary part on, 64 at most."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        bits = self.upper[word] >> shift
+        bits |= np.where(shift > 0, self.upper[np.minimum(word + 1, len(self.upper) - 1)] << (_U(64) - np.maximum(shift, _ONE)), _U(0))
+        return np.bitwise_count((~bits & (bits + _ONE)) - _ONE).astype(np.int64)
 
     def successor(self, x: np.ndarray, start: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Of each x the place of the first value not below it within [start, end), and whether it is x."""
+        """Of each x the place of the first value not below it within [start, end), and whether it is x.
+
+        Quickest for sorted keys, whose reads are near one another.
+        """
         x = np.asarray(x, np.uint64)
         end = np.broadcast_to(self.n if end is None else end, x.shape).astype(np.int64)
         start = np.broadcast_to(start, x.shape).astype(np.int64)
@@ -117,8 +130,12 @@ class EliasFano:
         high = (x >> _U(self.bits)).astype(np.int64)
         beyond = high > highest
         high = np.minimum(high, highest)
-        to = self._below(high)
-        at = np.where(high > 0, self._below(np.maximum(high - 1, 0)), 0)
+        bucket = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1, 0)
+        at = bucket - high
+        size = self._run(np.minimum(bucket, len(self.upper) * 64 - 1))
+        if (long := np.flatnonzero(size >= 64)).size:
+            size[long] = self._zero(high[long]) - bucket[long]
+        to = at + size
         at, to = np.maximum(at, start), np.minimum(to, end)
         at[beyond] = end[beyond]
         to[beyond] = end[beyond]

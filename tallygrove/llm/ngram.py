@@ -29,12 +29,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano, pack, unpack
-from .shared import lower_ascii, map_file, mix, pieces, put_file, settle, table, work_folder
+from .shared import RangeHash, lower_ascii, map_file, mix, pieces, put_file, settle, table, texts_of, work_folder
 
 ORDER = 2
 PRIOR = 64.0
@@ -61,9 +60,9 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray
 
 
 def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    one, two = xxhash.xxh64_intdigest, xxhash.xxh32_intdigest
-    raw = words.cast(pa.large_binary()).to_pylist()
-    return np.array([one(w, 42) for w in raw], np.uint64), np.array([two(w) for w in raw], np.uint32)
+    """Two independent 64-bit hashes of each word."""
+    data, offsets = texts_of(words)
+    return RangeHash(data).of(offsets[:-1], offsets[1:]), RangeHash(data, 1).of(offsets[:-1], offsets[1:])
 
 
 def _count_words(batches):
@@ -91,13 +90,19 @@ def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return (((key >> _U(32)) * _U(shards)) >> _U(32)).astype(np.int64)
 
 
+def _dealt_words(batches, shards: int):
+    for batch in batches:
+        key, second = _hashes(batch.column("word"))
+        yield pa.RecordBatch.from_arrays([pa.array(_shard_of(key, shards).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(second.view(np.int64)), batch.column("n")], ["shard", "key", "second", "n"])
+
+
 def _build_vocabulary(group: pa.Table, folder: str) -> pa.Table:
-    key, second = _hashes(group.column("word").combine_chunks())
-    order = np.argsort(key, kind="stable")
+    key, second = (group.column(c).to_numpy().view(np.uint64) for c in ("key", "second"))
+    order = np.lexsort((second, key))
     keys, a = EliasFano.encode(key[order], "keys")
     sums, b = EliasFano.encode(np.cumsum(group.column("n").to_numpy()[order]).astype(np.uint64), "sums")
     shard = group.column("shard")[0].as_py()
-    put_file(f"{folder}/1-{shard}", pack(keys | sums | {"second": second[order]}, **a, **b))
+    put_file(f"{folder}/1-{shard}", pack(keys | sums | {"second": second[order].astype(np.uint32)}, **a, **b))
     return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(key)], pa.int64())})
 
 
@@ -138,6 +143,8 @@ class Trie:
     def vocabulary(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of each word its id, or -1, and its count."""
         key, second = _hashes(words)
+        order = np.argsort(key)
+        key, second = key[order], second[order].astype(np.uint32)
         ids, counts = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
         for i, rows in self._by_shard(_shard_of(key, len(self.base[0]) - 1), 1):
             arrays, ef, _ = self.shard(1, i)
@@ -155,7 +162,9 @@ class Trie:
             rows, at = rows[found], at[found]
             ids[rows] = at + self.base[0][i]
             counts[rows] = self._count(ef["sums"], at)
-        return ids, counts
+        out = np.empty_like(ids), np.empty_like(counts)
+        out[0][order], out[1][order] = ids, counts
+        return out
 
     @staticmethod
     def _count(sums: EliasFano, at: np.ndarray) -> np.ndarray:
@@ -172,22 +181,36 @@ class Trie:
         return out
 
     def children(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each (context, word): place in the level, or -1; smoothed probability, or 0; count."""
-        node, share, count = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.zeros(len(word), np.int64)
+        """Of each (context, word): place in the level, or -1; smoothed probability, or 0; count.
+
+        Equal pairs are looked up once, in order; so is a context in a shard.
+        """
         known = np.flatnonzero((context >= 0) & (word >= 0))
-        for i, rows in self._by_shard(_gram_shard(context[known], word[known], len(self.base[level - 1]) - 1), level):
-            rows = known[rows]
+        pairs, which = np.unique(context[known].astype(np.uint64) * _U(self.words) + word[known].astype(np.uint64), return_inverse=True)
+        contexts, words = pairs // _U(self.words), pairs % _U(self.words)
+        node, share, count = np.full(len(pairs), -1, np.int64), np.zeros(len(pairs)), np.zeros(len(pairs), np.int64)
+        for i, rows in self._by_shard(_gram_shard(contexts, words, len(self.base[level - 1]) - 1), level):
             arrays, ef, values = self.shard(level, i)
-            place, found = ef["contexts"].successor(context[rows].astype(np.uint64))
-            rows, place = rows[found], place[found]
-            start, end = ef["pointers"].get(place).astype(np.int64), ef["pointers"].get(place + 1).astype(np.int64)
-            at, found = ef["keys"].successor(place.astype(np.uint64) * _U(self.words) + word[rows].astype(np.uint64), start, end)
+            own = contexts[rows]
+            head = np.concatenate([[True], own[1:] != own[:-1]])
+            group = np.cumsum(head) - 1
+            place, found = ef["contexts"].successor(own[head])
+            start = np.zeros(len(place), np.int64)
+            end = np.zeros(len(place), np.int64)
+            start[found] = ef["pointers"].get(place[found])
+            end[found] = ef["pointers"].get(place[found] + 1)
+            real = found[group]
+            rows, group = rows[real], group[real]
+            at, found = ef["keys"].successor(place[group].astype(np.uint64) * _U(self.words) + words[rows], start[group], end[group])
             rows, at = rows[found], at[found]
             node[rows] = at + self.base[level - 1][i]
             share[rows] = 10.0 ** (values["least"] + values["step"] * arrays["quanta"][at])
             if level < self.order:
                 count[rows] = self._count(ef["sums"], at)
-        return node, share, count
+        out = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.zeros(len(word), np.int64)
+        for whole, part in zip(out, (node, share, count)):
+            whole[known] = part[which]
+        return out
 
 
 def _gram_shard(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
@@ -281,8 +304,8 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, prior: floa
     tokens, size, documents = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0))).first()
     trie = Trie(work_folder(spark, "ngram-trie"), int(tokens), int(size), int(documents), prior)
     shards = max(1, -(-trie.words // VOCABULARY_SHARD))
-    shard = F.shiftrightunsigned(F.shiftrightunsigned(F.xxhash64("word"), 32) * shards, 32).cast("int")
-    built = words.withColumn("shard", shard).groupBy("shard").applyInArrow(lambda group: _build_vocabulary(group, trie.folder), "shard int, n long")
+    dealt = words.mapInArrow(partial(_dealt_words, shards=shards), "shard int, key long, second long, n long")
+    built = dealt.groupBy("shard").applyInArrow(lambda group: _build_vocabulary(group, trie.folder), "shard int, n long")
     trie.add_level(dict(map(tuple, built.collect())), shards)  # one row per shard
     for level in range(2, order + 1):
         shards = max(1, -(-trie.tokens // TOKEN_SHARD))

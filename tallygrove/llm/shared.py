@@ -142,7 +142,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: A value for each byte, in two independent tables.
+_BYTE = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(odd)) for odd in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def powers(n: int) -> np.ndarray:
@@ -157,12 +158,12 @@ def powers(n: int) -> np.ndarray:
 class RangeHash:
     """64-bit hashes of any byte ranges of a buffer, equal for equal bytes wherever they stand."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, which: int = 0):
         n = len(data)
         self.top, self.power = n, powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         if n:
-            np.cumsum(_BYTE[data] * self.power[:n], out=self.sums[1:])
+            np.cumsum(_BYTE[which][data] * self.power[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         span = (self.sums[end] - self.sums[start]) * self.power[self.top - start]
