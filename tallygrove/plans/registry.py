@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import impact
+from . import impact, relations
 
-_PLANS = (impact,)
+_PLANS = (impact, relations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
