@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import impact, relations
+from . import impact, relations, texts
 
-_PLANS = (impact, relations)
+_PLANS = (impact, relations, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
