@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import impact, relations, texts
+from . import fronts, impact, relations, texts
 
-_PLANS = (impact, relations, texts)
+_PLANS = (impact, relations, texts, fronts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
