@@ -7,10 +7,10 @@ of them and of their check hashes.  Tables of two versions subtract cell by
 cell, so what both have vanishes, and peeling recovers the rest: a cell with
 one digest gives it up, it leaves its other cells, and so on.
 
-The fingerprint is the table of one block of cells.  If the difference of two
-fingerprints doesn't peel, the pair retries with a larger table: digests are
-dealt to enough blocks by their low bits; if a block fails, the pair is tried
-again with four times as many, until all are recovered.  Likeness is Dice's:
+The fingerprint is a table of three rows of eight cells.  If the difference of
+two fingerprints doesn't peel, the pair retries with a table that is wide
+enough for all its digests, and then with ever wider ones under other hashes,
+until all are recovered.  Likeness is Dice's:
 twice the shared digests over the sum of both counts.
 
 The next document in descending order of ids is found in range buckets of the
@@ -34,9 +34,9 @@ from .shared import settle, table
 
 ROWS = 3
 WIDTH = 8
-#: Digests that a block of ROWS * WIDTH cells gets on average, at most, in the first larger table.
-LOAD = 5
+#: Rounds of peeling a fingerprint, and sweeps over the rows of a wide table; what is left then is retried.
 ROUNDS = 6
+SWEEPS = 2
 #: Characters from which a line is cut at its next sentence end.
 LONG = 150
 
@@ -101,31 +101,38 @@ def peel(cells: Column) -> Column:
     return let(done, lambda s: F.struct(s["left"], s["right"], F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0)).alias("ok")))
 
 
-def difference(a: Column, b: Column, blocks: Column) -> Column:
-    """(left, right, ok) of two sets of digests by tables of ``blocks`` blocks, a power of two.
+def recover(pairs: DataFrame, growth: int = 1) -> DataFrame:
+    """pairs (pid, a, b) of sets of digests -> pid, left, right, open: how many digests each side alone has, and cells that don't peel.
 
-    Digests are dealt to groups of blocks first and to blocks then, so the work
-    grows with the digests times the square root of the blocks.
+    One large table for each pair, its cells as rows; empty cells are no rows,
+    so a wide table costs nothing.  Peeling goes row by row of the table: in
+    one row a digest has one cell, so none is removed twice.  All rounds run
+    where the pair is: one shuffle of the sets, by pid, and none of cells.
     """
-    share = lambda found, by, mask, value: F.filter(found, lambda d: F.call_function("shiftrightunsigned", d, by).bitwiseAND(mask) == value)
-    half = F.ceil(F.log2(blocks.cast("double")) / 2).cast("int")
-    groups = F.call_function("shiftleft", F.lit(1).cast("bigint"), half)
-    inner = (blocks / groups).cast("bigint")
-    zero = F.lit(0)
-
-    def one(pair: Column, i: Column) -> Column:
-        return let(F.struct(share(pair["a"], half, inner - 1, i).alias("a"), share(pair["b"], half, inner - 1, i).alias("b")), lambda p: peel(minus(block(p["a"]), block(p["b"]))))
-
-    def group(j: Column) -> Column:
-        return let(F.struct(share(a, zero, groups - 1, j).alias("a"), share(b, zero, groups - 1, j).alias("b")), lambda p: F.transform(F.sequence(F.lit(0).cast("bigint"), inner - 1), lambda i: one(p, i)))
-
-    parts = F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), groups - 1), group))
-    return let(parts, lambda p: F.struct(F.flatten(F.transform(p, lambda x: x["left"])).alias("left"), F.flatten(F.transform(p, lambda x: x["right"])).alias("right"), F.forall(p, lambda x: x["ok"]).alias("ok")))
-
-
-def enough(n: Column) -> Column:
-    """Blocks, a power of two, for n digests."""
-    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n / LOAD, F.lit(1.0))))).cast("bigint")
+    spark = pairs.sparkSession
+    check = lambda key: F.xxhash64(key, F.lit(ROWS))
+    cell = lambda key, r: F.lit(r) * F.col("width") + F.xxhash64(key, F.lit(growth * ROWS + r)).bitwiseAND(F.col("width") - 1)
+    entry = lambda at, n, key, sum_: F.struct(at.alias("cell"), n.alias("n"), key.alias("key"), sum_.alias("check"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def together(rows: DataFrame) -> DataFrame:
+        cells = rows.groupBy("pid", "width", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+        return cells.filter("n <> 0 or key <> 0 or check <> 0")
+
+    width = F.greatest(F.lit(32).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(2.0 * growth * (F.size("a") + F.size("b"))))).cast("long"))
+    signed = F.concat(F.transform("a", lambda d: F.struct(one.alias("n"), d.alias("key"))), F.transform("b", lambda d: F.struct((-one).alias("n"), d.alias("key"))))
+    dealt = pairs.select("pid", "a", "b").filter(F.size("a") + F.size("b") > 0).repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "pid")
+    items = dealt.select("pid", width.alias("width"), F.explode(signed).alias("i")).select("pid", "width", "i.*")
+    rows = items.select("pid", "width", F.explode(F.array(*[entry(cell(F.col("key"), r), F.col("n"), F.col("key"), check(F.col("key"))) for r in range(ROWS)])).alias("e")).select("pid", "width", "e.*")
+    cells = together(rows)
+    for turn in range(SWEEPS * ROWS):
+        r = turn % ROWS
+        pure = F.col("cell").between(r * F.col("width"), (r + 1) * F.col("width") - 1) & (F.abs("n") == 1) & (F.col("check") == check(F.col("key")))
+        taken = entry(F.when(F.col("n") > 0, F.lit(-1)).otherwise(F.lit(-2)).cast("long"), one, zero, zero)
+        gone = [entry(cell(F.col("key"), q), -F.col("n"), F.col("key"), F.col("check")) for q in range(ROWS) if q != r]
+        same = entry(F.col("cell"), F.col("n"), F.col("key"), F.col("check"))
+        cells = together(cells.select("pid", "width", F.explode(F.when(pure, F.array(taken, *gone)).otherwise(F.array(same))).alias("e")).select("pid", "width", "e.*"))
+    return cells.groupBy("pid").agg(F.coalesce(F.sum(F.when(F.col("cell") == -1, F.col("n"))), zero).alias("left"), F.coalesce(F.sum(F.when(F.col("cell") == -2, F.col("n"))), zero).alias("right"), F.count_if(F.col("cell") >= 0).alias("open"))
 
 
 def written(cells: Column) -> Column:
@@ -133,11 +140,6 @@ def written(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat(c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["key"])), F.lit(":"), F.lower(F.hex(c["check"])))), ",")
 
 
-def likeness(a: Column, b: Column, diff: Column) -> Column:
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, 1.0).otherwise((total - F.size(diff["left"]) - F.size(diff["right"])) / total)
-
-
 def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, text, next_text: that of the following row in descending order of ids; after the last comes the first."""
     spark = docs.sparkSession
@@ -165,37 +167,42 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def compare(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """For each name the likeness of two columns of digests, recovered by subtraction and peeling, with retries.
+    """For each name the likeness of two columns of digests; the columns of digests give way to their fingerprints.
 
-    Columns of digests that all pairs are done with are not kept.
+    Fingerprints are subtracted and peeled first; pairs that differ by more
+    than they hold go to ``recover``, and again with wider tables until all are
+    recovered.
     """
-    first = rows
-    sides = {c for ab in pairs.values() for c in ab}
-    for c in sides:
-        first = first.withColumn(f"{c}_cells", block(F.col(c)))
-    first = first.select(*rows.columns, *[written(F.col(f"{c}_cells")).alias(f"{c}_fingerprint") for c in sides], *[peel(minus(F.col(f"{a}_cells"), F.col(f"{b}_cells"))).alias(n) for n, (a, b) in pairs.items()])
-    for n, (a, b) in pairs.items():
-        first = first.withColumn(n, F.when(F.col(f"{n}.ok"), F.col(n)).otherwise(difference(F.col(a), F.col(b), enough(F.size(a) + F.size(b)))))
-    like = [F.when(F.col(f"{n}.ok"), likeness(F.col(a), F.col(b), F.col(n))).alias(n) for n, (a, b) in pairs.items()]
-    open_ = ~F.lit(True)
-    for n in pairs:
-        open_ = open_ | ~F.col(f"{n}.ok")
-    rest = [c for c in first.columns if c not in pairs and c not in sides]
-    done = settle(first.select(*rest, *like, *[F.when(open_, F.col(c)).alias(c) for c in sorted(sides)]), "iblt")
-    finished, growth = [], 4
+    sides = sorted({c for ab in pairs.values() for c in ab})
+    rest = [c for c in rows.columns if c not in sides]
+    names = list(pairs)
+    small = lambda n: F.when(F.col(f"{n}_peeled.ok"), F.size(f"{n}_peeled.left") + F.size(f"{n}_peeled.right")).cast("long")
+    first = rows.withColumn("rid", F.monotonically_increasing_id()).select("*", *[block(F.col(c)).alias(f"{c}_cells") for c in sides])
+    first = first.select("rid", *rest, *sides, *[written(F.col(f"{c}_cells")).alias(f"{c}_fingerprint") for c in sides], *[peel(minus(F.col(f"{a}_cells"), F.col(f"{b}_cells"))).alias(f"{n}_peeled") for n, (a, b) in pairs.items()])
+    first = settle(first.select("rid", *rest, *sides, *[f"{c}_fingerprint" for c in sides], *[small(n).alias(n) for n in names]), "iblt")
+    waiting = None
+    for i, (n, (a, b)) in enumerate(pairs.items()):
+        part = first.filter(F.col(n).isNull()).select((F.col("rid") * len(names) + i).alias("pid"), F.col(a).alias("a"), F.col(b).alias("b"))
+        waiting = part if waiting is None else waiting.unionByName(part)
+    found, growth = [], 1
     while True:
-        left = done.filter(" or ".join(f"`{n}` is null" for n in pairs))
-        finished.append(done.filter(" and ".join(f"`{n}` is not null" for n in pairs)).drop(*sides))
-        if left.isEmpty():
+        done = settle(recover(waiting, growth), "iblt-recovered")
+        found.append(done.filter("open = 0").select("pid", (F.col("left") + F.col("right")).alias("differ")))
+        stuck = done.filter("open > 0").select("pid")
+        if stuck.isEmpty():
             break
-        for n, (a, b) in pairs.items():
-            more = difference(F.col(a), F.col(b), enough(F.size(a) + F.size(b)) * growth)
-            left = left.withColumn("more", F.when(F.col(n).isNull(), more)).withColumn(n, F.coalesce(n, F.when(F.col("more.ok"), likeness(F.col(a), F.col(b), F.col("more"))))).drop("more")
-        done, growth = settle(left, "iblt-retry"), growth * 4
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    return out
+        waiting, growth = settle(waiting.join(stuck, "pid", "left_semi"), "iblt-retry"), growth * 2
+    all_ = found[0]
+    for part in found[1:]:
+        all_ = all_.unionByName(part)
+    which = F.pmod("pid", F.lit(len(names)))
+    by_row = all_.groupBy(F.floor(F.col("pid") / len(names)).cast("long").alias("rid")).agg(*[F.max(F.when(which == i, F.col("differ"))).alias(f"{n}_differ") for i, n in enumerate(names)])
+    like = []
+    for n, (a, b) in pairs.items():
+        total = F.col(f"{a}_n") + F.col(f"{b}_n")
+        like.append(F.when(total == 0, F.lit(1.0)).otherwise((total - F.coalesce(n, f"{n}_differ", F.lit(0).cast("long"))) / total).alias(n))
+    kept = first.select("rid", *rest, *[f"{c}_fingerprint" for c in sides], *[F.size(c).alias(f"{c}_n") for c in sides], *names)
+    return kept.join(by_row, "rid", "left").select(*rest, *[f"{c}_fingerprint" for c in sides], *like)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
