@@ -30,17 +30,9 @@ MIN_SCORE = 0.3
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key that stays when the table is read again."""
-    return settle(docs.select(F.monotonically_increasing_id().alias("stage_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "stage")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
-    rows = _keyed(docs)
-    found = langid.detect(rows.select("stage_key", "row.text"), model, id_col="stage_key")
-    kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(F.col("doc_id").alias("stage_key"))
-    return rows.join(kept, "stage_key", "left_semi").select("row.*")
+    return langid.keep_known(docs, model, MIN_SCORE)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

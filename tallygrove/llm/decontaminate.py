@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .counts import stored, without
 from .shared import RangeHash, lower_ascii, mix, pieces, runs, settle, table
 
 SPAN = 13
@@ -194,11 +195,15 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
     return (F.col(n_hit) > 0) & (F.col(n_hit) * 20 >= F.col(n_words))
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns."""
-    keyed = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key"), F.col(text_col).alias("text")), "winnow-input")
-    judged = contamination(keyed, items, "text", "key").filter(contaminated()).select(F.col("doc_id").alias("key"))
-    return keyed.join(judged, "key", "left_anti").select("row.*")
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns.
+
+    The verdict is the text's, so it goes by the text's 64-bit hash; texts are
+    filtered where they are and never shuffled.
+    """
+    key = F.xxhash64(F.col(text_col))
+    judged = contamination(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, "text", "key").filter(contaminated())
+    return without(docs, key, stored(judged.select("doc_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

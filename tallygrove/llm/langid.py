@@ -180,7 +180,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
     return train([(t.encode(), label) for t, label in found], **options)
 
 
-def _detect(batches, model: BiGru):
+def _detect(batches, model: BiGru, least: float | None = None):
+    """Rows with the prediction instead of the text; with ``least`` the rows as they are, known ones of at least that score."""
     k = len(model.languages)
     memo: dict[bytes, int] = {}
     sums = np.zeros((1024, k + 1), np.float32)
@@ -230,6 +231,9 @@ def _detect(batches, model: BiGru):
         best = total[:, :k].argmax(axis=1) if k else np.zeros(batch.num_rows, int)
         score = total[np.arange(batch.num_rows), best] / np.maximum(total[:, k], 1) if k else np.zeros(batch.num_rows)
         known = letter & (total[:, k] > 0)
+        if least is not None:
+            yield batch.filter(pa.array(known & (score >= least)))
+            continue
         names = np.array([*model.languages, UNKNOWN], object)
         yield pa.RecordBatch.from_arrays(
             [*[c for c, f in zip(batch.columns, batch.schema) if f.name != "text"], pa.array(names[np.where(known, best, k)], pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))],
@@ -244,6 +248,12 @@ def detect(docs: DataFrame, model: BiGru, text_col: str = "text", id_col: str =
     return rows.mapInArrow(partial(_detect, model=model), f"rid long, doc_id {kind}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: BiGru, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a learned language of at least that score, in place."""
+    named = docs.withColumnRenamed(text_col, "text")
+    return named.mapInArrow(partial(_detect, model=model, least=least), named.schema).withColumnRenamed("text", text_col)
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .counts import stored, without
 from .shared import mix, pieces, settle, table
 
 RADIUS = 3
@@ -169,10 +170,15 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of each component, that with the smallest id (of rows with equal ids, one); rows without an id stay."""
-    groups = near_duplicates(docs, text_col, id_col).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.dropDuplicates([id_col]) if docs.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).take(1) else docs
-    return kept.filter(F.col(id_col).isNull()).unionByName(kept.join(groups, id_col, "left_semi"))
+    """One row of each component, that with the smallest id (of rows with equal ids, one); rows without an id stay.
+
+    Ids are longs.  What goes is looked up where the rows are; texts are only
+    shuffled if there are repeated ids to make one.
+    """
+    gone = near_duplicates(docs, text_col, id_col).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").cast("long").alias("doc_id"))
+    kept = without(docs, F.col(id_col), stored(gone))
+    distinct = docs.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty()
+    return kept if distinct else kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

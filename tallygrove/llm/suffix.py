@@ -41,8 +41,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .eliasfano import EliasFano, pack, unpack
-from .shared import RangeHash, map_file, mix, pieces, put_file, runs, table, work_folder
+from .counts import Counts, counted, handed, shard_of
+from .eliasfano import pack, unpack
+from .shared import RangeHash, mix, pieces, runs, table
 
 LENGTH = 200
 WINDOW = 8
@@ -75,77 +76,6 @@ def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[which], which
 
 
-# ---- counts of hashes, in files -----------------------------------------------------------
-
-
-class Counts:
-    """Hashes that occur at least twice, with their counts, in the files of a folder."""
-
-    def __init__(self, folder: str, shards: int):
-        self.folder, self.shards, self._open = folder, shards, {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """The count of each hash; 0 below two."""
-        out = np.zeros(len(keys), np.int64)
-        if not len(keys):
-            return out
-        order = np.argsort(keys)
-        cut = np.searchsorted(_shard(keys[order], self.shards), np.arange(self.shards + 1))
-        for i in np.flatnonzero(np.diff(cut)):
-            if i not in self._open:
-                if len(self._open) >= 512:
-                    self._open.clear()
-                self._open[i] = unpack(map_file(f"{self.folder}/{i}"))[0]
-            known, rows = self._open[i], order[cut[i] : cut[i + 1]]
-            if len(known["keys"]):
-                at = np.minimum(np.searchsorted(known["keys"], keys[rows]), len(known["keys"]) - 1)
-                out[rows] = np.where(known["keys"][at] == keys[rows], known["counts"][at], 0)
-        return out
-
-
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (((keys >> _U(32)) * _U(shards)) >> _U(32)).astype(np.int64)
-
-
-def handed(held: list[np.ndarray], shards: int):
-    """Hashes gathered in a task, counted and cut into one block for each shard."""
-    keys, counts = np.unique(np.concatenate(held), return_counts=True)
-    cut = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
-    for i in np.flatnonzero(np.diff(cut)):
-        part = slice(cut[i], cut[i + 1])
-        arrays, values = EliasFano.encode(keys[part] - (keys[cut[i]]), "keys")
-        many = counts[part]
-        block = pack(arrays | {"first": keys[cut[i] : cut[i] + 1], "counts": many.astype(np.min_scalar_type(int(many.max())))}, **values)
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
-
-
-def _merge(group: pa.Table, folder: str, least: int) -> pa.Table:
-    keys, counts = [], []
-    for block in group.column("block").to_pylist():
-        arrays, values = unpack(np.frombuffer(block, np.uint8))
-        part = EliasFano(arrays, values, "keys")
-        keys.append(part.get(np.arange(part.n)) + arrays["first"][0])
-        counts.append(arrays["counts"].astype(np.int64))
-    keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(where, np.concatenate(counts)).astype(np.int64)
-    keep = counts >= least
-    shard = group.column("shard")[0].as_py()
-    put_file(f"{folder}/{shard}", pack({"keys": keys[keep], "counts": np.minimum(counts[keep], 0xFFFFFFFF).astype(np.uint32)}))
-    return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([int(keep.sum())], pa.int64())})
-
-
-def counted(blocks: DataFrame, shards: int, name: str, least: int = 2) -> Counts:
-    """Unite the blocks of all tasks; the files of shards that got no block are empty."""
-    out = Counts(work_folder(blocks.sparkSession, name), shards)
-    found = blocks.groupBy("shard").applyInArrow(lambda group: _merge(group, out.folder, least), "shard int, n long").collect()
-    for i in set(range(shards)) - {r[0] for r in found}:
-        put_file(f"{out.folder}/{i}", pack({"keys": np.zeros(0, np.uint64), "counts": np.zeros(0, np.uint32)}))
-    return out
-
-
 # ---- parsing ------------------------------------------------------------------------------
 
 
@@ -251,7 +181,7 @@ def _unsettled(batches, length: int, shards: int, phrases: Counts, strings: Coun
         keys = parse.stretch_keys(low, high)
         times = np.maximum(strings.of(keys), 1)
         open_ = np.flatnonzero(count[first] > times)
-        shard = _shard(mix(parse.key[first]), shards)
+        shard = shard_of(mix(parse.key[first]), shards)
         flat = data.tobytes()
         for i in open_:
             if times[i] > 1:
