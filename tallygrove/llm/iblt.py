@@ -25,6 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -140,6 +141,17 @@ def written(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat(c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["key"])), F.lit(":"), F.lower(F.hex(c["check"])))), ",")
 
 
+def _below(x: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are less than x: every so many first, then those between."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    literal = F.array(*map(F.lit, cuts))
+    block = F.size(F.filter(F.array(*map(F.lit, cuts[::step])), lambda c: c < x)) - 1
+    inside = F.size(F.filter(F.slice(literal, F.greatest(block, F.lit(0)) * step + 1, F.lit(step)), lambda c: c < x))
+    return F.when(block < 0, 0).otherwise(block * step + inside)
+
+
 def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, text, next_text: that of the following row in descending order of ids; after the last comes the first."""
     spark = docs.sparkSession
@@ -147,7 +159,7 @@ def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)])).first()[0] or []
     cuts = sorted(set(cuts))
-    name = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    name = _below(F.col("doc_id"), cuts)
     rows = rows.select("doc_id", "text", F.coalesce(F.when(F.col("doc_id").isNotNull(), name), F.lit(-1)).alias("bucket"), F.xxhash64("text").alias("tie"))
     firsts = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("first")).orderBy("bucket").collect()  # one row per bucket
     place = "bucket int, doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", tie long"

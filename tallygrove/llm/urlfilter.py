@@ -96,7 +96,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     # nulls sort first, so a rule stands before probes with its own key
     both = probes.unionByName(copies).repartition("cell").sortWithinPartitions("cell", "key", "rid")
     hits = both.mapInArrow(_sweep, "rid long, rule string, verdict string")
-    host_length = F.instr("rule", "/")
+    slash = F.instr("rule", "/")
+    host_length = F.when(slash > 0, slash - 1).otherwise(F.length("rule"))
     best = hits.groupBy("rid").agg(F.max(F.struct(F.length("rule").alias("n"), host_length.alias("h"), "rule", "verdict")).alias("b"))
     return rows.join(best, "rid", "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
