@@ -37,3 +37,16 @@ def merged(frames: dict[str, DataFrame], key: str) -> DataFrame:
     for name in names[1:]:
         out = out.join(frames[name], key, "left")
     return out
+
+
+def match_corpus(found: DataFrame, corpus: DataFrame, key: str, rules: list) -> dict[str, DataFrame]:
+    """Search results against a corpus: matched corpus rows after local exclusions, unmatched results, and the report.
+
+    Both sides carry ``key`` in one normal form. Matched rows are the corpus's
+    own, one for each key (the smallest row of repeated ones).
+    """
+    from .dedup import first
+    from .search import exclude
+
+    hits = in_list(corpus.filter(F.col(key).isNotNull()), key, found)
+    return {"matched": exclude(first(hits, [key], [c for c in hits.columns if c != key][:1]), rules), "residue": missing(found, key, corpus), "coverage": coverage(found, key, corpus)}
