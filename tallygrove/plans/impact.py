@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import additive, ratio, weighted, with_ratios
+from ..functions.dims import LANGUAGES as HARVESTED, ROUTES as HARVESTED_ROUTES
 from ..operators import cube as C
+from ..operators import periodic
 from ..operators import reshape as R
 from ..sources.readers import table
 from .works import ALL_MEASURES, LANGUAGES, ROUTES, SQL, sql_measures, sql_ratio, sql_ratios, work_countries, works
@@ -193,10 +195,22 @@ def regional_summary(spark, d):
     return cells.groupBy("entity_name").agg(F.sum("doc_count").alias("docs"), weighted("fwci_avg").alias("fwci_avg"), weighted("pct_top_10").alias("pct_top_10"), ratio(F.sum("doc_count"), F.sum("world_doc_count"), 100).alias("share"))
 
 
+_OA = {"F": "gold", "O": "closed", "P": "green"}
+_LANG = {"AUTOMOBILE": "en", "BUILDING": "fr", "MACHINERY": "es"}
+
+
+def metric_levels(spark, d):
+    """Journals, countries and all, by year and period, in the harvest's own columns."""
+    pick = lambda pairs, c: F.element_at(F.create_map(*[F.lit(x) for p in pairs.items() for x in p]), F.col(c))
+    rows = works(spark, d).join(_source_country(spark, d).select("source_id", F.col("home").alias("country_code")), "source_id")
+    rows = rows.select("year", F.col("source_id").alias("journal_id"), "country_code", "fwci", (F.col("percentile") * 100).alias("percentile"), pick(_OA, "oa").alias("oa_status"), pick(_LANG, "lang").alias("language"))
+    return periodic.levels(rows)
+
+
 QUERIES = {f.__name__: f for f in (
     world_year_topic, country_year_topic, region_year_topic, first_region_year_topic, entity_cube, entity_grouping_sets, entity_kpis, entity_trends, cagr, quadrants,
     summary_countries, summary_topics, topic_pivot, annual_pivot, oa_unpivot, sunburst_rows, hierarchy_distinct, topic_evolution, annual_metrics, period_metrics,
-    journal_metrics, country_metrics, journal_kpis, country_stats, oa_vs_impact, year_range, regional_summary,
+    journal_metrics, country_metrics, journal_kpis, country_stats, oa_vs_impact, year_range, regional_summary, metric_levels,
 )}
 
 _LIST = ", ".join(f"'{x}'" for x in _ORDER)
@@ -206,6 +220,23 @@ def _grouped(keys: str, source: str = "w", extra: str = "") -> str:
     return f"WITH {SQL}{extra}, g AS (SELECT {keys}, {sql_measures()} FROM {source} GROUP BY ALL) SELECT {keys}, {sql_ratios()} FROM g"
 
 
+
+
+def _part(condition: str) -> str:
+    return f"round(CAST(count(*) FILTER ({condition}) * 100 AS DOUBLE) / count(*), 2)"
+
+
+_LEVELS = f"""WITH {SQL}, x AS (SELECT year, source_id AS journal_id, c_nationkey AS country_code, fwci, percentile * 100 AS percentile,
+    CASE oa WHEN 'F' THEN 'gold' WHEN 'O' THEN 'closed' WHEN 'P' THEN 'green' END AS oa_status,
+    coalesce(CASE lang WHEN 'AUTOMOBILE' THEN 'en' WHEN 'BUILDING' THEN 'fr' WHEN 'MACHINERY' THEN 'es' END, 'unknown') AS language
+    FROM w JOIN customer ON c_custkey = source_id)
+SELECT CASE WHEN grouping(journal_id) = 0 THEN 'journal' WHEN grouping(country_code) = 0 THEN 'country' ELSE 'all' END AS level,
+    CASE WHEN grouping(year) = 0 THEN 'annual' ELSE 'period' END AS kind, CASE WHEN grouping(year) = 0 THEN CAST(min(year) AS VARCHAR) ELSE min(year) || '-' || max(year) END AS period,
+    journal_id, country_code, count(*) AS num_documents, round(sum(fwci) / count(*), 2) AS fwci_avg, {_part("percentile >= 90")} AS pct_top_10, {_part("percentile >= 99")} AS pct_top_1,
+    round(sum(percentile) / count(*), 2) AS avg_percentile, {", ".join(f"{_part(f'oa_status = {chr(39)}{r}{chr(39)}')} AS pct_oa_{r}" for r in HARVESTED_ROUTES)},
+    {", ".join(f"{_part(f'language = {chr(39)}{x}{chr(39)}')} AS pct_lang_{x}" for x in HARVESTED)}, {_part("language NOT IN (" + ", ".join(f"'{x}'" for x in HARVESTED) + ")")} AS pct_lang_other
+FROM x GROUP BY GROUPING SETS ((journal_id, year), (journal_id), (country_code, year), (country_code), (year), ())"""
+
 ORACLES = {
     "world_year_topic": _grouped("year, topic"),
     "country_year_topic": _grouped("country, year, topic", "w JOIN (SELECT DISTINCT id, country FROM wc) USING (id)"),
@@ -233,6 +264,7 @@ ORACLES = {
     "period_metrics": f"WITH {SQL}, g AS (SELECT min(year) || '-' || max(year) AS period, {sql_measures()} FROM w) SELECT period, {sql_ratios()} FROM g",
     "journal_metrics": f"WITH {SQL}, g AS (SELECT source_id, year, CAST(grouping(source_id, year) AS BIGINT) AS grouping_id, {sql_measures()} FROM w GROUP BY GROUPING SETS ((source_id, year), (source_id))) SELECT source_id, year, grouping_id, {sql_ratios()} FROM g",
     "country_metrics": f"WITH {SQL}, s AS (SELECT c_custkey AS source_id, c_nationkey AS home, c_acctbal > 0 AS indexed FROM customer), i AS (SELECT home, {sql_ratio('count(*) FILTER (indexed)', 'count(*)', 100)} AS pct_indexed FROM s GROUP BY home), g AS (SELECT home, year, CAST(grouping(home, year) AS BIGINT) AS grouping_id, {sql_measures()} FROM w JOIN s USING (source_id) GROUP BY GROUPING SETS ((home, year), (home))) SELECT home, year, grouping_id, pct_indexed, {sql_ratios()} FROM g JOIN i USING (home)",
+    "metric_levels": _LEVELS,
     "journal_kpis": f"SELECT count(*) AS journals, round(sum(c_acctbal), 2) AS works, round(avg(c_acctbal), 6) AS mean_works, {sql_ratio('count(*) FILTER (c_acctbal > 0)', 'count(*)', 100)} AS pct_open, count(DISTINCT c_nationkey) AS countries FROM customer",
     "country_stats": f"SELECT CAST(c_nationkey AS INT) AS country, count(*) AS journals, round(avg(c_acctbal), 6) AS mean_works, {sql_ratio('count(*) FILTER (c_acctbal > 0)', 'count(*)', 100)} AS pct_open FROM customer GROUP BY ALL",
     "oa_vs_impact": "SELECT c_custkey AS journal, round(c_acctbal, 2) AS impact, CASE WHEN c_acctbal > 0 THEN 'Open' ELSE 'Closed' END AS access FROM customer",

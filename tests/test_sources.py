@@ -147,3 +147,28 @@ def test_levels_resume_and_force(spark, tmp_path):
     assert run.status()["semantic"] is None and run.status()["windows"] > 0
     with pytest.raises(ValueError):
         stages.forced("nothing", "windows")
+
+
+def test_blocs(spark):
+    from tallygrove.functions import dims
+
+    assert len(dims.BLOCS) == 9 and len(dims.codes()) == len(set(dims.codes())) == 99
+    df = spark.createDataFrame([("MX", ["US", "CN"]), ("TR", []), (None, None)], "c string, l array<string>")
+    found = df.select(dims.bloc(F.col("c")).alias("b"), dims.first_bloc(F.col("l")).alias("f"), dims.country_name(F.col("c")).alias("n")).collect()
+    assert [tuple(r) for r in found] == [("Latinoamérica y Caribe", "China", "México"), ("Other", "Other", "Turquía"), ("Other", "Other", None)]
+    assert dims.table(spark).count() == 99
+    codes = spark.createDataFrame([("MX", "MEX")], "iso2 string, iso3 string")
+    assert [r.iso3 for r in dims.iso3(df, "c", codes).collect()] == ["MEX"]
+
+
+def test_metric_levels_are_written_as_tables(spark, tmp_path):
+    from tallygrove.operators import periodic
+
+    rows = [("j", "MX", 2020, 1.0, 95.0, "gold", "es"), ("j", "MX", 2021, None, None, None, None), ("k", "BR", 2020, 2.0, 99.5, "closed", "xx")]
+    df = spark.createDataFrame(rows, "journal_id string, country_code string, year int, fwci double, percentile double, oa_status string, language string")
+    found = {(r.level, r.kind, r.period, r.journal_id or r.country_code): r for r in periodic.levels(df).collect()}
+    assert len(found) == 3 + 2 + 3 + 2 + 2 + 1
+    j = found["journal", "period", "2020-2021", "j"]
+    assert (j.num_documents, j.fwci_avg, j.pct_top_10, j.pct_top_1, j.pct_oa_gold, j.pct_lang_es, j.pct_lang_other) == (2, 0.5, 50.0, 0.0, 50.0, 50.0, 50.0)
+    periodic.written(periodic.levels(df), str(tmp_path / "m"))
+    assert spark.read.parquet(f"{tmp_path}/m/part=country_annual").count() == 3
