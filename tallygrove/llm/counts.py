@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano, pack, unpack
-from .shared import map_file, mix, put_file, work_folder
+from .shared import in_arrow, map_file, mix, put_file, work_folder
 
 SHARD_KEYS = 1 << 20
 _U = np.uint64
@@ -109,7 +109,7 @@ def _keys(batches, shards: int):
 def stored(keys: DataFrame) -> Counts:
     """The longs of a one-column table, as a set; nulls are not in it."""
     shards = max(1, -(-keys.count() // SHARD_KEYS))
-    blocks = keys.mapInArrow(partial(_keys, shards=shards), "shard int, block binary")
+    blocks = keys.transform(in_arrow, partial(_keys, shards=shards), "shard int, block binary")
     return counted(blocks, shards, "keys", least=1)
 
 
@@ -123,4 +123,4 @@ def _outside(batches, known: Counts):
 
 def without(df: DataFrame, key: Column, known: Counts) -> DataFrame:
     """The rows whose key (a long) is not in the set, in place: no row is shuffled. Rows with a null key stay."""
-    return df.withColumn("_key", key.cast("long")).mapInArrow(partial(_outside, known=known), df.schema)
+    return df.withColumn("_key", key.cast("long")).transform(in_arrow, partial(_outside, known=known), df.schema)

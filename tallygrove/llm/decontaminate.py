@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .counts import stored, without
-from .shared import RangeHash, lower_ascii, mix, pieces, runs, settle, table
+from .shared import RangeHash, in_arrow, lower_ascii, mix, pieces, runs, settle, table
 
 SPAN = 13
 K = 7
@@ -101,7 +101,7 @@ def _item_windows(batches, column: str, span: int, k: int):
 def item_windows(items: DataFrame, text_col: str = "text", id_col: str = "item_id", span: int = SPAN, k: int = K) -> DataFrame:
     """item_id, n words, fingerprint fp, digest (d1, d2): one row for each window of each item."""
     rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_item_windows, column="text", span=span, k=k), "item_id string, n int, fp long, d1 long, d2 long")
+    return rows.transform(in_arrow, partial(_item_windows, column="text", span=span, k=k), "item_id string, n int, fp long, d1 long, d2 long")
 
 
 def _bits(fp: np.ndarray) -> list[np.ndarray]:
@@ -157,7 +157,8 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", id_
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     scanned = settle(
-        rows.mapInArrow(
+        rows.transform(
+            in_arrow,
             partial(_scan, column="text", bloom=bloom, lengths=lengths, k=k),
             f"rid long, doc_id {kind}, n_words long, at array<long>, n array<int>, fp array<long>, d1 array<long>, d2 array<long>",
         ),

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PIECE_BYTES, lower_ascii, table, texts_of
+from .shared import PIECE_BYTES, in_arrow, lower_ascii, table, texts_of
 
 UNKNOWN = "und"
 HIDDEN = 12
@@ -245,13 +245,13 @@ def detect(docs: DataFrame, model: BiGru, text_col: str = "text", id_col: str =
     """rid (the input row of this call), doc_id, lang_pred, score."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_detect, model=model), f"rid long, doc_id {kind}, lang_pred string, score double")
+    return rows.transform(in_arrow, partial(_detect, model=model), f"rid long, doc_id {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: BiGru, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in a learned language of at least that score, in place."""
     named = docs.withColumnRenamed(text_col, "text")
-    return named.mapInArrow(partial(_detect, model=model, least=least), named.schema).withColumnRenamed("text", text_col)
+    return named.transform(in_arrow, partial(_detect, model=model, least=least), named.schema).withColumnRenamed("text", text_col)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

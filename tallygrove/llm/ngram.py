@@ -33,14 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano, pack, unpack
-from .shared import RangeHash, lower_ascii, map_file, mix, pieces, put_file, settle, table, texts_of, work_folder
+from .shared import RangeHash, in_arrow, lower_ascii, map_file, mix, pieces, put_file, settle, table, texts_of, work_folder
 
 ORDER = 2
 PRIOR = 64.0
 #: Words of a vocabulary shard, and tokens that a shard of a higher level is made from, on average.
 VOCABULARY_SHARD = 1 << 19
 TOKEN_SHARD = 1 << 20
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: k-grams that a counting task gathers before it hands them on.
 GATHER = 3 << 20
 OPEN_SHARDS = 512
@@ -300,16 +300,16 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, prior: floa
     """Count the words and k-grams of all rows and build the trie's files."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    words = settle(rows.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "ngram-words")
+    words = settle(rows.transform(in_arrow, _count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "ngram-words")
     tokens, size, documents = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0))).first()
     trie = Trie(work_folder(spark, "ngram-trie"), int(tokens), int(size), int(documents), prior)
     shards = max(1, -(-trie.words // VOCABULARY_SHARD))
-    dealt = words.mapInArrow(partial(_dealt_words, shards=shards), "shard int, key long, second long, n long")
+    dealt = words.transform(in_arrow, partial(_dealt_words, shards=shards), "shard int, key long, second long, n long")
     built = dealt.groupBy("shard").applyInArrow(lambda group: _build_vocabulary(group, trie.folder), "shard int, n long")
     trie.add_level(dict(map(tuple, built.collect())), shards)  # one row per shard
     for level in range(2, order + 1):
         shards = max(1, -(-trie.tokens // TOKEN_SHARD))
-        grams = rows.mapInArrow(partial(_count_grams, trie=trie, level=level, shards=shards), "shard int, block binary")
+        grams = rows.transform(in_arrow, partial(_count_grams, trie=trie, level=level, shards=shards), "shard int, block binary")
         built = grams.groupBy("shard").applyInArrow(_level_builder(trie, level), "shard int, n long")
         trie.add_level(dict(map(tuple, built.collect())), shards)
     return trie
@@ -336,7 +336,7 @@ def score(docs: DataFrame, trie: Trie, text_col: str = "text", id_col: str = "do
     """doc_id, n_tokens, n_known, base_score (add-one unigrams), score (the trie): log10 of the texts' probabilities."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_score, trie=trie), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return rows.transform(in_arrow, partial(_score, trie=trie), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:

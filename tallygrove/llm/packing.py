@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import pieces, strings_of, table
+from .shared import in_arrow, pieces, strings_of, table
 
 TIERS = (64, 128, 256, 512, 1024)
 END_ID = 0
@@ -179,7 +179,8 @@ def packed_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", id_co
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType
-    return rows.mapInArrow(
+    return rows.transform(
+        in_arrow,
         partial(_pack_batches, path=tokenizer, tiers=tiers, step_tokens=step_tokens, kind=to_arrow_type(kind)),
         f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids array<int>",
     )

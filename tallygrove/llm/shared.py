@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,7 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; a longer document is one step of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: Bytes of an Arrow batch; a longer row is one of its own.
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +104,27 @@ def map_file(uri: str) -> np.ndarray:
 # ---- Arrow ---------------------------------------------------------------------------------
 
 
+class _Task:
+    """A task's work on Arrow batches; what it allocated goes back to the system, since workers stay for later tasks."""
+
+    def __init__(self, work):
+        self.work = work
+
+    def __call__(self, batches):
+        try:
+            yield from self.work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes, however long the rows are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(_Task(work), schema)
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and the offsets of its rows; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

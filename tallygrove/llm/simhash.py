@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .counts import stored, without
-from .shared import mix, pieces, settle, table
+from .shared import in_arrow, mix, pieces, settle, table
 
 RADIUS = 3
 BLOCKS = 5
@@ -71,7 +71,7 @@ def _fingerprints(batches, shingle: int):
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and its 64-bit fingerprint as a long."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_fingerprints, shingle=shingle), f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, partial(_fingerprints, shingle=shingle), f"doc_id {kind}, fp long")
 
 
 def _keys(radius: int, blocks: int) -> list[F.Column]:
@@ -156,7 +156,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket: in
     own = F.pmod(F.xxhash64("fp", F.lit(7)), parts)
     cells = rows.join(sizes, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
     cells = cells.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
-    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(partial(_links, radius=radius), "a long, b long")
+    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").transform(in_arrow, partial(_links, radius=radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

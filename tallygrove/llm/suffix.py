@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from .counts import Counts, counted, handed, shard_of
 from .eliasfano import pack, unpack
-from .shared import RangeHash, mix, pieces, runs, table
+from .shared import RangeHash, in_arrow, mix, pieces, runs, table
 
 LENGTH = 200
 WINDOW = 8
@@ -351,15 +351,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     blocks = "shard int, block binary"
-    phrases = counted(texts.mapInArrow(partial(_phrases, length=length, shards=shards), blocks), shards, "suffix-phrases")
-    strings = counted(texts.mapInArrow(partial(_strings, length=length, shards=shards, phrases=phrases, hot=hot), blocks), shards, "suffix-strings")
-    open_ = texts.mapInArrow(partial(_unsettled, length=length, shards=shards, phrases=phrases, strings=strings, hot=hot), blocks)
+    phrases = counted(texts.transform(in_arrow, partial(_phrases, length=length, shards=shards), blocks), shards, "suffix-phrases")
+    strings = counted(texts.transform(in_arrow, partial(_strings, length=length, shards=shards, phrases=phrases, hot=hot), blocks), shards, "suffix-strings")
+    open_ = texts.transform(in_arrow, partial(_unsettled, length=length, shards=shards, phrases=phrases, strings=strings, hot=hot), blocks)
     compared = open_.groupBy("shard").applyInArrow(lambda group: _compare(group, length, shards), blocks)
     ordered = counted(compared, shards, "suffix-ordered", least=1)
     schema = T.StructType([f for f in rows.schema if f.name != "text"])
     for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType() if as_text else T.BinaryType())):
         schema = schema.add(name, kind)
-    found = rows.mapInArrow(partial(_removed, length=length, phrases=phrases, strings=strings, ordered=ordered, hot=hot, as_text=as_text), schema)
+    found = rows.transform(in_arrow, partial(_removed, length=length, phrases=phrases, strings=strings, ordered=ordered, hot=hot, as_text=as_text), schema)
     return found.select("doc_id", *[F.col(f"row_{i}").alias(f"row_{c}") for i, c in enumerate(others)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 

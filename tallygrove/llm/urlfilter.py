@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import in_arrow, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 16
@@ -95,7 +95,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     )
     # nulls sort first, so a rule stands before probes with its own key
     both = probes.unionByName(copies).repartition("cell").sortWithinPartitions("cell", "key", "rid")
-    hits = both.mapInArrow(_sweep, "rid long, rule string, verdict string")
+    hits = both.transform(in_arrow, _sweep, "rid long, rule string, verdict string")
     slash = F.instr("rule", "/")
     host_length = F.when(slash > 0, slash - 1).otherwise(F.length("rule"))
     best = hits.groupBy("rid").agg(F.max(F.struct(F.length("rule").alias("n"), host_length.alias("h"), "rule", "verdict")).alias("b"))
