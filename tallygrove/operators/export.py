@@ -9,6 +9,19 @@ from ..functions.json import source_of
 from ..functions.text import identifier_tail, safe_join, short_author
 
 
+# The words of the citation format, in the order of its lines.
+BANNER = "Scopus\nEXPORT DATE: "
+NO_AUTHORS, FULL_NAMES, NO_TITLE, NO_SOURCE = "[No authors]", "AUTHOR FULL NAMES: ", "[No title]", "[No source]"
+DOI, DOI_URL = "DOI: ", "https://doi.org/"
+WORK_URL = "https://openalex.org/"
+RECORD_URL = ("https://www.scopus.com/inward/record.uri?scp=", "&origin=inward")
+AFFILIATIONS, ABSTRACT, PUBLISHER, ISSN = "AFFILIATIONS: ", "ABSTRACT: ", "PUBLISHER: ", "ISSN: "
+LANGUAGE, TYPE, STAGE = "LANGUAGE OF ORIGINAL DOCUMENT: ", "DOCUMENT TYPE: ", "PUBLICATION STAGE: Final"
+OPEN, OPEN_KIND, ALL_OPEN = "OPEN ACCESS: ", " Open Access", "OPEN ACCESS: All Open Access"
+AUTHOR_KEYWORDS, INDEX_KEYWORDS, REFERENCES = "AUTHOR KEYWORDS: ", "INDEX KEYWORDS: ", "REFERENCES: "
+WORK_SOURCE, SEARCH_SOURCE = "SOURCE: OpenAlex", "SOURCE: Scopus"
+
+
 def _filled(c: Column) -> Column:
     """Null for null and blank."""
     return F.when(F.trim(c.cast("string")) != "", c.cast("string"))
@@ -47,28 +60,28 @@ def citation_block(df: DataFrame) -> Column:
     tails = lambda c: F.array_join(F.transform(F.filter(many(c), lambda x: x.isNotNull()), identifier_tail), "; ")
     source = source_of(col("raw_data"))
     pages = F.concat(_filled(col("first_page")), F.coalesce(F.concat(F.lit("-"), _filled(col("last_page"))), F.lit("")))
-    oa = F.when(col("oa_status") != "closed", F.concat(F.initcap(_filled(col("oa_status"))), F.lit(" Open Access")))
+    oa = F.when(col("oa_status") != "closed", F.concat(F.initcap(_filled(col("oa_status"))), F.lit(OPEN_KIND)))
     return _lines(
-        F.coalesce(_filled(short), F.lit("[No authors]")),
-        F.concat(F.lit("AUTHOR FULL NAMES: "), safe_join(many("author_names"))),
+        F.coalesce(_filled(short), F.lit(NO_AUTHORS)),
+        F.concat(F.lit(FULL_NAMES), safe_join(many("author_names"))),
         F.coalesce(tails("author_ids"), F.lit("")),
-        F.coalesce(col("title"), F.lit("[No title]")),
+        F.coalesce(col("title"), F.lit(NO_TITLE)),
         source_line(col("publication_year"), source["name"], col("volume"), col("issue"), pages, col("cited_by_count")),
-        _line("DOI: ", F.replace(col("doi"), F.lit("https://doi.org/"), F.lit(""))),
-        F.concat(F.lit("https://openalex.org/"), F.coalesce(identifier_tail(col("id").cast("string")), F.lit(""))),
+        _line(DOI, F.replace(col("doi"), F.lit(DOI_URL), F.lit(""))),
+        F.concat(F.lit(WORK_URL), F.coalesce(identifier_tail(col("id").cast("string")), F.lit(""))),
         F.lit(""),
-        _line("AFFILIATIONS: ", safe_join(many("institution_names"))),
-        _line("ABSTRACT: ", col("abstract")),
-        _line("PUBLISHER: ", source["publisher"]),
-        _line("ISSN: ", source["issn"]),
-        _line("LANGUAGE OF ORIGINAL DOCUMENT: ", col("language")),
-        _line("DOCUMENT TYPE: ", F.initcap(col("type"))),
-        F.lit("PUBLICATION STAGE: Final"),
-        _line("OPEN ACCESS: ", oa),
-        _line("AUTHOR KEYWORDS: ", safe_join(many("keywords"))),
-        _line("INDEX KEYWORDS: ", safe_join(many("concepts"))),
-        _line("REFERENCES: ", tails("referenced_works")),
-        F.lit("SOURCE: OpenAlex"),
+        _line(AFFILIATIONS, safe_join(many("institution_names"))),
+        _line(ABSTRACT, col("abstract")),
+        _line(PUBLISHER, source["publisher"]),
+        _line(ISSN, source["issn"]),
+        _line(LANGUAGE, col("language")),
+        _line(TYPE, F.initcap(col("type"))),
+        F.lit(STAGE),
+        _line(OPEN, oa),
+        _line(AUTHOR_KEYWORDS, safe_join(many("keywords"))),
+        _line(INDEX_KEYWORDS, safe_join(many("concepts"))),
+        _line(REFERENCES, tails("referenced_works")),
+        F.lit(WORK_SOURCE),
         F.lit(""),
     )
 
@@ -78,29 +91,29 @@ def search_block(df: DataFrame) -> Column:
     kinds = {f.name for f in df.schema}
     col = lambda c: F.col(c).cast("string") if c in kinds else F.lit(None).cast("string")
     names = F.replace(F.replace(_filled(col("author_names")), F.lit(";"), F.lit(",")), F.lit(" ,"), F.lit(","))
-    record = F.concat(F.lit("https://www.scopus.com/inward/record.uri?scp="), F.coalesce(col("eid"), F.lit("")), F.lit("&origin=inward"))
+    record = F.concat(F.lit(RECORD_URL[0]), F.coalesce(col("eid"), F.lit("")), F.lit(RECORD_URL[1]))
     return _lines(
-        F.coalesce(names, F.lit("[No authors]")),
-        F.concat(F.lit("AUTHOR FULL NAMES: "), F.coalesce(_filled(col("author_names")), F.lit(""))),
+        F.coalesce(names, F.lit(NO_AUTHORS)),
+        F.concat(F.lit(FULL_NAMES), F.coalesce(_filled(col("author_names")), F.lit(""))),
         F.coalesce(col("author_ids"), F.lit("")),
-        F.coalesce(col("title"), F.lit("[No title]")),
-        source_line(F.substring(col("coverDate"), 1, 4), F.coalesce(col("publicationName"), F.lit("[No source]")), col("volume"), col("issueIdentifier"), col("pageRange"), col("citedby_count").try_cast("long")),
-        _line("DOI: ", col("doi")),
+        F.coalesce(col("title"), F.lit(NO_TITLE)),
+        source_line(F.substring(col("coverDate"), 1, 4), F.coalesce(col("publicationName"), F.lit(NO_SOURCE)), col("volume"), col("issueIdentifier"), col("pageRange"), col("citedby_count").try_cast("long")),
+        _line(DOI, col("doi")),
         F.when(_filled(col("doi")).isNotNull(), record).otherwise(F.lit("")),
         F.lit(""),
-        _line("AFFILIATIONS: ", F.replace(col("affilname"), F.lit(";"), F.lit("; "))),
-        _line("ABSTRACT: ", col("description")),
-        _line("ISSN: ", col("issn")),
-        _line("DOCUMENT TYPE: ", col("subtypeDescription")),
-        F.lit("PUBLICATION STAGE: Final"),
-        F.when(F.lower(col("openaccess")).isin("1", "true", "1.0"), F.lit("OPEN ACCESS: All Open Access")),
-        F.lit("SOURCE: Scopus"),
+        _line(AFFILIATIONS, F.replace(col("affilname"), F.lit(";"), F.lit("; "))),
+        _line(ABSTRACT, col("description")),
+        _line(ISSN, col("issn")),
+        _line(TYPE, col("subtypeDescription")),
+        F.lit(STAGE),
+        F.when(F.lower(col("openaccess")).isin("1", "true", "1.0"), F.lit(ALL_OPEN)),
+        F.lit(SEARCH_SOURCE),
         F.lit(""),
     )
 
 
 def header(date: Column) -> Column:
-    return F.concat(F.lit("Scopus\nEXPORT DATE: "), F.date_format(date, "dd MMMM yyyy"), F.lit("\n"))
+    return F.concat(F.lit(BANNER), F.date_format(date, "dd MMMM yyyy"), F.lit("\n"))
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, wildcard_pattern
 
+# The text fields of the query syntax.
 FIELDS = ("TITLE-ABS-KEY", "TITLE", "ABS", "KEY")
 #: Rules that name one of these are judged on title and abstract alone.
 ANIMALS = ("murine", "rodent", "mouse")
