@@ -8,7 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "tallygrove", master: str | None = None, **extra: str) -> SparkSession:
-    """Adaptive plans, UTC; on a cluster the master and sizes come from spark-submit."""
+    """The active session, or a new one: adaptive plans, UTC; on a cluster the master and sizes come from spark-submit."""
+    if (active := SparkSession.getActiveSession()) is not None:
+        return active
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
