@@ -125,21 +125,31 @@ def wildcard(text: Column, term: str) -> Column:
     return F.coalesce(F.lower(text).rlike(wildcard_pattern(term)), F.lit(False))
 
 
-def _word_pattern(term: str) -> str:
-    """From a token's start; ``*`` any run, ``?`` one character."""
-    body = "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in term.lower())
-    return "^" + body + ("" if body.endswith(".*") else "$")
+def _word_is(word: Column, term: str) -> Column:
+    """From a token's start; ``*`` any run, ``?`` one character. A plain term is compared, not matched."""
+    term = term.lower()
+    if not set(term) & set("*?"):
+        return word == term
+    body = "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in term)
+    return word.rlike("^" + body + ("" if body.endswith(".*") else "$"))
+
+
+def _literal(term: str) -> str:
+    """The longest run of a term that a text must hold as it is."""
+    return max(re.split(r"[*?]", term.lower()), key=len)
 
 
 def near(text: Column, a: str, b: str, distance: int) -> Column:
     """Two different tokens, one for each term, at most ``distance`` apart, in either order.
 
-    Places of each term are found once; the nearest pair is looked for in place.
+    Texts that lack a literal part of either term are not cut into tokens;
+    places of each term are found once, and pairs are looked for in place.
     """
-    words = tokens(F.coalesce(text, F.lit("")))
-    places = lambda term: F.filter(F.transform(words, lambda w, i: F.when(w.rlike(_word_pattern(term)), i)), lambda i: i.isNotNull())
-    second = places(b)
-    return F.exists(places(a), lambda i: F.exists(second, lambda j: (i != j) & (F.abs(i - j) <= distance)))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    places = lambda words, term: F.filter(F.transform(words, lambda w, i: F.when(_word_is(w, term), i)), lambda i: i.isNotNull())
+    both = F.transform(F.array(tokens(low)), lambda words: F.struct(places(words, a).alias("a"), places(words, b).alias("b")))
+    found = F.exists(both, lambda p: F.exists(p["a"], lambda i: F.exists(p["b"], lambda j: (i != j) & (F.abs(i - j) <= distance))))
+    return F.when(F.contains(low, F.lit(_literal(a))) & F.contains(low, F.lit(_literal(b))), found).otherwise(False)
 
 
 def matches(text: Column, terms: list[str]) -> Column:
