@@ -51,21 +51,21 @@ def citation_pairs_closed(spark, d):
     return L.closed_links(work_references(spark, d), works(spark, d).filter("year between 1996 and 1998"))
 
 
-def _refs_1997(spark, d):
-    return work_references(spark, d).join(works(spark, d).filter("year = 1997").select("id", "year"), "id")
+def _dated_refs(spark, d):
+    return work_references(spark, d).join(works(spark, d).select("id", "year"), "id")
 
 
 def coupling(spark, d):
-    return L.coupled(_refs_1997(spark, d), "year")
+    return L.coupled(_dated_refs(spark, d), "year")
 
 
 def salton_edges(spark, d):
-    refs = _refs_1997(spark, d)
+    refs = _dated_refs(spark, d)
     return L.salton(L.coupled(refs, "year"), refs, "year").select("year", "a", "b", F.round("weight", 6).alias("weight"))
 
 
 def _hetero(spark, d):
-    w = works(spark, d).filter("year = 1997").select("id", "source_id")
+    w = works(spark, d).select("id", "source_id")
     links = L.closed_links(work_references(spark, d).join(w.select("id"), "id"), w)
     inst = work_institutions(spark, d).join(w.select("id"), "id").select("id", F.col("inst").alias("member"))
     return L.heterogeneous(links, institution=inst, source=w.select("id", F.col("source_id").alias("member")))
@@ -80,7 +80,7 @@ def degree(spark, d):
 
 
 def fastrp(spark, d):
-    found = V.fastrp(_hetero(spark, d), DIM, 2).filter(F.col("node").startswith("W"))
+    found = V.fastrp(_hetero(spark, d)).filter(F.col("node").startswith("W"))
     return found.select("node", F.posexplode("v").alias("dim", "x")).select("node", F.col("dim").cast("long").alias("dim"), (F.round("x", 5) + 0.0).alias("x"))
 
 
@@ -188,8 +188,8 @@ def top_titles(spark, d):
 
 
 def communities(spark, d):
-    refs = _refs_1997(spark, d)
-    nodes = works(spark, d).filter("year = 1997").select("year", "id")
+    refs = _dated_refs(spark, d)
+    nodes = works(spark, d).select("year", "id")
     edges = L.salton(L.coupled(refs, "year"), refs, "year")
     return C.detect(nodes, edges, "year")
 

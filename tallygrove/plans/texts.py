@@ -118,7 +118,7 @@ def hex_grid(spark, d):
 
 def _cited(spark, d):
     refs = work_references(spark, d).groupBy("id").agg(F.array_sort(F.collect_set(F.concat(F.lit("https://x.org/W"), F.col("ref").cast("string")))).alias("referenced_works"))
-    base = works(spark, d).filter("year = 1997").select("id", F.col("year").alias("publication_year"), F.col("topic").alias("title"), F.when(F.col("oa") == "F", "gold").when(F.col("oa") == "O", "closed").alias("oa_status"), F.lower("lang").alias("type"), (F.col("id") % 7).alias("cited_by_count"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://doi.org/10/"), F.col("id").cast("string"))).alias("doi"), F.array(F.lit("Ada B Lovelace"), F.lit("Plato")).alias("author_names"), F.lit('{"primary_location":{"source":{"display_name":"J","issn":["1-2","3"]}}}').alias("raw_data"))
+    base = works(spark, d).select("id", F.col("year").alias("publication_year"), F.col("topic").alias("title"), F.when(F.col("oa") == "F", "gold").when(F.col("oa") == "O", "closed").alias("oa_status"), F.lower("lang").alias("type"), (F.col("id") % 7).alias("cited_by_count"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://doi.org/10/"), F.col("id").cast("string"))).alias("doi"), F.array(F.lit("Ada B Lovelace"), F.lit("Plato")).alias("author_names"), F.lit('{"primary_location":{"source":{"display_name":"J","issn":["1-2","3"]}}}').alias("raw_data"))
     return base.join(refs, "id", "left")
 
 
