@@ -145,7 +145,7 @@ def _weekly(spark, d):
 
 
 def cluster_transitions(spark, d):
-    found = K.transitions(_weekly(spark, d).filter("id % 5 = 1").withColumn("cluster", F.col("id") % 3))
+    found = K.transitions(_weekly(spark, d).withColumn("cluster", F.col("id") % 3))
     return found.select("from_bin", "to_bin", F.col("from_cluster").cast("long").alias("from_cluster"), F.col("to_cluster").cast("long").alias("to_cluster"), F.round("jaccard", 6).alias("jaccard"), "shared_docs")
 
 

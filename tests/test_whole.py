@@ -68,3 +68,9 @@ def test_fastrp_has_production_size_and_equals_brute_force(spark):
     assert set(found.node) == {f"W{r.id}" for r in works.works(spark, DATA).select("id").collect()}
     assert len(found) == 128 * found.node.nunique()
     assert np.abs(now[found.node.map(place), found.dim] - found.x).max() < 1.1e-5
+
+
+def test_transitions_of_all_users(spark):
+    sql = whole("cluster_transitions", users=(" WHERE id % 5 = 1", ""))
+    assert "% 5" not in sql
+    check(spark, DATA, QUERIES["cluster_transitions"], sql)
