@@ -107,7 +107,7 @@ def type_distribution(spark, d):
 
 
 def type_densified(spark, d):
-    rows = works(spark, d).select("id", "year").join(_typed(spark, d), "id").filter("not (year = 1999 and kind = 'R')")
+    rows = works(spark, d).select("id", "year").join(_typed(spark, d), "id")
     return R.densified(rows.groupBy("year", "kind").agg(F.count("*").cast("long").alias("n")), "year", "kind", "n")
 
 

@@ -74,3 +74,21 @@ def test_transitions_of_all_users(spark):
     sql = whole("cluster_transitions", users=(" WHERE id % 5 = 1", ""))
     assert "% 5" not in sql
     check(spark, DATA, QUERIES["cluster_transitions"], sql)
+
+
+def test_types_of_all_works(spark):
+    sql = whole("type_densified", gap=(" WHERE NOT (year = 1999 AND kind = 'R')", ""))
+    assert "1999" not in sql
+    check(spark, DATA, QUERIES["type_densified"], sql)
+
+
+def test_a_gap_is_filled_with_zero(spark, tmp_path):
+    """Returns in 1998 only."""
+    for name in ("customer", "lineitem", "orders"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").createOrReplaceTempView(name)
+    spark.table("customer").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT * FROM orders WHERE year(o_orderdate) IN (1997, 1998)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT l.* FROM lineitem l JOIN orders ON o_orderkey = l_orderkey WHERE year(o_orderdate) = 1998 OR l_returnflag <> 'R'").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {(r.year, r.kind): r.n for r in QUERIES["type_densified"](spark, str(tmp_path)).collect()}
+    assert {y for y, _ in found} == {1997, 1998} and len(found) == 2 * len({k for _, k in found})
+    assert found[1997, "R"] == 0 and all(n > 0 for at, n in found.items() if at != (1997, "R"))
