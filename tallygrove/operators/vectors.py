@@ -31,7 +31,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     """Of each query the k rows of largest cosine, itself left out: query, neighbour, cosine, rank.
 
     Exact: vectors are gathered to blocks, pairs of blocks are one matrix
-    product each, and a block pair gives k rows per query at most.
+    product each, and a block pair gives k rows per query at most, cut in the
+    final order, so equal cosines go by id in whatever block they are.
     """
     spark = rows.sparkSession
     kind = rows.schema[id_col].dataType.simpleString()
@@ -46,15 +47,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
                 a, b = (np.array([x["v"] for x in side], np.float64) for side in (q, r))
                 a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
                 names, others = np.array([x["id"] for x in q]), np.array([x["id"] for x in r])
+                by_id = np.argsort(others, kind="stable")
+                others, b = others[by_id], b[by_id]
                 cosine = a @ b.T
                 cosine[names[:, None] == others[None, :]] = -np.inf
-                top = np.argsort(-cosine, axis=1, kind="stable")[:, : k + 1]
-                yield pd.DataFrame({"query": np.repeat(names, top.shape[1]), "neighbour": others[top].ravel(), "cosine": np.take_along_axis(cosine, top, 1).ravel()}).query("cosine > -2")
+                near = np.round(cosine, 9)
+                top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query": np.repeat(names, top.shape[1]), "neighbour": others[top].ravel(), "cosine": np.take_along_axis(cosine, top, 1).ravel(), "near": np.take_along_axis(near, top, 1).ravel()}).query("near > -2")
 
     pairs = blocks(queries, "q").crossJoin(blocks(rows, "r")).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "q_block", "r_block").select("q", "r")
-    found = pairs.mapInPandas(best, f"query {kind}, neighbour {kind}, cosine double")
-    line = Window.partitionBy("query").orderBy(F.round("cosine", 9).desc(), "neighbour")
-    return found.withColumn("rank", F.row_number().over(line).cast("long")).filter(F.col("rank") <= k)
+    found = pairs.mapInPandas(best, f"query {kind}, neighbour {kind}, cosine double, near double")
+    line = Window.partitionBy("query").orderBy(F.desc("near"), "neighbour")
+    return found.withColumn("rank", F.row_number().over(line).cast("long")).filter(F.col("rank") <= k).drop("near")
 
 
 def fastrp(edges: DataFrame, dim: int = 128, rounds: int = 3) -> DataFrame:

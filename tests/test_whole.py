@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tallygrove.operators import community as C
+from tallygrove.operators import vectors as V
 from tallygrove.plans import fronts, registry, works
 
 from .compare import check
@@ -92,3 +93,12 @@ def test_a_gap_is_filled_with_zero(spark, tmp_path):
     found = {(r.year, r.kind): r.n for r in QUERIES["type_densified"](spark, str(tmp_path)).collect()}
     assert {y for y, _ in found} == {1997, 1998} and len(found) == 2 * len({k for _, k in found})
     assert found[1997, "R"] == 0 and all(n > 0 for at, n in found.items() if at != (1997, "R"))
+
+
+def test_equal_vectors_go_by_id(spark):
+    """300 equal vectors in one block, in falling order of ids; then in blocks of about 40."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(299, -1, -1)] + [(1000 + i, [float(i), 1.0, 0.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>").coalesce(1)
+    for block in (2048, 40):
+        found = V.nearest(df, df.filter("vec_id in (0, 3, 250)"), 5, block=block).orderBy("query", "rank").collect()
+        assert [[r.neighbour for r in found if r.query == q] for q in (0, 3, 250)] == [[1, 2, 3, 4, 5], [0, 1, 2, 4, 5], [0, 1, 2, 3, 4]]
