@@ -57,7 +57,7 @@ def institution_metrics(spark, d):
 
 
 def institution_segments(spark, d):
-    return I.segments(_institutions(spark, d), "NATION_2", 200, 50, 20)
+    return I.segments(_institutions(spark, d), "NATION_2")
 
 
 def institution_rank(spark, d):

@@ -102,3 +102,9 @@ def test_equal_vectors_go_by_id(spark):
     for block in (2048, 40):
         found = V.nearest(df, df.filter("vec_id in (0, 3, 250)"), 5, block=block).orderBy("query", "rank").collect()
         assert [[r.neighbour for r in found if r.query == q] for q in (0, 3, 250)] == [[1, 2, 3, 4, 5], [0, 1, 2, 4, 5], [0, 1, 2, 3, 4]]
+
+
+def test_segments_of_full_size(spark):
+    data = DATA.replace("0.001", "0.01")
+    sql = whole("institution_segments", top=("LIMIT 200", "LIMIT 1000"), country=("LIMIT 50", "LIMIT 500"), region=("<= 20", "<= 100"))
+    check(spark, data, QUERIES["institution_segments"], sql)
