@@ -202,7 +202,7 @@ def density_clusters(spark, d):
 def analysis(spark: SparkSession, d: str, root: str, force_from: str | None = None) -> tuple[Run, DataFrame]:
     """All levels over sliding windows, each a table under ``root``: communities, agreement with topics, tracking, labels."""
     run = Run(spark, root, force_from)
-    windows = run.level("windows", lambda: B.sliding(year_range(works(spark, d)), 2, 2))
+    windows = run.level("windows", lambda: B.sliding(year_range(works(spark, d))))
     meta = run.level("metadata", lambda: B.members(works(spark, d).select("id", "year", "topic"), windows).select("bin_id", "id", "year", "topic"))
     refs = run.level("citations", lambda: work_references(spark, d).join(meta.select("bin_id", "id"), "id").select("bin_id", "id", "ref"))
     structural = run.level("structural", lambda: C.detect(meta, L.salton(L.coupled(refs, "bin_id"), refs, "bin_id"), "bin_id"))

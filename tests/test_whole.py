@@ -108,3 +108,21 @@ def test_segments_of_full_size(spark):
     data = DATA.replace("0.001", "0.01")
     sql = whole("institution_segments", top=("LIMIT 200", "LIMIT 1000"), country=("LIMIT 50", "LIMIT 500"), region=("<= 20", "<= 100"))
     check(spark, data, QUERIES["institution_segments"], sql)
+
+
+@pytest.fixture(scope="module")
+def analysed(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("fronts"))
+    run, _ = fronts.analysis(spark, DATA, root)
+    return run, {name: spark.read.parquet(f"{root}/{name}") for name in run.computed}
+
+
+def test_every_year_is_in_a_window_and_clusters_are_tracked(spark, analysed):
+    _, levels = analysed
+    years = {r.year for r in works.works(spark, DATA).select("year").distinct().collect()}
+    windows = levels["windows"].collect()
+    assert years == {y for w in windows for y in range(w.y_start, w.y_end + 1)}
+    assert {w.y_end - w.y_start for w in windows} == {2} and len(windows) == len(years) - 2
+    assert levels["metadata"].select("id").distinct().count() == works.works(spark, DATA).count()
+    moves = levels["tracking"].select("from_bin").distinct().collect()
+    assert len(moves) == len(windows) - 1
