@@ -199,17 +199,62 @@ def density_clusters(spark, d):
     return Y.detect(rows, "bin_id", least=15, neighbours=5)
 
 
+def _partition(meta: DataFrame, found: DataFrame) -> DataFrame:
+    """A cluster for every work of a bin: null where the level has none for it, 0 in small bins."""
+    return K.small_bins(meta.select("bin_id", "id").join(found, ["bin_id", "id"], "left"), "cluster")
+
+
+def _structural(meta: DataFrame, refs: DataFrame) -> DataFrame:
+    cited = refs.select("bin_id").distinct()
+    found = C.detect(meta.join(cited, "bin_id", "left_semi"), L.salton(L.coupled(refs, "bin_id"), refs, "bin_id"), "bin_id")
+    return _partition(meta, found.unionByName(C.without_edges(meta.join(cited, "bin_id", "left_anti").select("bin_id", "id"))))
+
+
+def _semantic(meta: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``vectors``: id, embedding of 64 numbers."""
+    rows = V.projected(meta.join(vectors, "id"), "embedding", 64, 30)
+    return _partition(meta, Y.detect(rows, "bin_id", vector="projected"))
+
+
+def _topological(meta: DataFrame, refs: DataFrame, institutions: DataFrame) -> DataFrame:
+    """One graph of all bins, whose nodes carry their bin, so bins don't meet."""
+    inside = refs.join(meta.select("bin_id", F.col("id").alias("ref")), ["bin_id", "ref"], "left_semi")
+    name = lambda letter, c: F.concat(F.col("bin_id").cast("string"), F.lit(letter), F.col(c).cast("string"))
+    ends = [(inside, "W", "ref"), (meta.select("bin_id", "id").join(institutions, "id"), "I", "inst"), (meta, "S", "source_id")]
+    links = [rows.select(name("W", "id").alias("src"), name(letter, c).alias("dst")) for rows, letter, c in ends]
+    found = V.fastrp(links[0].unionByName(links[1]).unionByName(links[2])).filter(F.col("node").contains("W"))
+    part = F.split("node", "W")
+    rows = found.select(part[0].cast("int").alias("bin_id"), part[1].cast("long").alias("id"), "v")
+    return _partition(meta, Y.detect(rows, "bin_id"))
+
+
+def _labels(structural: DataFrame, meta: DataFrame, texts: DataFrame) -> DataFrame:
+    """bin_id, cluster, size, label, keywords of clusters of five works or more. ``texts``: id, text."""
+    key = F.concat_ws("_", "bin_id", "cluster").alias("key")
+    large = K.sizes(structural.filter(F.col("cluster") != K.NOISE)).filter("size >= 5").select("*", key)
+    docs = structural.select("bin_id", "id", key).join(large.select("key"), "key").join(meta.select("bin_id", "id", "topic"), ["bin_id", "id"]).join(texts, "id", "left")
+    named = T.labels(T.cluster_terms(docs.select("key", "id", F.concat_ws(" ", "topic", "text").alias("text")), "key", top=8), "key")
+    return large.join(named, "key").drop("key")
+
+
 def analysis(spark: SparkSession, d: str, root: str, force_from: str | None = None) -> tuple[Run, DataFrame]:
-    """All levels over sliding windows, each a table under ``root``: communities, agreement with topics, tracking, labels."""
+    """All levels over sliding windows, each a table under ``root``; vectors and texts are those with a work's id."""
     run = Run(spark, root, force_from)
     windows = run.level("windows", lambda: B.sliding(year_range(works(spark, d))))
-    meta = run.level("metadata", lambda: B.members(works(spark, d).select("id", "year", "topic"), windows).select("bin_id", "id", "year", "topic"))
+    meta = run.level("metadata", lambda: B.members(works(spark, d).select("id", "year", "topic", "source_id"), windows).select("bin_id", "id", "year", "topic", "source_id"))
     refs = run.level("citations", lambda: work_references(spark, d).join(meta.select("bin_id", "id"), "id").select("bin_id", "id", "ref"))
-    structural = run.level("structural", lambda: C.detect(meta, L.salton(L.coupled(refs, "bin_id"), refs, "bin_id"), "bin_id"))
-    both = structural.join(meta.select("bin_id", "id", F.ascii("topic").alias("topic")), ["bin_id", "id"])
-    run.level("agreement", lambda: A.mutual_information(both, "cluster", "topic"))
+    structural = run.level("structural", lambda: _structural(meta, refs))
+    semantic = run.level("semantic", lambda: _semantic(meta, table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "embedding")))
+    topological = run.level("topological", lambda: _topological(meta, refs, work_institutions(spark, d)))
+    levels = {"structural": structural, "semantic": semantic, "topological": topological}
+
+    def agreement() -> DataFrame:
+        both = M.merged({name: df.select(F.concat_ws("_", "bin_id", "id").alias("key"), F.col("cluster").alias(name)) for name, df in levels.items()}, "key")
+        return spark.createDataFrame(list(A.pairwise(both, list(levels)).items()), "pair string, ami double")
+
+    run.level("agreement", agreement)
     run.level("tracking", lambda: K.transitions(structural))
-    return run, run.level("labels", lambda: K.sizes(structural).filter("size >= 5"))
+    return run, run.level("labels", lambda: _labels(structural, meta, table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")))
 
 
 QUERIES = {f.__name__: f for f in (

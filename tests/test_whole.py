@@ -126,3 +126,23 @@ def test_every_year_is_in_a_window_and_clusters_are_tracked(spark, analysed):
     assert levels["metadata"].select("id").distinct().count() == works.works(spark, DATA).count()
     moves = levels["tracking"].select("from_bin").distinct().collect()
     assert len(moves) == len(windows) - 1
+
+
+def test_all_levels_run(analysed):
+    run, levels = analysed
+    assert tuple(run.computed) == run.levels
+    for name in ("structural", "semantic", "topological"):
+        assert levels[name].count() == levels["metadata"].count() == levels[name].select("bin_id", "id").distinct().count()
+    assert levels["semantic"].filter("cluster is not null").count() > 0 and levels["topological"].filter("cluster is null").count() == 0
+    ami = {r.pair: r.ami for r in levels["agreement"].collect()}
+    assert set(ami) == {"ami_structural_vs_semantic", "ami_structural_vs_topological", "ami_semantic_vs_topological"}
+    assert all(x is None or -1 <= x <= 1 + 1e-9 for x in ami.values())
+    rows = levels["labels"].collect()
+    assert rows and all(r.size >= 5 and r.label and len(r.keywords.split(", ")) <= 8 for r in rows)
+
+
+def test_small_bins_and_bins_without_references(spark):
+    meta = spark.createDataFrame([(b, i) for b, n in ((0, 49), (1, 50), (2, 50)) for i in range(n)], "bin_id int, id long")
+    refs = spark.createDataFrame([(b, i, i // 2) for b in (0, 1) for i in range(40)], "bin_id int, id long, ref long")
+    found = fronts._structural(meta, refs).toPandas().groupby("bin_id").cluster.apply(set)
+    assert found[0] == {0} and len(found[1]) == 30 and found[2] == {-1}
