@@ -18,7 +18,7 @@ from ..sources.readers import table, year_range
 from .stages import Run
 from .works import SQL, work_institutions, work_references, works
 
-DIM = 8
+DIM = 128
 
 
 def year_histogram(spark, d):
@@ -80,7 +80,7 @@ def degree(spark, d):
 
 
 def fastrp(spark, d):
-    found = V.fastrp(_hetero(spark, d)).filter(F.col("node").startswith("W"))
+    found = V.fastrp(_hetero(spark, d), DIM).filter(F.col("node").startswith("W"))
     return found.select("node", F.posexplode("v").alias("dim", "x")).select("node", F.col("dim").cast("long").alias("dim"), (F.round("x", 5) + 0.0).alias("x"))
 
 
@@ -268,8 +268,8 @@ _BINS = """, h AS (SELECT year, count(*) AS n FROM {0} GROUP BY year), u AS (SEL
 c AS (SELECT DISTINCT min(year) AS cut FROM u, range(1, {1} + 1) t(j) WHERE upto > floor((total - 1) * j / {1}) GROUP BY j),
 b AS (SELECT CAST(row_number() OVER (ORDER BY cut) - 1 AS INT) AS bin_id, CAST(coalesce(lag(cut) OVER (ORDER BY cut) + 1, (SELECT min(year) FROM h)) AS INT) AS y_start, CAST(cut AS INT) AS y_end FROM c)"""
 _SLIDE = ", y AS (SELECT min(year) AS a, max(year) AS z FROM w), s AS (SELECT CAST(row_number() OVER (ORDER BY x) - 1 AS INT) AS bin_id, CAST(x AS INT) AS y_start, CAST(x + 2 AS INT) AS y_end FROM (SELECT unnest(range(a, z - 1)) AS x FROM y))"
-_CPL = ", r AS (SELECT wr.*, year FROM wr JOIN w USING (id) WHERE year = 1997), p AS (SELECT x.year, x.id AS a, y.id AS b, count(*) AS shared FROM r x JOIN r y ON x.ref = y.ref AND x.id < y.id GROUP BY ALL)"
-_HET = """, z AS (SELECT id, source_id FROM w WHERE year = 1997),
+_CPL = ", r AS (SELECT wr.*, year FROM wr JOIN w USING (id)), p AS (SELECT x.year, x.id AS a, y.id AS b, count(*) AS shared FROM r x JOIN r y ON x.year = y.year AND x.ref = y.ref AND x.id < y.id GROUP BY ALL)"
+_HET = """, z AS (SELECT id, source_id FROM w),
 e AS (SELECT 'W' || id AS src, 'W' || ref AS dst FROM wr WHERE id IN (SELECT id FROM z) AND ref IN (SELECT id FROM z)
       UNION ALL SELECT 'W' || id, 'I' || inst FROM wi WHERE id IN (SELECT id FROM z) UNION ALL SELECT 'W' || id, 'S' || source_id FROM z)"""
 _PARTS = "p AS (SELECT vec_id, CASE WHEN vec_id % 50 <> 0 THEN label ELSE -1 END AS a, CAST(embedding[1] > 0 AS INT) * 4 + CAST(embedding[2] > 0 AS INT) * 2 + CAST(embedding[3] > 0 AS INT) AS b FROM embeddings), t AS (SELECT a, b, count(*) AS n FROM p WHERE a <> -1 AND b <> -1 GROUP BY ALL)"
@@ -283,8 +283,9 @@ _FRP = _W + _HET + f""", bo AS (SELECT src, dst FROM e UNION ALL SELECT dst, src
 r0 AS (SELECT node, dim, CASE WHEN left(md5(node || ':' || dim), 1) < '8' THEN 1 ELSE -1 END * pow({DIM}.0, -0.5) AS x FROM no, di),
 h1 AS (SELECT src AS node, r0.dim, avg(r0.x) AS m FROM bo JOIN r0 ON r0.node = bo.dst GROUP BY ALL), v1 AS (SELECT h1.node, h1.dim, m + x AS x FROM h1 JOIN r0 USING (node, dim)),
 h2 AS (SELECT src AS node, v1.dim, avg(v1.x) AS m FROM bo JOIN v1 ON v1.node = bo.dst GROUP BY ALL), v2 AS (SELECT h2.node, h2.dim, m + x AS x FROM h2 JOIN r0 USING (node, dim)),
-nr AS (SELECT node, sqrt(sum(x * x)) AS norm FROM v2 GROUP BY node)
-SELECT node, dim, round(CASE WHEN norm > 0 THEN x / norm ELSE x END, 5) + 0.0 AS x FROM v2 JOIN nr USING (node) WHERE node LIKE 'W%'"""
+h3 AS (SELECT src AS node, v2.dim, avg(v2.x) AS m FROM bo JOIN v2 ON v2.node = bo.dst GROUP BY ALL), v3 AS (SELECT h3.node, h3.dim, m + x AS x FROM h3 JOIN r0 USING (node, dim)),
+nr AS (SELECT node, sqrt(sum(x * x)) AS norm FROM v3 GROUP BY node)
+SELECT node, dim, round(CASE WHEN norm > 0 THEN x / norm ELSE x END, 5) + 0.0 AS x FROM v3 JOIN nr USING (node) WHERE node LIKE 'W%'"""
 _TERMS = f"""WITH t AS (SELECT doc_id AS k, lang, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2 AND w NOT IN ({_STOP})) AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT k, lang, unnest(w) AS term FROM t UNION ALL SELECT k, lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t),
 tf AS (SELECT lang, k, term, count(*) AS tf FROM g GROUP BY ALL), tot AS (SELECT lang, term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY ALL),
@@ -316,7 +317,7 @@ ORACLES = {
     "embedding_text": "SELECT doc_id, md5('Title: ' || left(text, 20) || ' [SEP] Abstract: ' || text) AS digest FROM documents",
     "contingency": f"WITH {_PARTS} SELECT * FROM t",
     "mutual_information": f"WITH {_PARTS}, x AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM t), ra AS (SELECT a, sum(n) AS m FROM t GROUP BY a), rb AS (SELECT b, sum(n) AS m FROM t GROUP BY b) SELECT CAST(max(total) AS BIGINT) AS n, round(sum(n / total * ln(n * total / (na * nb))), 6) AS mi, (SELECT round(-sum(m / s * ln(m / s)), 6) FROM ra, (SELECT sum(n) AS s FROM t)) AS h_a, (SELECT round(-sum(m / s * ln(m / s)), 6) FROM rb, (SELECT sum(n) AS s FROM t)) AS h_b FROM x",
-    "cluster_transitions": f"WITH {_WEEK}, ec AS (SELECT bin_id, id % 3 AS cluster, id FROM ev WHERE id % 5 = 1)" + _TRACK.format("ec") + " SELECT from_bin, to_bin, from_cluster, to_cluster, round(jaccard, 6) AS jaccard, shared_docs FROM j WHERE jaccard > 0.05",
+    "cluster_transitions": f"WITH {_WEEK}, ec AS (SELECT bin_id, id % 3 AS cluster, id FROM ev)" + _TRACK.format("ec") + " SELECT from_bin, to_bin, from_cluster, to_cluster, round(jaccard, 6) AS jaccard, shared_docs FROM j WHERE jaccard > 0.05",
     "event_transitions": f"WITH {_WEEK}, ec AS (SELECT bin_id, ascii(cluster) AS cluster, id FROM ev)" + _TRACK.format("ec") + " SELECT from_bin, to_bin, from_cluster, to_cluster, round(jaccard, 6) AS jaccard, shared_docs FROM j WHERE jaccard > 0.3",
     "sankey_index": f"WITH {_WEEK}, ec AS (SELECT bin_id, ascii(cluster) AS cluster, id FROM ev)" + _TRACK.format("ec") + ", l AS (SELECT 'B' || from_bin || '_C' || from_cluster AS source_label, 'B' || to_bin || '_C' || to_cluster AS target_label, shared_docs AS value FROM j WHERE jaccard > 0.3), nn AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i FROM (SELECT source_label AS label FROM l UNION SELECT target_label FROM l)) SELECT x.i AS source, y.i AS target, value, source_label, target_label FROM l JOIN nn x ON x.label = source_label JOIN nn y ON y.label = target_label",
     "cluster_sizes": f"WITH {_WEEK} SELECT bin_id, cluster, count(*) AS size FROM ev GROUP BY ALL",

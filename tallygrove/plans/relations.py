@@ -201,9 +201,9 @@ ORACLES = {
     "node_degree": _PAIRS + _BACK + " SELECT node, CAST(sum(n) AS BIGINT) AS strength, count(*) AS degree FROM u GROUP BY ALL",
     "institution_metrics": _INST + "SELECT * FROM ii",
     "institution_segments": _INST + """SELECT DISTINCT * FROM (
-        SELECT * FROM (SELECT *, 'global' AS segment FROM ii ORDER BY doc_count DESC, inst, year LIMIT 200)
-        UNION ALL SELECT * FROM (SELECT *, 'country' AS segment FROM ii WHERE country = 'NATION_2' ORDER BY doc_count DESC, inst, year LIMIT 50)
-        UNION ALL SELECT *, 'region' AS segment FROM ii QUALIFY row_number() OVER (PARTITION BY region ORDER BY doc_count DESC, inst, year) <= 20)""",
+        SELECT * FROM (SELECT *, 'global' AS segment FROM ii ORDER BY doc_count DESC, inst, year LIMIT 1000)
+        UNION ALL SELECT * FROM (SELECT *, 'country' AS segment FROM ii WHERE country = 'NATION_2' ORDER BY doc_count DESC, inst, year LIMIT 500)
+        UNION ALL SELECT *, 'region' AS segment FROM ii QUALIFY row_number() OVER (PARTITION BY region ORDER BY doc_count DESC, inst, year) <= 100)""",
     "institution_rank": _INST + "SELECT * FROM rk ORDER BY docs DESC, inst LIMIT 30",
     "regional_top_k": _INST + "SELECT region, inst, docs, row_number() OVER (PARTITION BY region ORDER BY docs DESC, inst) AS rank FROM rk JOIN (SELECT inst, region FROM pl) USING (inst) QUALIFY rank <= 5",
     "regional_mean": _INST + "SELECT region, round(avg(fwci_avg), 6) AS fwci_avg, round(avg(pct_top_10), 6) AS pct_top_10, count(*) AS n FROM ii GROUP BY ALL",
@@ -211,7 +211,7 @@ ORACLES = {
     "doc_type_dist": _TYPED + ", m AS (SELECT id, '' AS country FROM w UNION ALL SELECT DISTINCT id, country FROM wc) SELECT year, country, kind, count(*) AS n FROM w JOIN t USING (id) JOIN m USING (id) GROUP BY ALL",
     "sector_dist": f"WITH {SQL}, s AS (SELECT DISTINCT id, p_type AS sector FROM wr JOIN part ON p_partkey = ref), m AS (SELECT id, '' AS region FROM w UNION ALL SELECT DISTINCT id, region FROM wc) SELECT year, region, sector, count(*) AS n FROM w JOIN s USING (id) JOIN m USING (id) GROUP BY ALL",
     "type_distribution": _TYPED + " SELECT kind, count(*) AS n FROM w JOIN t USING (id) GROUP BY kind",
-    "type_densified": _TYPED + ", c AS (SELECT year, kind, count(*) AS n FROM w JOIN t USING (id) WHERE NOT (year = 1999 AND kind = 'R') GROUP BY ALL) SELECT y.year, k.kind, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT year FROM c) y CROSS JOIN (SELECT DISTINCT kind FROM c) k LEFT JOIN c ON c.year = y.year AND c.kind = k.kind",
+    "type_densified": _TYPED + ", c AS (SELECT year, kind, count(*) AS n FROM w JOIN t USING (id) GROUP BY ALL) SELECT y.year, k.kind, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT year FROM c) y CROSS JOIN (SELECT DISTINCT kind FROM c) k LEFT JOIN c ON c.year = y.year AND c.kind = k.kind",
     "dedup_latest": "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "dedup_first": "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_quantity) = 1",
     "semi_ids": f"WITH {SQL} SELECT id, source_id, year FROM w WHERE source_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)",

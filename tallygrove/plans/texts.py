@@ -206,10 +206,10 @@ ORACLES = {
     "number_text": "SELECT c_custkey, round(c_acctbal, 1) AS rounded, coalesce(TRY_CAST(c_name AS DOUBLE), 0.0) AS coerced, CAST(floor(sqrt(abs(c_acctbal))) AS BIGINT) AS root FROM customer",
     "hex_grid": "WITH g AS (SELECT n_nationkey, sqrt(3.0) * ((n_nationkey % 5) + 0.5 * (n_regionkey % 2)) AS x, 1.5 * n_regionkey AS y FROM nation) SELECT n_nationkey, round(x, 6) AS x, round(CAST(y AS DOUBLE), 6) AS y, round(x + cos(radians(150)), 6) AS x1, round(y + sin(radians(150)), 6) AS y1, CAST(7 AS BIGINT) AS corners FROM g",
     "citation_text": f"""WITH {SQL}, r AS (SELECT id, string_agg('W' || ref, '; ' ORDER BY 'https://x.org/W' || ref) AS refs FROM wr GROUP BY id)
-        SELECT id, 'Lovelace A., Plato' || chr(10) || 'AUTHOR FULL NAMES: Ada B Lovelace; Plato' || chr(10) || chr(10) || topic || chr(10) || '(1997) J, Cited ' || (id % 7) || ' times.'
+        SELECT id, 'Lovelace A., Plato' || chr(10) || 'AUTHOR FULL NAMES: Ada B Lovelace; Plato' || chr(10) || chr(10) || topic || chr(10) || '(' || year || ') J, Cited ' || (id % 7) || ' times.'
         || (CASE WHEN id % 2 = 0 THEN chr(10) || 'DOI: 10/' || id ELSE '' END) || chr(10) || 'https://openalex.org/' || id || chr(10) || chr(10) || 'ISSN: 1-2' || chr(10)
         || 'DOCUMENT TYPE: ' || upper(lang[1]) || lower(lang[2:]) || chr(10) || 'PUBLICATION STAGE: Final' || (CASE WHEN oa = 'F' THEN chr(10) || 'OPEN ACCESS: Gold Open Access' ELSE '' END)
-        || coalesce(chr(10) || 'REFERENCES: ' || refs, '') || chr(10) || 'SOURCE: OpenAlex' || chr(10) AS block FROM w LEFT JOIN r USING (id) WHERE year = 1997""",
+        || coalesce(chr(10) || 'REFERENCES: ' || refs, '') || chr(10) || 'SOURCE: OpenAlex' || chr(10) AS block FROM w LEFT JOIN r USING (id)""",
     "search_text": """SELECT CAST(o_orderkey AS VARCHAR) AS eid, 'Nellen L., Sarkis Y.' || chr(10) || 'AUTHOR FULL NAMES: Nellen L.; Sarkis Y.' || chr(10) || chr(10) || o_orderpriority || chr(10)
         || '(' || year(o_orderdate) || ') [No source], Cited ' || o_custkey || ' times.' || (CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'DOI: 10/x' || chr(10) || 'https://www.scopus.com/inward/record.uri?scp=' || o_orderkey || '&origin=inward' ELSE chr(10) END)
         || chr(10) || chr(10) || 'PUBLICATION STAGE: Final' || (CASE WHEN o_orderstatus = 'F' THEN chr(10) || 'OPEN ACCESS: All Open Access' ELSE '' END) || chr(10) || 'SOURCE: Scopus' || chr(10) AS block FROM orders""",
