@@ -1,15 +1,27 @@
 """Benchmark decontamination by winnowing.
 
-Every text is cut into words.  In each window of ``span`` words the smallest
-``k``-gram hash is the window's fingerprint, so two texts that share ``span``
-words in a row share a fingerprint.  Fingerprints of the benchmark and of the
-corpus are joined; a hit is then extended: the digest of the whole window must
-agree, and all windows that agree are united to spans of hit words.
-
-A benchmark text of fewer than ``span`` words is one window of its own length
-and its own fingerprint.  A Bloom filter of fixed size over the benchmark's
-fingerprints spares the shuffle of corpus windows that cannot join; it never
-decides a hit.
+Every text is cut into words.  Of the ``k``-gram hashes in each window of
+``span`` words the smallest (the last of equal ones) is selected; what windows
+next to each other select is mostly one place, so about two places in
+``span - k + 2`` are.  These are a text's fingerprints.  A window that two texts
+share selects the same place in both, so every shared span of ``span`` words or
+more is found at a shared fingerprint.
+
+Fingerprints of the benchmark and of the corpus are joined, and a hit is then
+extended word by word to both sides, over the words that a window around it can
+hold.  A run of ``span`` equal words or more is a match and all its words are
+hit; hashes choose what is compared, the words themselves decide.  As ``span - k``
+words must still agree, half of them do on one side; those stand in the join's
+key beside the fingerprint, so a phrase that is common on both sides doesn't
+pair all its surroundings.  Equal surroundings are one row on each side.
+
+A benchmark text of fewer than ``span`` words is one window of its own length.
+Corpus fingerprints that the benchmark doesn't have are left out where they
+arise: its fingerprints are a mapped set, of any size.
+
+A passage that a third of all texts quote is one row until its answer is joined
+back to its places; there it is a hot key of the left side, which adaptive
+execution splits.
 
 Defined results: null text has no words; an item without words has no window;
 a null item id contaminates but is not listed; repeated rows (equal ids
@@ -25,126 +37,130 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .counts import stored, without
+from .counts import Counts, hashed, stored, without
 from .shared import RangeHash, in_arrow, lower_ascii, mix, pieces, runs, settle, table
 
 SPAN = 13
 K = 7
-#: Words of 64 bits in the Bloom filter: 512 KiB however large the benchmark is.
-BLOOM_WORDS = 1 << 16
-BLOOM_HASHES = 3
 
 _WORD = np.ones(256, bool)
 _WORD[0x00:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
-_A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
-
-
-def _grams(words: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
-    """Hash of the n words from each place on."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    top = len(words) - n + 1
-    out = np.zeros(top, np.uint64)
-    for i in range(n):
-        out = out * factor + words[i : i + top]
-    return mix(out + np.uint64(n))
-
-
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the number of words before each row."""
-    lowered = lower_ascii(data)
-    starts, ends, before = runs(_WORD[lowered], offsets)
-    return RangeHash(lowered).of(starts, ends), before
-
-
-def _windows(words: np.ndarray, before: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of n words that stay in their row: first word, fingerprint, and two digests."""
-    if len(words) < n:
-        return np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3
-    top = len(words) - n + 1
-    end = np.repeat(before[1:], np.diff(before))  # of each word's row
-    inside = np.arange(top) + n <= end[:top]
-    if n > k:
-        gram = _grams(words, k, _A)
-        least = gram[:top].copy()
-        for i in range(1, n - k + 1):
-            np.minimum(least, gram[i : i + top], out=least)
-    else:
-        least = _grams(words, n, _A)
-    at = np.flatnonzero(inside)
-    return at, least[at], _grams(words, n, _A)[at], _grams(words, n, _B)[at]
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _item_windows(batches, column: str, span: int, k: int):
-    for rows, data, offsets in pieces(batches, column):
-        words, before = _words(data, offsets)
-        sizes = np.diff(before)
-        ids = rows.column("item_id")
-        for n in np.unique(np.minimum(sizes, span)):
-            if not n:
-                continue
-            keep = np.flatnonzero(np.minimum(sizes, span) == n)
-            chosen = np.isin(np.repeat(np.arange(len(sizes)), sizes), keep)
-            part = np.concatenate([[0], np.cumsum(sizes[keep])])
-            at, least, first, second = _windows(words[chosen], part, int(n), k)
-            row = keep[np.searchsorted(part, at, "right") - 1]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row)), pa.array(np.full(len(at), n, np.int32)), _signed(least), _signed(first), _signed(second)],
-                ["item_id", "n", "fp", "d1", "d2"],
-            )
-
-
-def item_windows(items: DataFrame, text_col: str = "text", id_col: str = "item_id", span: int = SPAN, k: int = K) -> DataFrame:
-    """item_id, n words, fingerprint fp, digest (d1, d2): one row for each window of each item."""
+_FACTOR = np.uint64(0x9FB21C651E98DF25)
+#: What joins the places of a corpus text with those of the benchmark.
+_KEY = ("n", "fp", "lead", "context")
+_PLACES = "at array<long>, n array<int>, fp array<long>, lead array<int>, context array<string>"
+
+
+class Words:
+    """The words of a piece: where they are, their hashes, and the number of words before each row."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        lowered = lower_ascii(data)
+        self.starts, self.ends, self.before = runs(_WORD[lowered], offsets)
+        self.hashes, self.flat = RangeHash(lowered).of(self.starts, self.ends), lowered.tobytes()
+
+    def text(self, first: int, end: int) -> str:
+        return b" ".join([self.flat[a:b] for a, b in zip(self.starts[first:end].tolist(), self.ends[first:end].tolist())]).decode()
+
+
+def winnowed(hashes: np.ndarray, before: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that windows of n words select, and the hashes of the k-grams there."""
+    k, top = min(k, n), len(hashes) - n + 1
+    if top < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    gram = np.zeros(len(hashes) - k + 1, np.uint64)
+    for i in range(k):
+        gram = gram * _FACTOR + hashes[i : i + len(gram)]
+    gram = mix(gram + np.uint64(n))
+    least, place = gram[:top].copy(), np.arange(top)
+    for i in range(1, n - k + 1):
+        other = gram[i : i + top]
+        better = other <= least
+        np.copyto(least, other, where=better)
+        np.copyto(place, np.arange(i, i + top), where=better)
+    row_end = np.repeat(before[1:], np.diff(before))  # of each word's row
+    chosen = np.unique(place[np.arange(top) + n <= row_end[:top]])
+    return chosen, gram[chosen]
+
+
+def _places(words: Words, n: int, k: int, wanted: Counts | None = None) -> list:
+    """(row, place in the row, n, fingerprint, words before the place in the context, context) of selected places."""
+    at, fp = winnowed(words.hashes, words.before, n, k)
+    if wanted is not None:
+        hit = wanted.of(mix(fp), mix(fp)) > 0
+        at, fp = at[hit], fp[hit]
+    row = np.searchsorted(words.before, at, "right") - 1
+    reach = n - min(k, n)
+    first = np.maximum(at - reach, words.before[row])
+    end = np.minimum(at + n, words.before[row + 1])
+    return [row, at - words.before[row], np.full(len(at), n, np.int32), fp.view(np.int64), (at - first).astype(np.int32), [words.text(a, b) for a, b in zip(first.tolist(), end.tolist())]]
+
+
+def _item_places(batches, span: int, k: int):
+    for rows, data, offsets in pieces(batches, "text"):
+        sizes = np.minimum(np.diff(Words(data, offsets).before), span)
+        for n in np.unique(sizes[sizes > 0]):
+            keep = np.flatnonzero(sizes == n)
+            part = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in keep])
+            row, _, *rest = _places(Words(part, np.concatenate([[0], np.cumsum(np.diff(offsets)[keep])])), int(n), k)
+            yield pa.RecordBatch.from_arrays([rows.column("item_id").take(pa.array(keep[row])), *[pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int32(), pa.string()))]], ["item_id", *_KEY])
+
+
+def item_fingerprints(items: DataFrame, text_col: str = "text", id_col: str = "item_id", span: int = SPAN, k: int = K) -> DataFrame:
+    """item_id, n words of a window, fingerprint fp, and its surroundings: lead words and what follows, as context."""
     rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.transform(in_arrow, partial(_item_windows, column="text", span=span, k=k), "item_id string, n int, fp long, d1 long, d2 long")
-
-
-def _bits(fp: np.ndarray) -> list[np.ndarray]:
-    return [(fp >> np.uint64(20 * i)) & np.uint64(BLOOM_WORDS * 64 - 1) for i in range(BLOOM_HASHES)]
+    return rows.transform(in_arrow, partial(_item_places, span=span, k=k), "item_id string, n int, fp long, lead int, context string")
 
 
-def _bloom(windows: DataFrame) -> tuple[bytes, list[int]]:
-    """A filter of fixed size, its words united on the cluster; and the lengths of windows that occur."""
-    bit = F.explode(F.array(*[F.shiftrightunsigned("fp", 20 * i).bitwiseAND(F.lit(BLOOM_WORDS * 64 - 1)) for i in range(BLOOM_HASHES)]))
-    words = (
-        windows.select(bit.alias("bit"))
-        .select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
-        .groupBy("word")
-        .agg(F.bit_or("mask").alias("mask"))
-        .collect()  # at most BLOOM_WORDS rows
-    )
-    out = np.zeros(BLOOM_WORDS, np.int64)
-    for word, mask in words:
-        out[word] = mask
-    return out.tobytes(), sorted(r[0] for r in windows.select("n").distinct().collect())  # at most ``span`` rows
-
-
-def _scan(batches, column: str, bloom: bytes, lengths: list[int], k: int):
-    bits = np.frombuffer(bloom, np.uint64)
-    for rows, data, offsets in pieces(batches, column):
-        words, before = _words(data, offsets)
-        found = []
-        for n in lengths:
-            at, least, first, second = _windows(words, before, n, k)
-            hit = np.ones(len(at), bool)
-            for bit in _bits(least):
-                hit &= (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
-            found.append((at[hit], np.full(int(hit.sum()), n, np.int32), least[hit], first[hit], second[hit]))
-        at, n, least, first, second = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, t) for t in (np.int64, np.int32, *[np.uint64] * 3)]
-        row = np.searchsorted(before, at, "right") - 1
+def _scan(batches, wanted: Counts, lengths: list[int], k: int):
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string())
+    for rows, data, offsets in pieces(batches, "text"):
+        words = Words(data, offsets)
+        found = [_places(words, n, k, wanted) for n in lengths]
+        row = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
         order = np.argsort(row, kind="stable")
-        ends = pa.array(np.searchsorted(row[order], np.arange(len(before))).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array((at - before[row])[order]), pa.array(n[order]), *[_signed(x[order]) for x in (least, first, second)])]
-        rest = [i for i, c in enumerate(rows.schema.names) if c != column]
-        yield pa.RecordBatch.from_arrays(
-            [*[rows.column(i) for i in rest], pa.array(np.diff(before).astype(np.int64)), *lists],
-            [*[rows.schema.names[i] for i in rest], "n_words", "at", "n", "fp", "d1", "d2"],
-        )
+        cut = pa.array(np.searchsorted(row[order], np.arange(rows.num_rows + 1)).astype(np.int32))
+        columns = [[x for f in found for x in (f[i].tolist() if isinstance(f[i], np.ndarray) else f[i])] for i in range(1, 6)]
+        lists = [pa.ListArray.from_arrays(cut, pa.array([column[i] for i in order], kind)) for column, kind in zip(columns, kinds)]
+        yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("doc_id"), pa.array(np.diff(words.before).astype(np.int64)), *lists], ["rid", "doc_id", "n_words", "at", *_KEY])
+
+
+def _extend(batches, k: int):
+    """Pairs of surroundings of one fingerprint: how far the words around it agree, from lo to hi; what falls short of n words goes."""
+    for batch in batches:
+        lows, highs = [], []
+        for n, lead, context, other_lead, other in zip(*(batch.column(c).to_pylist() for c in ("n", "lead", "context", "other_lead", "other"))):
+            a, b = context.split(" "), other.split(" ")
+            lo = 0
+            while lo < min(lead, other_lead) and a[lead - lo - 1] == b[other_lead - lo - 1]:
+                lo += 1
+            hi = 0
+            while hi < min(len(a) - lead, len(b) - other_lead) and a[lead + hi] == b[other_lead + hi]:
+                hi += 1
+            good = hi >= min(k, n) and lo + hi >= n
+            lows.append(-lo if good else None)
+            highs.append(hi)
+        lo = pa.array(lows, pa.int32())
+        out = pa.RecordBatch.from_arrays([*batch.columns, lo, pa.array(highs, pa.int32())], [*batch.schema.names, "lo", "hi"])
+        yield out.filter(lo.is_valid())
+
+
+def _sides(k: int) -> Column:
+    """The words of half the missing length on either side of the gram, where the context holds them; a gram that misses none has one empty side."""
+    words = F.split("context", " ")
+    size = F.least(F.col("n"), F.lit(k))
+    half = F.ceil((F.col("n") - size) / 2).cast("int")
+    left = F.when(F.col("lead") >= half, F.struct(F.lit("<").alias("side"), F.array_join(F.slice(words, F.col("lead") - half + 1, half), " ").alias("more")))
+    right = F.when(F.size(words) - F.col("lead") - size >= half, F.struct(F.lit(">").alias("side"), F.array_join(F.slice(words, F.col("lead") + size + 1, half), " ").alias("more")))
+    return F.explode(F.filter(F.when(half > 0, F.array(left, right)).otherwise(F.array(left)), lambda s: s.isNotNull()))
+
+
+def matches(asked: DataFrame, known: DataFrame, k: int = K) -> DataFrame:
+    """Surroundings that share a run of n words at a fingerprint: those asked for (n, fp, lead, context), lo, hi, and other_lead, other of the known ones."""
+    left = asked.select(*_KEY).distinct().select(*_KEY, _sides(k).alias("s"))
+    right = known.select(*_KEY).distinct().select("n", "fp", F.col("lead").alias("other_lead"), F.col("context").alias("other"), _sides(k).alias("s"))
+    pairs = left.join(right, ["n", "fp", "s"]).select(*_KEY, "other_lead", "other")
+    return pairs.transform(in_arrow, partial(_extend, k=k), "n int, fp long, lead int, context string, other_lead int, other string, lo int, hi int").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id", span: int = SPAN, k: int = K) -> DataFrame:
@@ -152,41 +168,28 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", id_
 
     ``rid`` names the input row of this call, so repeated ids stay apart.
     """
-    windows = settle(item_windows(items, item_text_col, item_id_col, span, k), "winnow-items")
-    bloom, lengths = _bloom(windows)
+    known = settle(item_fingerprints(items, item_text_col, item_id_col, span, k), "winnow-items")
+    wanted = stored(known.select("fp", F.col("fp").alias("again")).distinct())
+    lengths = sorted(r[0] for r in known.select("n").distinct().collect())  # at most ``span`` rows
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    scanned = settle(
-        rows.transform(
-            in_arrow,
-            partial(_scan, column="text", bloom=bloom, lengths=lengths, k=k),
-            f"rid long, doc_id {kind}, n_words long, at array<long>, n array<int>, fp array<long>, d1 array<long>, d2 array<long>",
-        ),
-        "winnow-docs",
-    )
-    key = ["n", "fp", "d1", "d2"]
-    known = windows.groupBy(*key).agg(F.min(F.struct("n")).alias("_")).drop("_")
-    hits = (
-        scanned.filter(F.size("at") > 0)
-        .select("rid", F.explode(F.arrays_zip("at", *key)).alias("w"))
-        .select("rid", "w.*")
-        .join(known, key)
-    )
-    hits = settle(hits, "winnow-hits")
+    scanned = settle(rows.transform(in_arrow, partial(_scan, wanted=wanted, lengths=lengths, k=k), f"rid long, doc_id {kind}, n_words long, {_PLACES}"), "winnow-docs")
+    places = scanned.filter(F.size("at") > 0).select("rid", F.explode(F.arrays_zip("at", *_KEY)).alias("p")).select("rid", "p.*")
+    matched = settle(matches(places, known, k), "winnow-matches")
+    # items that hold the same words stand together as one list, so a passage in many items isn't paired row by row
+    holders = known.groupBy("n", "fp", F.col("lead").alias("other_lead"), F.col("context").alias("other")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    answers = matched.join(holders, ["n", "fp", "other_lead", "other"]).groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = places.join(answers, list(_KEY)).select("rid", F.transform("runs", lambda r: F.struct((F.col("at") + r["lo"]).alias("from"), (F.col("at") + r["hi"]).alias("to"))).alias("runs"), "items")
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total"))
-    unite = lambda acc, w: F.struct(
-        F.greatest(acc["end"], w["at"] + w["n"]).alias("end"),
-        (acc["total"] + F.greatest(F.lit(0).cast("long"), w["at"] + w["n"] - F.greatest(acc["end"], w["at"]))).alias("total"),
+    unite = lambda acc, r: F.struct(
+        F.greatest(acc["end"], r["to"]).alias("end"),
+        (acc["total"] + F.greatest(F.lit(0).cast("long"), r["to"] - F.greatest(acc["end"], r["from"]))).alias("total"),
     )
-    spans = hits.groupBy("rid").agg(F.aggregate(F.array_sort(F.collect_set(F.struct("at", "n"))), start, unite)["total"].alias("n_hit"))
-    # items that hold the same windows stand together as one list, so a passage in many items isn't paired row by row
-    holders = windows.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    lists = hits.select("rid", *key).distinct().join(holders, key).select("rid", "items").distinct()
-    named = lists.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    total = F.aggregate(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))), start, unite)["total"]
+    by_row = hits.groupBy("rid").agg(total.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return (
         scanned.select("rid", "doc_id", "n_words")
-        .join(spans, "rid", "left")
-        .join(named, "rid", "left")
+        .join(by_row, "rid", "left")
         .select("rid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     )
 
@@ -199,12 +202,13 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns.
 
-    The verdict is the text's, so it goes by the text's 64-bit hash; texts are
+    The verdict is the text's, so it goes by two 64-bit hashes of it; texts are
     filtered where they are and never shuffled.
     """
-    key = F.xxhash64(F.col(text_col))
-    judged = contamination(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, "text", "key").filter(contaminated())
-    return without(docs, key, stored(judged.select("doc_id")))
+    text = F.col(f"`{text_col}`").cast("string")
+    key = hashed(text.isNull(), text)
+    judged = contamination(docs.select(F.struct(key[0].alias("k1"), key[1].alias("k2")).alias("key"), text.alias("text")), items, "text", "key").filter(contaminated())
+    return without(docs, key, stored(judged.select("doc_id.k1", "doc_id.k2")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def _build_vocabulary(group: pa.Table, folder: str) -> pa.Table:
     keys, a = EliasFano.encode(key[order], "keys")
     sums, b = EliasFano.encode(np.cumsum(group.column("n").to_numpy()[order]).astype(np.uint64), "sums")
     shard = group.column("shard")[0].as_py()
-    put_file(f"{folder}/1-{shard}", pack(keys | sums | {"second": second[order].astype(np.uint32)}, **a, **b))
+    put_file(f"{folder}/1-{shard}", pack(keys | sums | {"second": second[order]}, **a, **b))
     return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(key)], pa.int64())})
 
 
@@ -144,7 +144,7 @@ class Trie:
         """Of each word its id, or -1, and its count."""
         key, second = _hashes(words)
         order = np.argsort(key)
-        key, second = key[order], second[order].astype(np.uint32)
+        key, second = key[order], second[order]
         ids, counts = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
         for i, rows in self._by_shard(_shard_of(key, len(self.base[0]) - 1), 1):
             arrays, ef, _ = self.shard(1, i)

@@ -8,6 +8,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -27,14 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir), with its scheme; a temporary one only on one machine where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallygrove-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    # a path without a scheme belongs to the default file system, which need not be a local one
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString().rstrip("/")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -65,7 +72,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def local_path(uri: str) -> str | None:
     """The path when the shared folder is mounted on every machine, else None."""
     parts = urlparse(uri)
-    return parts.path if parts.scheme in ("", "file") else None
+    return parts.path if parts.scheme == "file" else None
 
 
 def put_file(uri: str, data: bytes) -> None:
@@ -87,18 +94,37 @@ def put_file(uri: str, data: bytes) -> None:
 
 
 def map_file(uri: str) -> np.ndarray:
-    """The bytes of a file of the shared folder, memory-mapped; copied to an unlinked local file if it is not mounted."""
+    """The bytes of a file of the shared folder: memory-mapped, or read if it is not mounted."""
     if (path := local_path(uri)) is not None:
         return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    with tempfile.TemporaryFile() as f:
-        with store.open_input_stream(path) as source:
-            while block := source.read(1 << 20):
-                f.write(block)
-        f.flush()
-        return np.memmap(f, np.uint8, "r") if f.tell() else np.zeros(0, np.uint8)
+    with store.open_input_stream(path) as source:
+        return np.frombuffer(source.read(), np.uint8)
+
+
+class Opened:
+    """Files of the shared folder that a task has open: the last used ones, up to ``most`` of them, and of read bytes up to ``most_bytes``."""
+
+    def __init__(self, most: int = 512, most_bytes: int = 64 << 20):
+        self.most, self.most_bytes, self.held, self.size = most, most_bytes, OrderedDict(), 0
+
+    def __reduce__(self):
+        return Opened, (self.most, self.most_bytes)
+
+    def get(self, uri: str, read):
+        """``read`` of the file's bytes, kept while there is room."""
+        if uri in self.held:
+            self.held.move_to_end(uri)
+            return self.held[uri][0]
+        data = map_file(uri)
+        size = 0 if isinstance(data, np.memmap) else len(data)
+        self.held[uri] = read(data), size
+        self.size += size
+        while len(self.held) > 1 and (len(self.held) > self.most or self.size > self.most_bytes):
+            self.size -= self.held.popitem(last=False)[1][1]
+        return self.held[uri][0]
 
 
 # ---- Arrow ---------------------------------------------------------------------------------
@@ -154,8 +180,6 @@ def strings_of(column: pa.Array) -> list[str]:
 # ---- hashes --------------------------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -167,44 +191,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-#: A value for each byte, in two independent tables.
-_BYTE = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(odd)) for odd in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+#: The field of the range hashes is that of the prime 2**61 - 1, and these are the points at which texts are evaluated as polynomials.
+PRIME = (1 << 61) - 1
+POINTS = (0x0F3C6EF372FE94F8, 0x15A54FF53A5F1D36)
+_P, _29, _31, _32, _61 = (np.uint64(x) for x in (PRIME, 29, 31, 32, 61))
+_LOW29, _LOW30, _LOW31, _LOW32 = (np.uint64((1 << n) - 1) for n in (29, 30, 31, 32))
+#: Bytes whose sums of products stay below 2**64.
+_STEP = 1 << 22
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products in the field, by halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _LOW30) << _31) + a0 * b0)
 
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        full = np.full(max(n, PIECE_BYTES + 64), _BASE, np.uint64)
-        full[0] = 1
-        _POWERS = np.cumprod(full, dtype=np.uint64)
-    return _POWERS
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` in the field, at least."""
+    known = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(known) < n:
+        known = np.concatenate([known, times(known, np.full(1, pow(base, len(known), PRIME), np.uint64))])
+    _POWERS[base] = known
+    return known
 
 
 class RangeHash:
-    """64-bit hashes of any byte ranges of a buffer, equal for equal bytes wherever they stand."""
+    """64-bit hashes of any byte ranges of a buffer, equal for equal bytes wherever they stand.
+
+    A range is a polynomial whose coefficients are its bytes, evaluated at a
+    point of the field of 2**61 - 1; unlike ranges of n bytes agree at n of
+    2**61 points at most, whatever their structure.  ``which`` is one of two
+    independent points.
+    """
 
     def __init__(self, data: np.ndarray, which: int = 0):
         n = len(data)
-        self.top, self.power = n, powers(n + 1)
+        power, self.back = powers(POINTS[which], n + 1), powers(pow(POINTS[which], -1, PRIME), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        if n:
-            np.cumsum(_BYTE[which][data] * self.power[:n], out=self.sums[1:])
+        for at in range(0, n, _STEP):
+            part = data[at : at + _STEP].astype(np.uint64) + np.uint64(1)
+            weight = power[at : at + len(part)]
+            low, high = np.cumsum(part * (weight & _LOW32)), np.cumsum(part * (weight >> _32))
+            self.sums[at + 1 : at + 1 + len(part)] = _reduced(((high & _LOW29) << _32) + (high >> _29) + low + self.sums[at])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        span = (self.sums[end] - self.sums[start]) * self.power[self.top - start]
-        return mix(span * _inverse(self.top) + (end - start).astype(np.uint64))
-
-
-_INVERSES: dict[int, np.uint64] = {}
-
-
-def _inverse(n: int) -> np.uint64:
-    """The factor that takes base**n away, so that hashes from buffers of any length agree."""
-    if n not in _INVERSES:
-        if len(_INVERSES) > 4096:
-            _INVERSES.clear()
-        _INVERSES[n] = np.uint64(pow(pow(_BASE, n, 1 << 64), -1, 1 << 64))
-    return _INVERSES[n]
+        span = times(_reduced(self.sums[end] + _P - self.sums[start]), self.back[start])
+        return mix((span << np.uint64(3)) | ((end - start).astype(np.uint64) & np.uint64(7)))
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

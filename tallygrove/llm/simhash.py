@@ -10,13 +10,21 @@ Pairs are only formed within buckets: the 64 bits are cut into blocks, and
 fingerprints within ``radius`` bits agree on at least ``blocks - radius`` whole
 blocks, so every choice of so many blocks is one bucket key and no link is
 lost.  In a bucket, rows are swept in the order of their first coordinate.
-A bucket above ``BUCKET`` rows is dealt out as pairs of sub-buckets.  Equal
+A bucket above ``BUCKET`` rows is dealt out as pairs of sub-buckets, so a row
+is copied once for each ``BUCKET`` rows.  Where that is more than its neighbours
+in the free bits of the bucket's key are (``DENSE``), the neighbours are listed
+instead: fingerprints within three bits are those one of which is within one
+bit, the other within two of some value, so each value's are a star, and the
+rows are a fixed number for each fingerprint, however large the bucket.  Equal
 fingerprints are one node from the start, and links of a task leave it as stars
 of its own components, so a group of copies never becomes all its pairs.
 
 Defined results: null text has no words and fingerprint zero, which links like
 any other; a null document id gets a fingerprint and a component but never
-names one; repeated rows are returned as often as they stand there.
+names one; repeated rows are returned as often as they stand there; ids may be
+of any type with an order; other columns are ignored.  ``keep_first`` decides
+row by row: unlike texts of one id are judged apart, and of repeated rows one
+stays.
 """
 
 from __future__ import annotations
@@ -31,13 +39,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .counts import stored, without
+from .counts import hashed, having, stored, without
 from .shared import in_arrow, mix, pieces, settle, table
 
 RADIUS = 3
 BLOCKS = 5
 PIVOTS = 32
 BUCKET = 4096
+#: Rows of a bucket above which a row has fewer neighbours in its free bits (39 of them: 781 within two) than the bucket has sub-buckets.
+DENSE = 781 * BUCKET
 SEED = 42
 SHINGLE = 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -74,10 +84,15 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, partial(_fingerprints, shingle=shingle), f"doc_id {kind}, fp long")
 
 
-def _keys(radius: int, blocks: int) -> list[F.Column]:
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def masks(radius: int, blocks: int) -> list[int]:
+    """The bits of every choice of blocks that near fingerprints may agree on."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    block = [F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(blocks)]
-    return [F.xxhash64(F.lit(n), *[block[i] for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), blocks - radius))]
+    block = [(1 << cuts[i + 1]) - (1 << cuts[i]) for i in range(blocks)]
+    return [sum(chosen) for chosen in combinations(block, blocks - radius)]
 
 
 PIVOT_TABLE = mix(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
@@ -129,8 +144,8 @@ def _links(batches, radius: int, rows_at_once: int = 1 << 18):
     size = 0
 
     def flush(rows: np.ndarray):
-        change = np.any(rows[1:, :3] != rows[:-1, :3], axis=1)
-        centre, member = sweep(np.concatenate([[0], np.cumsum(change)]), rows[:, 3].astype(np.int64).view(np.uint64), radius)
+        change = np.any(rows[1:, :4] != rows[:-1, :4], axis=1)
+        centre, member = sweep(np.concatenate([[0], np.cumsum(change)]), rows[:, 4].astype(np.int64).view(np.uint64), radius)
         return pa.RecordBatch.from_arrays([pa.array(centre.view(np.int64)), pa.array(member.view(np.int64))], ["a", "b"])
 
     for batch in batches:
@@ -140,7 +155,8 @@ def _links(batches, radius: int, rows_at_once: int = 1 << 18):
         size += batch.num_rows
         if size >= rows_at_once:
             rows = np.concatenate(held)
-            end = int(np.flatnonzero(np.any(rows[:, :3] != rows[-1, :3], axis=1))[-1:].sum() + 1) if np.any(rows[:, :3] != rows[-1, :3]) else 0
+            before = np.flatnonzero(np.any(rows[:, :4] != rows[-1, :4], axis=1))
+            end = int(before[-1]) + 1 if len(before) else 0
             if end:
                 yield flush(rows[:end])
             held, size = [rows[end:]], len(rows) - end
@@ -148,37 +164,82 @@ def _links(batches, radius: int, rows_at_once: int = 1 << 18):
         yield flush(np.concatenate(held))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
+def _stars(rows: DataFrame, radius: int, chosen: list[int]) -> DataFrame:
+    """Links of whole buckets by values near their fingerprints: (a, b), linear in the rows."""
+    inner = radius // 2
+    free = F.create_map(*[x for m in chosen for x in (F.lit(_signed(m)), F.array(*[F.lit(i) for i in range(64) if not m >> i & 1]))])
+
+    def flips(most: int) -> F.Column:
+        """Every choice of at most so many of the free bits: (bits, n of them, the highest one's place)."""
+        choice = lambda bits, n, top: F.struct(bits.alias("bits"), F.lit(n).alias("n"), top.alias("top"))
+        out = [F.array(choice(F.lit(0).cast("long"), 0, F.lit(-1)))]
+        for n in range(1, most + 1):
+            more = lambda c, n=n: F.transform(F.filter(F.element_at(free, F.col("mask")), lambda i: i > c["top"]), lambda i: choice(c["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)), n, i))
+            out.append(F.flatten(F.transform(out[-1], more)))
+        return F.concat(*out)
+
+    near = rows.select("mask", "fp", F.explode(flips(radius - inner)).alias("c")).select("mask", F.col("fp").bitwiseXOR(F.col("c.bits")).alias("x"), "fp", F.col("c.n").alias("n"))
+    near = settle(near, "simhash-near")
+    centres = near.filter(F.col("n") <= inner).groupBy("mask", "x").agg(F.min("fp").alias("a"))
+    return near.join(centres, ["mask", "x"]).filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+
+
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket: int = BUCKET, dense: int = DENSE) -> DataFrame:
     """Distinct fingerprints fp -> links (a, b) whose closure is that of all pairs within ``radius`` bits."""
-    rows = settle(fps.select("fp", F.explode(F.array(*_keys(radius, blocks))).alias("key")), "simhash-keys")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    chosen = masks(radius, blocks)
+    rows = settle(fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in chosen])).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp"), "simhash-keys")
+    sizes = settle(rows.groupBy("mask", "part").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-buckets")
     parts = F.ceil(F.col("n") / bucket)
     own = F.pmod(F.xxhash64("fp", F.lit(7)), parts)
-    cells = rows.join(sizes, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    cells = cells.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
-    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").transform(in_arrow, partial(_links, radius=radius), "a long, b long")
+    cells = rows.join(sizes.filter(F.col("n") <= dense), ["mask", "part"]).select("mask", "part", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    cells = cells.select("mask", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+    cell = ["mask", "part", "x", "y"]
+    swept = cells.repartition(*cell).sortWithinPartitions(*cell).transform(in_arrow, partial(_links, radius=radius), "a long, b long")
+    large = sizes.filter(F.col("n") > dense)
+    if large.isEmpty():
+        return swept
+    return swept.unionByName(_stars(rows.join(large.select("mask", "part"), ["mask", "part"]), radius, chosen))
+
+
+def _labels(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct (fp, ...) -> the same and label, the fingerprint that names its component."""
+    named = components(links(distinct, radius)).select(F.col("node").alias("fp"), "label")
+    return distinct.join(named, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: the smallest id among documents that links reach."""
     found = settle(fingerprints(docs, text_col, id_col, shingle), "simhash-fingerprints")
     distinct = settle(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    labels = components(links(distinct, radius)).select(F.col("node").alias("fp"), "label")
-    labelled = settle(distinct.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-labels")
+    labelled = settle(_labels(distinct, radius), "simhash-labels")
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     return found.join(labelled.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of each component, that with the smallest id (of rows with equal ids, one); rows without an id stay.
+def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component, that with the smallest id; rows without an id stay.
 
-    Ids are longs.  What goes is looked up where the rows are; texts are only
-    shuffled if there are repeated ids to make one.
+    A row is known by the hashes of its id and text.  Of rows of one component
+    with the smallest id, that with the smallest hashes stays, and of rows with
+    equal id and text one.  Rows that stay are looked up where they are; only
+    those that are repeated whole are shuffled, to make them one.
     """
-    gone = near_duplicates(docs, text_col, id_col).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").cast("long").alias("doc_id"))
-    kept = without(docs, F.col(id_col), stored(gone))
-    distinct = docs.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty()
-    return kept if distinct else kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    key = hashed(id_.isNull(), id_.cast("string"), text.isNull(), text)
+    rows = docs.select(id_.alias("doc_id"), text.alias("text"), key[0].alias("k1"), key[1].alias("k2"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = settle(rows.transform(in_arrow, partial(_fingerprints, shingle=shingle), f"doc_id {kind}, k1 long, k2 long, fp long"), "simhash-fingerprints")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "k1", "k2"))).alias("first")
+    distinct = settle(found.groupBy("fp").agg(first), "simhash-distinct")
+    leaders = settle(_labels(distinct, radius).groupBy("label").agg(F.min("first").alias("first")).filter("first is not null").select("first.*"), "simhash-leaders")
+    nameless = found.filter("doc_id is null").select("k1", "k2").distinct()
+    kept = having(docs, key, stored(leaders.select("k1", "k2").unionByName(nameless)))
+    repeated = settle(found.filter("doc_id is not null").groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").join(leaders, ["k1", "k2"], "left_semi").select("k1", "k2"), "simhash-repeated")
+    if repeated.isEmpty():
+        return kept
+    known = stored(repeated)
+    twice = having(kept, key, known)
+    return without(kept, key, known).unionByName(twice.dropDuplicates([id_col, text_col]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,22 +8,28 @@ suffix, so its place in corpus order is the pair of their ranks in the suffix
 arrays of dictionary and parse.  Equal strings of ``length`` bytes are
 neighbours in that order.
 
-The corpus is ordered in parts that strings of equal content cannot leave:
-
-1. Count phrases.  A string that holds a whole phrase which occurs once in the
-   corpus occurs once itself; nothing more is done for it.
-2. Other strings are taken together by the first whole phrase in them: one
-   stretch of text per phrase occurrence.  Stretches (runs of the parse) are
-   counted by digest; a stretch that occurs twice settles all its strings.
-   Strings without a whole phrase, and those of phrases that occur above
-   ``hot`` times, are counted one by one, so no phrase makes a large group.
-3. Distinct stretches of a phrase that has unsettled ones go to one shard,
-   where dictionary and parse are sorted and neighbours in corpus order compared.
+The corpus is ordered in parts that strings of equal content cannot leave.  A
+string's part is its anchor: of the whole phrases in it the one that is rarest
+in the corpus, the first of equally rare ones.
+
+1. Count phrases.  A string whose anchor occurs once occurs once itself;
+   nothing more is done for it.
+2. Other strings are taken together by their anchor: one stretch of text per
+   phrase occurrence that is an anchor.  Stretches are runs of the parse and are
+   counted as such; one that occurs twice settles all its strings.
+3. Distinct stretches of an anchor that has unsettled ones go to one shard,
+   where dictionary and parse are sorted; neighbours in corpus order are
+   compared byte by byte, and those with ``length`` bytes in common repeat.
+   As the anchor is the rarest phrase, a part is no larger than the number of
+   copies of its text.  Strings of an anchor above ``hot`` occurrences, and those
+   without a whole phrase, are spread by their own content instead: one row for
+   each distinct string of a task and its number there, ordered and compared in
+   shards like the others.  So no phrase makes a large group.
 4. Texts are read once more, and bytes under any repeated string are removed.
 
 Counts and sets live in files of the shared folder, cut by hash into shards of
 bounded size and memory-mapped by the tasks; neither is collected nor
-broadcast.  Strings are compared by 64-bit digests.
+broadcast.  Their keys are two independent 64-bit hashes.
 
 Defined results: null text is empty; matches stay within a text; a repeated row
 repeats all its strings, so it loses them as any copy does; other columns are
@@ -41,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .counts import Counts, counted, handed, shard_of
+from .counts import BLOCKS, Counts, Gathering, counted, shard_of
 from .eliasfano import pack, unpack
 from .shared import RangeHash, in_arrow, mix, pieces, runs, table
 
@@ -50,9 +56,8 @@ WINDOW = 8
 #: Mean bytes between triggers.
 PERIOD = 24
 HOT = 4096
-#: Text bytes that one shard of hashes is made from, and that one shard of stretches is, at most on average.
-SHARD_BYTES = 24 << 20
-GATHER = 2 << 20
+#: Text bytes that one shard is made from.
+SHARD_BYTES = 12 << 20
 _U = np.uint64
 _FIRES = _U((1 << 32) // PERIOD)
 _FAR = 1 << 60
@@ -91,7 +96,7 @@ class Parse:
         rows = len(offsets) - 1
         at = np.insert(at, np.searchsorted(row, np.arange(rows), "right"), offsets[1:] + length + WINDOW)
         self.row = np.insert(row, np.searchsorted(row, np.arange(rows), "right"), np.arange(rows))
-        self.at, self.hash, self.length = at, RangeHash(data), length
+        self.at, self.data, self.hash, self.length, self._second = at, data, RangeHash(data), length, None
         n = len(at)
         self.real = np.ones(n, bool)  # entries that begin a whole phrase
         same = np.zeros(n, bool)
@@ -103,6 +108,7 @@ class Parse:
         before = np.full(n, -_FAR)
         before[1:][same[:-1]] = at[:-1][same[:-1]]
         start, end = offsets[self.row], offsets[self.row + 1]
+        self.start, self.end = start, end
         self.low = np.maximum(start, before - WINDOW + 1)
         self.high = np.minimum(at - WINDOW, end - length)
         self.phrase = np.flatnonzero(self.real & (end - start >= length))
@@ -115,86 +121,128 @@ class Parse:
         return self.low[keep], high[keep]
 
     def stretches(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Intervals of strings all of whose whole phrases occur twice or more, and the first phrase (an index of ``phrase``)."""
-        ends = self.next[self.phrase]
-        bad = np.where(count < 2, ends, _FAR)
-        bad = np.minimum.accumulate(bad[::-1])[::-1] if len(bad) else bad
-        low = np.maximum(self.low[self.phrase], ends - self.length)
-        high = np.minimum(self.high[self.phrase], bad - self.length - 1)
-        keep = np.flatnonzero(low <= high)
+        """Intervals of strings whose anchor occurs twice or more, and the anchor (an index of ``phrase``).
+
+        A phrase is in the strings from its end less ``length`` to its start;
+        it is their anchor where no phrase before it that is as rare, and none
+        after it that is rarer, is in them too.
+        """
+        begin, end, row = self.at[self.phrase] - WINDOW, self.next[self.phrase], self.row[self.phrase]
+        low = np.maximum(self.start[self.phrase], end - self.length)
+        high = np.minimum(begin, self.end[self.phrase] - self.length)
+        for step in (-1, 1):
+            live = np.flatnonzero(count >= 2)
+            other = live + step
+            while len(live):
+                inside = (other >= 0) & (other < len(begin))
+                live, other = live[inside], other[inside]
+                near = row[other] == row[live]
+                near &= begin[other] >= low[live] if step < 0 else end[other] - self.length <= high[live]
+                live, other = live[near], other[near]
+                if step < 0:
+                    wins = count[other] <= count[live]
+                    low[live[wins]] = begin[other[wins]] + 1
+                else:
+                    wins = count[other] < count[live]
+                    high[live[wins]] = end[other[wins]] - self.length - 1
+                live, other = live[~wins], other[~wins] + step
+        keep = np.flatnonzero((low <= high) & (count >= 2))
         return low[keep], high[keep], keep
 
-    def stretch_keys(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return mix(self.hash.of(low, high + self.length) ^ _U(0xA5A5))
+    def _pair(self, start: np.ndarray, end: np.ndarray, odd: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        if self._second is None:
+            self._second = RangeHash(self.data, 1)
+        return mix(self.hash.of(start, end) ^ odd), mix(self._second.of(start, end) ^ odd)
 
-    def string_keys(self, at: np.ndarray) -> np.ndarray:
-        return self.hash.of(at, at + self.length)
+    def stretch_keys(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._pair(low, high + self.length, _U(0xA5A5))
+
+    def string_keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._pair(at, at + self.length, _U(0))
+
+    def split(self, phrases: Counts, hot: int):
+        """Stretches (low, high, anchor's key, its count), and the places of the strings that are taken one by one."""
+        count = phrases.of(self.key, np.zeros_like(self.key))
+        low, high, anchor = self.stretches(count)
+        common = count[anchor] > hot
+        single = spread(*(np.concatenate(x) for x in zip(self.loose(), (low[common], high[common]))))[0]
+        rest = ~common
+        return low[rest], high[rest], self.key[anchor[rest]], count[anchor[rest]], single
 
 
 def _phrases(batches, length: int, shards: int):
-    held, size = [], 0
+    held = Gathering(shards)
     for _, data, offsets in pieces(batches, "text"):
-        held.append(Parse(data, offsets, length).key)
-        size += len(held[-1])
-        if size >= GATHER:
-            yield from handed(held, shards)
-            held, size = [], 0
-    if size:
-        yield from handed(held, shards)
+        keys = Parse(data, offsets, length).key
+        yield from held.add(keys, np.zeros_like(keys))  # counts of phrases only choose; one hash will do
+    yield from held.rest()
 
 
 def _strings(batches, length: int, shards: int, phrases: Counts, hot: int):
-    held, size = [], 0
+    held = Gathering(shards)
     for _, data, offsets in pieces(batches, "text"):
         parse = Parse(data, offsets, length)
-        count = phrases.of(parse.key)
-        low, high, first = parse.stretches(count)
-        common = count[first] > hot
-        single = spread(*(np.concatenate(x) for x in zip(parse.loose(), (low[common], high[common]))))[0]
-        held += [parse.stretch_keys(low[~common], high[~common]), parse.string_keys(single)]
-        size += len(held[-1]) + len(held[-2])
-        if size >= GATHER:
-            yield from handed(held, shards)
-            held, size = [], 0
-    if size:
-        yield from handed(held, shards)
+        low, high, _, _, single = parse.split(phrases, hot)
+        for keys in (parse.stretch_keys(low, high), parse.string_keys(single)):
+            yield from held.add(*keys)
+    yield from held.rest()
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings at the places ``a`` and ``b`` have their first ``length`` bytes in common."""
+    out = np.zeros(len(a), bool)
+    if len(a):
+        window = np.lib.stride_tricks.sliding_window_view(data, length)
+        for at in range(0, len(a), 4096):
+            part = slice(at, at + 4096)
+            out[part] = (window[a[part]] == window[b[part]]).all(axis=1)
+    return out
+
+
+class _Rows:
+    """Distinct rows of text by shard, and how often each was there (0 for a stretch, whose number nobody asks for)."""
+
+    def __init__(self, most: int = 16 << 20):
+        self.held: dict[int, dict[bytes, int]] = {}
+        self.size, self.most = 0, most
+
+    def add(self, shard: int, row: bytes, times: int):
+        rows = self.held.setdefault(shard, {})
+        if row not in rows:
+            self.size += len(row)
+        rows[row] = rows.get(row, 0) + times
+        if self.size >= self.most:
+            yield from self.rest()
+
+    def rest(self):
+        for shard, rows in self.held.items():
+            sizes = np.array([len(x) for x in rows], np.int64)
+            block = pack({"sizes": sizes, "times": np.array([*rows.values()], np.int64), "data": np.frombuffer(b"".join(rows), np.uint8)})
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
+        self.held, self.size = {}, 0
 
 
 def _unsettled(batches, length: int, shards: int, phrases: Counts, strings: Counts, hot: int):
-    """Distinct stretches by shard of their phrase, unless all the phrase's occurrences are in equal stretches."""
-    sent: set[int] = set()
-    held: dict[int, list[bytes]] = {}
-    size = 0
-
-    def blocks():
-        for shard, parts in held.items():
-            sizes = np.array([len(x) for x in parts], np.int64)
-            block = pack({"offsets": np.concatenate([[0], np.cumsum(sizes)]), "data": np.frombuffer(b"".join(parts), np.uint8)})
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
-
+    """Stretches by shard of their anchor, unless all the anchor's occurrences are in equal stretches; strings by shard of their own."""
+    rows = _Rows()
     for _, data, offsets in pieces(batches, "text"):
         parse = Parse(data, offsets, length)
-        count = phrases.of(parse.key)
-        low, high, first = parse.stretches(count)
-        rest = count[first] <= hot
-        low, high, first = low[rest], high[rest], first[rest]
-        keys = parse.stretch_keys(low, high)
-        times = np.maximum(strings.of(keys), 1)
-        open_ = np.flatnonzero(count[first] > times)
-        shard = shard_of(mix(parse.key[first]), shards)
+        low, high, anchor, count, single = parse.split(phrases, hot)
+        open_ = np.flatnonzero(count > np.maximum(strings.of(*parse.stretch_keys(low, high)), 1))
         flat = data.tobytes()
-        for i in open_:
-            if times[i] > 1:
-                if int(keys[i]) in sent:
-                    continue
-                if len(sent) < 1 << 20:
-                    sent.add(int(keys[i]))
-            held.setdefault(int(shard[i]), []).append(flat[low[i] : high[i] + length])
-            size += high[i] - low[i] + length
-        if size >= 16 << 20:
-            yield from blocks()
-            held, size = {}, 0
-    yield from blocks()
+        for shard, a, b in zip(shard_of(mix(anchor[open_]), shards).tolist(), low[open_].tolist(), (high[open_] + length).tolist()):
+            yield from rows.add(shard, flat[a:b], 0)
+        key, second = parse.string_keys(single)
+        twice = strings.of(key, second) > 1
+        single, key = single[twice], key[twice]
+        _, first, which, many = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        equal = same_bytes(data, single, single[first[which]], length)
+        many -= np.bincount(which[~equal], minlength=len(many))
+        alone = np.flatnonzero(~equal)  # unlike strings of one hash
+        for chosen, times in ((first, many), (alone, np.ones(len(alone), np.int64))):
+            for shard, a, n in zip(shard_of(key[chosen], shards).tolist(), single[chosen].tolist(), times.tolist()):
+                yield from rows.add(shard, flat[a : a + length], n)
+    yield from rows.rest()
 
 
 # ---- suffix arrays ------------------------------------------------------------------------
@@ -253,53 +301,61 @@ def parse_ranks(symbols: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def corpus_order(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Places in corpus order of the suffixes that begin before a row's first trigger and have ``length`` bytes."""
+    """Places of all strings of ``length`` bytes in the order of the texts that begin there."""
     at, row = boundaries(data, offsets)
     rows = len(offsets) - 1
     first = np.searchsorted(row, np.arange(rows))
     # phrases of each row: its head up to the first trigger, then from trigger to trigger, then its tail
     begin = np.insert(at - WINDOW, first, offsets[:-1])
     owner = np.insert(row, first, np.arange(rows))
-    head = first + np.arange(rows)
     end = np.insert(at, np.searchsorted(row, np.arange(rows), "right"), offsets[1:])
-    _, where, phrase = np.unique(RangeHash(data).of(begin, end), return_index=True, return_inverse=True)
     flat = data.tobytes()
-    words = [flat[begin[i] : end[i]] for i in where]
-    lexical = np.empty(len(words), np.int64)
-    lexical[sorted(range(len(words)), key=words.__getitem__)] = np.arange(1, len(words) + 1)
-    parse = parse_ranks(lexical[phrase], owner)
-    heads, which = np.unique(phrase[head], return_inverse=True)
-    last = end[where[heads]]
-    starts, of = spread(begin[where[heads]], np.maximum(last - WINDOW, begin[where[heads]]))
-    ranks = dictionary_ranks(data, starts, last[of])
-    base = np.searchsorted(of, np.arange(len(heads)))
-    places, owner = spread(offsets[:-1], np.minimum(end[head] - WINDOW, offsets[1:] - length))
-    alpha = ranks[base[which[owner]] + places - offsets[owner]]
-    after = head[owner] + 1
-    inside = after < len(parse)
-    follow = np.where(inside & (np.append(row_of(begin, offsets), -1)[np.minimum(after, len(begin))] == owner), parse[np.minimum(after, len(parse) - 1)], 0)
-    return places[np.lexsort((follow, alpha))]
+    words = [flat[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+    dictionary = sorted(set(words))
+    number = {word: i for i, word in enumerate(dictionary)}
+    phrase = np.array([number[word] for word in words], np.int64)
+    parse = np.append(parse_ranks(phrase + 1, owner), 0)
+    last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
+    places = spread(offsets[:-1], offsets[1:] - length)[0]
+    if not len(places):
+        return places
+    holder = np.searchsorted(begin, places, "right") - 1
+    ends = np.cumsum([len(word) for word in dictionary])
+    starts = ends - [len(word) for word in dictionary]
+    suffix, which = np.unique(starts[phrase[holder]] + places - begin[holder], return_inverse=True)
+    ranks = dictionary_ranks(np.frombuffer(b"".join(dictionary), np.uint8), suffix, ends[np.searchsorted(ends, suffix, "right")])
+    follow = np.where(last[holder], 0, parse[holder + 1])
+    return places[np.lexsort((follow, ranks[which]))]
 
 
 def row_of(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, at, "right") - 1
 
 
-def _compare(group: pa.Table, length: int, shards: int):
-    """One shard of stretches: hashes of the strings that occur twice in it."""
-    parts = [unpack(np.frombuffer(b, np.uint8))[0] for b in group.column("block").to_pylist()]
-    data = np.concatenate([p["data"] for p in parts])
-    sizes = np.concatenate([np.diff(p["offsets"]) for p in parts])
-    ends = np.cumsum(sizes)
-    # equal stretches of several tasks are one: they are settled already
-    _, keep = np.unique(RangeHash(data).of(ends - sizes, ends), return_index=True)
-    keep.sort()
-    data = np.concatenate([data[ends[i] - sizes[i] : ends[i]] for i in keep])
-    offsets = np.concatenate([[0], np.cumsum(sizes[keep])])
+def repeated(rows: dict[bytes, int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and their numbers -> their bytes, and the places of strings that occur twice: neighbours in corpus order with ``length`` bytes in common."""
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64)
     order = corpus_order(data, offsets, length)
-    keys = RangeHash(data).of(order, order + length)
-    found = np.unique(keys[1:][keys[1:] == keys[:-1]])
-    batches = list(handed([found], shards)) if len(found) else []
+    same = same_bytes(data, order[1:], order[:-1], length)
+    many = offsets[:-1][np.array([*rows.values()]) > 1]
+    return data, np.unique(np.concatenate([order[1:][same], many]))
+
+
+def _compare(group: pa.Table, length: int, shards: int):
+    """One shard of rows: keys of the strings that occur twice in it."""
+    rows: dict[bytes, int] = {}
+    for block in group.column("block").to_pylist():
+        part = unpack(np.frombuffer(block, np.uint8))[0]
+        flat, at = part["data"].tobytes(), 0
+        for size, times in zip(part["sizes"].tolist(), part["times"].tolist()):
+            row = flat[at : at + size]
+            rows[row] = rows.get(row, 0) + times
+            at += size
+    data, at = repeated(rows, length)
+    held = Gathering(shards)
+    keys = [mix(RangeHash(data, which).of(at, at + length)) for which in (0, 1)]
+    batches = [*held.add(*keys), *held.rest()]
     return pa.Table.from_batches(batches, pa.schema([("shard", pa.int32()), ("block", pa.binary())]))
 
 
@@ -309,21 +365,14 @@ def _compare(group: pa.Table, length: int, shards: int):
 def _removed(batches, length: int, phrases: Counts, strings: Counts, ordered: Counts, hot: int, as_text: bool):
     for rows, data, offsets in pieces(batches, "text"):
         parse = Parse(data, offsets, length)
-        count = phrases.of(parse.key)
-        low, high, first = parse.stretches(count)
-        common = count[first] > hot
-        settled = ~common & (strings.of(parse.stretch_keys(low, high)) > 1)
-        single = spread(*(np.concatenate(x) for x in zip(parse.loose(), (low[common], high[common]))))[0]
-        single = single[strings.of(parse.string_keys(single)) > 1]
-        rest = ~common & ~settled
-        other = spread(low[rest], high[rest])[0]
-        other = other[ordered.of(parse.string_keys(other)) > 0]
+        low, high, _, _, single = parse.split(phrases, hot)
+        settled = strings.of(*parse.stretch_keys(low, high)) > 1
+        places = np.concatenate([spread(low[~settled], high[~settled])[0], single])
+        places = places[ordered.of(*parse.string_keys(places)) > 0]
         change = np.zeros(len(data) + 1, np.int32)
-        np.add.at(change, low[settled], 1)
-        np.add.at(change, high[settled] + length, -1)
-        for place in (single, other):
-            np.add.at(change, place, 1)
-            np.add.at(change, place + length, -1)
+        for start, end in ((low[settled], high[settled] + length), (places, places + length)):
+            np.add.at(change, start, 1)
+            np.add.at(change, end, -1)
         gone = np.cumsum(change[:-1]) > 0
         starts, ends, before = runs(gone, offsets)
         lost = np.concatenate([[0], np.cumsum(ends - starts)])[before]
@@ -350,11 +399,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     texts = rows.select("text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    blocks = "shard int, block binary"
-    phrases = counted(texts.transform(in_arrow, partial(_phrases, length=length, shards=shards), blocks), shards, "suffix-phrases")
-    strings = counted(texts.transform(in_arrow, partial(_strings, length=length, shards=shards, phrases=phrases, hot=hot), blocks), shards, "suffix-strings")
-    open_ = texts.transform(in_arrow, partial(_unsettled, length=length, shards=shards, phrases=phrases, strings=strings, hot=hot), blocks)
-    compared = open_.groupBy("shard").applyInArrow(lambda group: _compare(group, length, shards), blocks)
+    phrases = counted(texts.transform(in_arrow, partial(_phrases, length=length, shards=shards), BLOCKS), shards, "suffix-phrases")
+    strings = counted(texts.transform(in_arrow, partial(_strings, length=length, shards=shards, phrases=phrases, hot=hot), BLOCKS), shards, "suffix-strings")
+    open_ = texts.transform(in_arrow, partial(_unsettled, length=length, shards=shards, phrases=phrases, strings=strings, hot=hot), BLOCKS)
+    compared = open_.groupBy("shard").applyInArrow(lambda group: _compare(group, length, shards), BLOCKS)
     ordered = counted(compared, shards, "suffix-ordered", least=1)
     schema = T.StructType([f for f in rows.schema if f.name != "text"])
     for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType() if as_text else T.BinaryType())):

@@ -30,8 +30,16 @@ def frame(spark, rows=None, extra=()):
     return df
 
 
-CLASHING = ("rid", "fp", "n", "key", "shard", "block", "row", "kept", "label", "score", "word", "items", "at", "window", "bucket", "tie", "ghost", "page", "cell")
+CLASHING = ("rid", "fp", "n", "key", "shard", "block", "row", "kept", "label", "score", "word", "items", "at", "window", "bucket", "tie", "ghost", "page", "cell", "_key", "k1", "k2", "mask", "part", "n_words", "fingerprint")
 
 
 def lowered(text):
     return re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+
+
+def doubled(n):
+    """Two unlike words of n bytes whose polynomials agree modulo every power of two."""
+    a, b = b"a", b"b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b

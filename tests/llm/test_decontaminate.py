@@ -2,12 +2,14 @@ import hashlib
 import random
 from re import findall
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrove.llm import decontaminate as D
 
 from ..compare import check
-from .fixtures import CLASHING, WORDS, frame, lowered, sentence
+from .fixtures import CLASHING, WORDS, doubled, frame, lowered, sentence
 
 
 def words(text):
@@ -63,6 +65,42 @@ def test_every_place_of_a_long_span_is_found(spark):
     assert all(found[i] == 13 and found[100 + i] == 0 for i in range(48))
 
 
+def test_doubling_words_are_no_match(spark):
+    a, b = (x.decode() for x in doubled(1024))
+    found = D.contamination(frame(spark, [(1, f"x {a} y", None, None, 0), (2, f"x {b} y", None, None, 0)]), spark.createDataFrame([(7, b)], "item_id long, text string"))
+    assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 0, 2: 1}
+
+
+def test_windows_select_few_places_and_shared_ones_the_same():
+    rng = np.random.default_rng(3)
+    hashes = D.mix(rng.integers(0, 500, 20_000).astype(np.uint64))
+    at, _ = D.winnowed(hashes, np.array([0, 20_000]), 13, 7)
+    assert np.diff(at).max() <= 7 and len(at) < 0.27 * 20_000  # two in eight
+    for start in rng.integers(0, 19_000, 30):
+        part, fp = D.winnowed(np.concatenate([rng.integers(0, 9, 5).astype(np.uint64), hashes[start : start + 40]]), np.array([0, 5, 45]), 13, 7)
+        assert set(part - 5 + start) <= set(at) and len(part) == len(fp) >= 4
+
+
+def test_equal_hashes_of_unlike_words_decide_nothing(spark, tables, monkeypatch):
+    """Words decide: with all k-gram hashes drawn from four values the result is the same."""
+    rows, items = tables
+    known = D.item_fingerprints(spark.createDataFrame(items, "item_id long, text string")).withColumn("fp", F.lit(1).cast("long"))
+    found = D.matches(known, known).collect()
+    assert found and all(r.hi - r.lo >= r.n for r in found)
+    for r in found:
+        a, b = r.context.split(" "), r.other.split(" ")
+        assert a[r.lead + r.lo : r.lead + r.hi] == b[r.other_lead + r.lo : r.other_lead + r.hi]
+
+
+def test_a_passage_in_half_of_all_rows_is_compared_once(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} tail{i}", None, None, 0) if i % 2 else (i, sentence(rng, 20), None, None, 0) for i in range(400)]
+    items = spark.createDataFrame([(i, f"head{i} {passage}") for i in range(50)], "item_id long, text string")
+    found = {r.doc_id: (r.n_hit, len(r["items"])) for r in D.contamination(frame(spark, rows), items).collect()}
+    assert all(found[i] == ((30, 50) if i % 2 else (0, 0)) for i in range(400))
+
+
 def test_empty_tables(spark, tables):
     rows, items = tables
     items = spark.createDataFrame(items, "item_id long, text string")

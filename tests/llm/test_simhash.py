@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallygrove.llm import simhash as S
 from tallygrove.llm.components import components
@@ -48,16 +49,16 @@ def test_fingerprints_and_components_equal_brute_force(spark):
     assert all(r.component_id == wanted[r.doc_id] for r in found if r.doc_id is not None)
 
 
-@pytest.mark.parametrize("bucket", [4, 4096])
-def test_links_have_the_closure_of_all_pairs(spark, bucket):
-    """Dense groups, chains and noise; small buckets are dealt out as pairs of sub-buckets."""
+@pytest.mark.parametrize("bucket, dense", [(4, S.DENSE), (4096, S.DENSE), (4, 8)])
+def test_links_have_the_closure_of_all_pairs(spark, bucket, dense):
+    """Dense groups, chains and noise; small buckets are dealt out as pairs of sub-buckets, dense ones as stars."""
     rng = np.random.default_rng(0)
     centres = rng.integers(0, 2**63, 30, dtype=np.uint64)
     near = [c ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 4)))) for c in centres for _ in range(12)]
     chain = [np.uint64((1 << k) - 1) for k in range(0, 60, 3)]
     fps = np.unique(np.array([*near, *chain, *rng.integers(0, 2**63, 200, dtype=np.uint64)], np.uint64))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    found = S.links(df, bucket=bucket).collect()
+    found = S.links(df, bucket=bucket, dense=dense).collect()
     signed = fps.view(np.int64).tolist()
     all_pairs = [(signed[i], signed[j]) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3) + i + 1]
     assert closure(signed, [(r.a, r.b) for r in found]) == closure(signed, all_pairs)
@@ -89,6 +90,30 @@ def test_keep_first(spark):
     assert sorted(i for i in ids if i is not None) == sorted(groups) and None in ids
 
 
+def test_unlike_texts_of_one_id_are_judged_apart(spark):
+    rng = random.Random(5)
+    a, b = sentence(rng, 200), sentence(rng, 200)
+    rows = [(2, b, None, None, 0), (5, a, None, None, 0), (5, b, None, None, 0), (5, a, "en", None, 1), (None, a, None, None, 0), (None, a, None, None, 0)]
+    kept = [(r.doc_id, r.text) for r in S.keep_first(frame(spark, rows, CLASHING)).collect()]
+    assert sorted(kept, key=repr) == sorted([(2, b), (5, a), (None, a), (None, a)], key=repr)
+
+
+def test_ids_may_be_strings(spark):
+    docs = frame(spark).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    kept = {r.doc_id for r in S.keep_first(docs).collect()}
+    assert kept == {r.component_id for r in S.near_duplicates(docs).collect()} | {None}
+
+
+def test_one_text_at_half_of_all_rows(spark):
+    """Each copy is a row of the result; what is gathered by fingerprint is one row for it."""
+    rng = random.Random(8)
+    rows = [(i, "the same words again and again", None, None, 0) for i in range(500)] + [(500 + i, sentence(rng, 100), None, None, 0) for i in range(500)]
+    docs = frame(spark, rows)
+    found = S.near_duplicates(docs).collect()
+    assert sorted(r.doc_id for r in found) == list(range(1000)) and {r.component_id for r in found if r.doc_id < 500} == {0}
+    assert sorted(r.doc_id for r in S.keep_first(docs).collect() if r.doc_id < 500) == [0]
+
+
 def test_empty_table(spark):
     empty = frame(spark).limit(0)
     assert S.near_duplicates(empty).count() == 0 and S.keep_first(empty).count() == 0

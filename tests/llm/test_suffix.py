@@ -7,7 +7,7 @@ import pytest
 
 from tallygrove.llm import suffix as S
 
-from .fixtures import CLASHING, frame, sentence
+from .fixtures import CLASHING, doubled, frame, sentence
 
 
 def brute(texts, length):
@@ -50,6 +50,46 @@ def test_equals_brute_force(spark, seed, hot):
     assert [found[i] for i in range(len(texts))] == brute(texts, S.LENGTH)
 
 
+def test_neighbours_are_compared_by_bytes(spark, monkeypatch):
+    """Strings that differ in their last byte stand side by side; an order of hashes would not find what repeats."""
+    a = "".join(chr(97 + i * i % 23) for i in range(199))
+    rows = {(a + "x" + a[:30]).encode(): 0, (a + "y" + a[:30]).encode(): 0, (a + "x" + a[50:90]).encode(): 0}
+    data, at = S.repeated(rows, 200)
+    assert sorted(data[p : p + 200].tobytes() for p in at) == [(a + "x").encode()] and S.repeated({b"z" * 200: 2, b"y" * 200: 1}, 200)[1].tolist() == [0]
+
+
+def test_anchors_are_the_rarest_phrases_of_their_strings():
+    rng = random.Random(3)
+    data = np.frombuffer(sentence(rng, 400).encode(), np.uint8)
+    parse = S.Parse(data, np.array([0, 1500, len(data)]), 200)
+    count = np.random.default_rng(1).integers(1, 5, len(parse.phrase))
+    low, high, anchor = parse.stretches(count)
+    found = {s: j for a, b, j in zip(low, high, anchor) for s in range(a, b + 1)}
+    wanted = {}
+    for begin, end in ((0, 1500), (1500, len(data))):
+        for s in range(begin, end - 199):
+            inside = [j for j, p in enumerate(parse.phrase) if parse.at[p] - S.WINDOW >= s and parse.next[p] <= s + 200 and parse.row[p] == (begin > 0)]
+            best = min(inside, key=lambda j: (count[j], j), default=None)
+            if best is not None and count[best] > 1:
+                wanted[s] = best
+    assert found == wanted and len(wanted) > 50 and sum(high - low + 1) == len(found)
+
+
+def test_doubling_strings(spark):
+    texts = [x.decode() for n in (1024, 2048, 4096) for x in doubled(n)] + ["q" + doubled(1024)[0].decode()]
+    found = S.remove_repeats(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), shard_bytes=4000).collect()
+    assert [x[1:] for x in sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)] == brute(texts, 200)
+
+
+def test_a_passage_in_half_of_all_rows(spark):
+    """More occurrences than ``hot``, in unlike surroundings."""
+    rng = random.Random(4)
+    passage = sentence(rng, 60)
+    texts = [f"{rng.random()} {passage} {rng.random()}" if i % 2 else sentence(rng, 30) + str(rng.random()) for i in range(120)]
+    found = S.remove_repeats(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), hot=20, shard_bytes=4000).collect()
+    assert [x[1:] for x in sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)] == brute(texts, 200)
+
+
 def test_repeated_rows_lose_what_they_share(spark):
     rows = [(1, "q" * 30 + "".join(chr(97 + i % 23) for i in range(400)), None, None, 0)] * 2 + [(None, "other", None, None, None)]
     found = S.remove_repeats(frame(spark, rows)).collect()
