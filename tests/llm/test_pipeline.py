@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tallygrove.llm.counts import stored, without
+from tallygrove.llm.counts import hashed, stored, without
 
 from .test_suffix import brute
 
@@ -71,9 +71,22 @@ def test_packing_packs_all(steps):
 
 
 def test_key_sets(spark):
-    keys = spark.range(0, 5000, 3).selectExpr("id - 100 as k").union(spark.createDataFrame([(None,)], "k long"))
-    df = spark.range(5000).selectExpr("case when id % 7 > 0 then id - 100 end as a", "id as _x")
-    kept = without(df, F.col("a"), stored(keys))
-    assert kept.columns == ["a", "_x"]
+    key = lambda c: hashed(F.col(c).isNull(), F.col(c))
+    keys = spark.range(0, 5000, 3).selectExpr("id - 100 as k")
+    df = spark.range(5000).selectExpr("case when id % 7 > 0 then id - 100 end as a", "id as _x", "1 as _key")
+    kept = without(df, key("a"), stored(keys.select(*key("k"))))
+    assert kept.columns == ["a", "_x", "_key"]
     assert kept.count() == df.filter("a is null or (a + 100) % 3 > 0").count()
-    assert without(df, F.col("a"), stored(keys.limit(0))).count() == 5000
+    assert without(df, key("a"), stored(keys.limit(0).select(*key("k")))).count() == 5000
+
+
+def test_repeated_ids_with_unlike_texts_lose_no_text(spark):
+    """Stage 2 decides row by row, and stage 4 by the text."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    twice = docs.withColumn("doc_id", F.col("doc_id") % 7).withColumn("_key", F.lit(1))
+    own = {r.doc_id for r in dict(P.STAGES)["simhash"](spark, docs, DATA).collect()}
+    texts = {r.text for r in docs.collect() if r.doc_id in own}
+    kept = dict(P.STAGES)["simhash"](spark, twice, DATA)
+    assert kept.count() == len(own) and len({r.text for r in kept.collect()}) == len(texts)
+    clean = dict(P.STAGES)["decontaminate"](spark, kept, DATA)
+    assert clean.columns == twice.columns

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tallygrove.llm import ngram
 from tallygrove.llm.eliasfano import EliasFano, pack, unpack
 
-from .fixtures import CLASHING, frame, lowered
+from .fixtures import CLASHING, doubled, frame, lowered
 
 
 @settings(max_examples=60, deadline=None)
@@ -103,6 +103,13 @@ def test_distribution_sums_to_one(spark):
     assert 0 < sum(score.values()) < 1
 
 
+def test_doubling_words_are_not_taken_for_one(spark):
+    a, b = (x.decode() for x in doubled(2048))
+    trie = ngram.fit(frame(spark, [(0, f"{a} c", None, None, 0)]))
+    found = {r.doc_id: r.n_known for r in ngram.score(frame(spark, [(1, a, None, None, 0), (2, b, None, None, 0)]), trie).collect()}
+    assert found == {1: 2, 2: 1}
+
+
 def test_nothing_to_learn_from(spark):
     docs = frame(spark)
     trie = ngram.fit(docs.limit(0))
