@@ -1,16 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Two gated recurrent layers read the bytes of a word, one in each direction;
-every byte position gets a distribution over languages from both states.  A
-document's probabilities are the mean over all its positions.  States start
-anew at white space (and every ``SEGMENT`` bytes without any), so a word's
-positions depend on the word alone and a word that occurs often is computed
-once per task; every byte of the text counts.
-
-The network is trained on the driver in numpy by backpropagation through time.
-Its sample is bounded: ``sample_docs`` documents of each language (those with
-the smallest hashes of their ids), a window of ``sample_chars`` characters of
-each at a hashed place.  Weights are some tens of kilobytes.
+Two gated recurrent layers read a text's bytes, one in each direction; every
+byte position gets a distribution over languages from both states.  A
+document's probabilities are the mean over all its positions.  Nothing resets a
+state inside a text: words, white space and letters of several bytes are read
+through.  So that long texts are read by many lanes at once, a text is cut into
+chunks of ``CHUNK`` bytes; the states at a chunk's ends come from reading the
+``CONTEXT`` bytes beyond them first, which is what the whole text's states are
+but for what a gated unit remembers from further away (tests bound the
+difference).
+
+The network is trained on the driver in numpy by backpropagation through time,
+on windows drawn from a bounded sample of whole texts: ``sample_docs`` distinct
+ones of each language, those with the smallest hashes.  Weights are some tens of
+kilobytes.
 
 Defined results: a null text and a text without a letter are ``und`` with score
 0; so is every text if there was nothing to learn from; rows without a label
@@ -27,138 +30,162 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PIECE_BYTES, in_arrow, lower_ascii, table, texts_of
+from .shared import in_arrow, lower_ascii, pieces, table
 
 UNKNOWN = "und"
 HIDDEN = 12
-SEGMENT = 48
+CHUNK = 192
+CONTEXT = 32
 SAMPLE_DOCS = 256
-SAMPLE_CHARS = 2000
-STEPS = 400
-BATCH = 768
-#: Words whose results a task keeps.
-MEMO = 200_000
+STEPS = 250
+BATCH = 192
+#: Bytes that a training window has.
+TRAINED = 48
+#: The code of a place outside the text: its gates keep the state as it is.
+OUTSIDE = 256
+#: Chunks that are read side by side.
+LANES = 1024
 
 
 class BiGru:
-    """params: for each direction d in (0, 1) X (257 byte inputs, the last for padding), U, c; and the label layer V, b."""
+    """params: for each direction d in (0, 1) X (inputs of 256 bytes), U, c; and the label layer V, b.  Features come first, lanes last."""
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.languages, self.hidden = languages, hidden
         draw = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-        self.params = {f"{name}{d}": draw(*shape) for d in (0, 1) for name, shape in (("X", (256, 3 * hidden)), ("U", (hidden, 3 * hidden)), ("c", (hidden,)))}
-        self.params |= {"V": draw(2 * hidden, len(languages)), "b": np.zeros(len(languages), np.float32)}
-
-    def _run(self, codes: np.ndarray, live: np.ndarray, d: int, keep: bool = False):
-        """States after each position, in reading order of the direction; with ``keep`` what backpropagation needs."""
-        p, h, (n, steps) = self.params, self.hidden, codes.shape
-        x, u, c = p[f"X{d}"], p[f"U{d}"], p[f"c{d}"]
-        state = np.zeros((n, h), np.float32)
-        states = np.empty((steps, n, h), np.float32)
-        trace = []
-        for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-            at = x[codes[:, t]]
-            rec = state @ u
-            gates = 0.5 + 0.5 * np.tanh(0.5 * (at[:, : 2 * h] + rec[:, : 2 * h]))
-            update, reset = gates[:, :h], gates[:, h:]
-            inner = rec[:, 2 * h :] + c
-            new = np.tanh(at[:, 2 * h :] + reset * inner)
-            mask = live[:, t : t + 1]
-            after = state + mask * (1 - update) * (new - state)
-            if keep:
-                trace.append((t, state, update, reset, inner, new, mask))
-            state = after
-            states[t] = state
-        return (states, trace) if keep else states
-
-    def logits(self, codes: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """positions first: (steps, n, languages)"""
-        both = np.concatenate([self._run(codes, live, 0), self._run(codes, live, 1)], axis=2)
-        return both @ self.params["V"] + self.params["b"]
-
-    def gradients(self, codes: np.ndarray, live: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        self.params = {f"{name}{d}": draw(*shape) for d in (0, 1) for name, shape in (("X", (3 * hidden, 256)), ("U", (3 * hidden, hidden)), ("c", (hidden, 1)))}
+        self.params |= {"V": draw(len(languages), 2 * hidden), "b": np.zeros((len(languages), 1), np.float32)}
+
+    def _inputs(self, d: int) -> np.ndarray:
+        """X and a column for places outside: an update gate of one."""
+        h = self.hidden
+        outside = np.zeros((3 * h, 1), self.params[f"X{d}"].dtype)
+        outside[:h] = 1e4
+        return np.concatenate([self.params[f"X{d}"], outside], axis=1)
+
+    def _run(self, codes: np.ndarray, d: int, trace: list | None = None):
+        """States after each place of codes (places, lanes), in reading order of the direction."""
+        p, h, (places, lanes) = self.params, self.hidden, codes.shape
+        x, u, c = self._inputs(d), p[f"U{d}"], p[f"c{d}"]
+        state = np.zeros((h, lanes), x.dtype)
+        for t in range(places) if d == 0 else range(places - 1, -1, -1):
+            at = x.take(codes[t], axis=1)
+            rec = u @ state
+            gates = 0.5 + 0.5 * np.tanh(0.5 * (at[: 2 * h] + rec[: 2 * h]))
+            inner = rec[2 * h :] + c
+            new = np.tanh(at[2 * h :] + gates[h:] * inner)
+            if trace is not None:
+                trace.append((t, state, gates[:h], gates[h:], inner, new))
+            state = new + gates[:h] * (state - new)
+            yield t, state
+
+    def probabilities(self, codes: np.ndarray) -> np.ndarray:
+        """(places, languages, lanes)"""
         p, h = self.params, self.hidden
-        runs = [self._run(codes, live, d, keep=True) for d in (0, 1)]
-        both = np.concatenate([r[0] for r in runs], axis=2)
-        out = both @ p["V"] + p["b"]
-        out -= out.max(axis=2, keepdims=True)
+        out = np.empty((len(codes), len(self.languages), codes.shape[1]), np.float32)
+        for t, state in self._run(codes, 0):
+            np.matmul(p["V"][:, :h], state, out=out[t])
+        for t, state in self._run(codes, 1):
+            out[t] += p["V"][:, h:] @ state
+        out += p["b"]
+        out -= out.max(axis=1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(axis=1, keepdims=True)
+        return out
+
+    def gradients(self, codes: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Of the mean cross-entropy over the places inside: codes (places, lanes), a label for each lane."""
+        p, h, (places, lanes) = self.params, self.hidden, codes.shape
+        kind = p["V"].dtype
+        both, traces = np.empty((places, 2 * h, lanes), kind), ([], [])
+        for d in (0, 1):
+            for t, state in self._run(codes, d, traces[d]):
+                both[t, d * h : (d + 1) * h] = state
+        out = p["V"] @ both + p["b"]
+        out -= out.max(axis=1, keepdims=True)
         prob = np.exp(out)
-        prob /= prob.sum(axis=2, keepdims=True)
-        weight = live.T[:, :, None] / live.sum()
-        rows = np.arange(len(label))
-        loss = float(-(np.log(prob[:, rows, label] + 1e-9) * weight[:, :, 0]).sum())
-        prob[:, rows, label] -= 1
-        prob *= weight
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        grads["V"] = np.einsum("tnh,tnk->hk", both, prob, optimize=True)
-        grads["b"] = prob.sum(axis=(0, 1))
-        back = prob @ p["V"].T
-        for d, (_, trace) in enumerate(runs):
-            u = p[f"U{d}"]
-            carry = np.zeros((len(label), h), np.float32)
-            for t, state, update, reset, inner, new, mask in reversed(trace):
-                carry = carry + back[t][:, d * h : (d + 1) * h]
-                step = mask * carry
-                g_new = step * (1 - update) * (1 - new * new)
-                g_update = -step * (new - state) * update * (1 - update)
-                g_reset = g_new * inner * reset * (1 - reset)
-                g_inner = g_new * reset
-                at = np.concatenate([g_update, g_reset, g_new], axis=1)
-                rec = np.concatenate([g_update, g_reset, g_inner], axis=1)
-                np.add.at(grads[f"X{d}"], codes[:, t], at)
-                grads[f"U{d}"] += state.T @ rec
-                grads[f"c{d}"] += g_inner.sum(axis=0)
-                carry = carry - step * (1 - update) + rec @ u.T
+        prob /= prob.sum(axis=1, keepdims=True)
+        weight = (codes != OUTSIDE).astype(kind)
+        weight /= weight.sum()
+        lane = np.arange(lanes)
+        loss = float(-(np.log(prob[:, label, lane] + 1e-9) * weight).sum())
+        prob[:, label, lane] -= 1
+        prob *= weight[:, None, :]
+        grads = {"V": np.einsum("tkn,thn->kh", prob, both, optimize=True), "b": prob.sum(axis=(0, 2))[:, None]}
+        back = p["V"].T @ prob
+        order = np.argsort(codes.ravel(), kind="stable")
+        starts = np.searchsorted(codes.ravel()[order], np.arange(256))
+        ends = np.searchsorted(codes.ravel()[order], np.arange(256), "right")
+        for d in (0, 1):
+            u, carry = p[f"U{d}"], np.zeros((h, lanes), kind)
+            at, into = np.empty((3 * h, places, lanes), kind), np.empty((places, 3 * h, lanes), kind)
+            before = np.empty((places, h, lanes), kind)
+            for t, state, update, reset, inner, new in reversed(traces[d]):
+                carry += back[t, d * h : (d + 1) * h]
+                keep = carry * update
+                g_new = (carry - keep) * (1 - new * new)
+                at[:h, t] = into[t, :h] = keep * (1 - update) * (state - new)
+                at[h : 2 * h, t] = into[t, h : 2 * h] = g_new * inner * reset * (1 - reset)
+                at[2 * h :, t] = g_new
+                into[t, 2 * h :] = g_new * reset
+                before[t] = state
+                carry = keep + u.T @ into[t]
+            sums = np.concatenate([np.zeros((3 * h, 1), np.float64), np.cumsum(at.reshape(3 * h, -1)[:, order], axis=1, dtype=np.float64)], axis=1)
+            grads[f"X{d}"] = (sums[:, ends] - sums[:, starts]).astype(kind)
+            grads[f"U{d}"] = np.einsum("tin,tjn->ij", into, before, optimize=True)
+            grads[f"c{d}"] = into[:, 2 * h :].sum(axis=(0, 2))[:, None]
         return loss, grads
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """For each segment the sum of its positions' probabilities."""
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 4096):
-            chosen = order[at : at + 4096]
-            codes, live = padded([words[i] for i in chosen])
-            score = self.logits(codes, live)
-            score -= score.max(axis=2, keepdims=True)
-            np.exp(score, out=score)
-            score *= (live.T / score.sum(axis=2))[:, :, None]
-            out[chosen] = score.sum(axis=0)
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each text of a piece the sum of its places' probabilities."""
+        k, rows = len(self.languages), len(offsets) - 1
+        out = np.zeros((rows, k))
+        sizes = np.diff(offsets)
+        many = -(-sizes // CHUNK)
+        row = np.repeat(np.arange(rows), many)
+        start = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * CHUNK
+        size = np.minimum(CHUNK, offsets[row + 1] - start)
+        order = np.argsort(-size, kind="stable")
+        lanes = max(32, min(LANES, (1 << 22) // (CHUNK * max(k, 1))))
+        for at in range(0, len(order), lanes):
+            chosen = order[at : at + lanes]
+            codes = coded(data, start[chosen], int(size[chosen[0]]), offsets[row[chosen]], offsets[row[chosen] + 1])
+            prob = self.probabilities(codes)[CONTEXT : CONTEXT + int(size[chosen[0]])]
+            prob *= (np.arange(len(prob))[:, None] < size[chosen])[:, None, :]
+            np.add.at(out, row[chosen], prob.sum(axis=0).T)
         return out
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte codes with a space on either side, and which positions are a word's own (the spaces included)."""
-    sizes = np.array([len(w) for w in words]) + 2
-    codes = np.full((len(words), int(sizes.max(initial=1))), 32, np.uint8)
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    inside = np.arange(codes.shape[1])[None, :] < (sizes - 1)[:, None]
-    inside[:, 0] = False
-    codes[inside] = flat
-    return codes, (np.arange(codes.shape[1])[None, :] < sizes[:, None]).astype(np.float32)
-
-
-def segments(word: bytes) -> list[bytes]:
-    return [word[i : i + SEGMENT] for i in range(0, len(word), SEGMENT)]
+def coded(data: np.ndarray, start: np.ndarray, size: int, low: np.ndarray, high: np.ndarray, context: int = CONTEXT) -> np.ndarray:
+    """Codes (places, lanes) of ``size`` bytes from each start on and ``context`` before and after them; OUTSIDE beyond [low, high)."""
+    at = start + np.arange(-context, size + context)[:, None]
+    inside = (at >= low) & (at < high)
+    return np.where(inside, data[np.clip(at, 0, max(len(data) - 1, 0))].astype(np.int16), np.int16(OUTSIDE))
 
 
 def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> BiGru:
-    """Adam over words drawn evenly from all languages; the gradient's norm is cut at 1."""
+    """Adam over windows drawn evenly from all languages, and from each language's bytes; the gradient's norm is cut at 1."""
     rng = np.random.default_rng(seed)
     by: dict[str, list[bytes]] = {}
     for text, language in samples:
-        by.setdefault(language, []).extend(s for w in lower_ascii(np.frombuffer(text, np.uint8)).tobytes().split() for s in segments(w))
-    languages = sorted(k for k, v in by.items() if v)
+        if text:
+            by.setdefault(language, []).append(text)
+    languages = sorted(by)
     model = BiGru(languages, hidden, seed)
     if len(languages) < 2:
         return model
+    data = lower_ascii(np.frombuffer(b"".join(t for k in languages for t in by[k]), np.uint8))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for k in languages for t in by[k]])])
+    bounds = np.concatenate([[0], np.cumsum([sum(map(len, by[k])) for k in languages])])
     m = {k: np.zeros_like(v) for k, v in model.params.items()}
     v = {k: np.zeros_like(x) for k, x in model.params.items()}
     for step in range(1, steps + 1):
         label = rng.integers(0, len(languages), batch)
-        words = [by[languages[k]][rng.integers(0, len(by[languages[k]]))] for k in label]
-        order = np.argsort([len(w) for w in words], kind="stable")
-        _, grads = model.gradients(*padded([words[i] for i in order]), label[order])
+        middle = bounds[label] + (rng.random(batch) * (bounds[label + 1] - bounds[label])).astype(np.int64)
+        row = np.searchsorted(offsets, middle, "right") - 1
+        codes = coded(data, middle - TRAINED // 2, TRAINED, offsets[row], offsets[row + 1], context=0)
+        _, grads = model.gradients(codes, label)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, g in grads.items():
@@ -169,76 +196,45 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
     return model
 
 
-def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, **options) -> BiGru:
-    """Train on a bounded sample of the labelled rows of ``docs``."""
+def sample(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> list[tuple[bytes, str]]:
+    """Whole texts and labels of ``sample_docs`` distinct texts of each language at most."""
     from pyspark.sql import Window
 
-    rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("rank")).filter("label is not null and text is not null")
-    window = F.substring("text", (1 + F.pmod("rank", F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1)).cast("int"), F.lit(sample_chars)).alias("text")
-    best = rows.select("label", "rank", window).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("rank", "text"))).filter(F.col("n") <= sample_docs)
-    found = best.orderBy("label", "n").select("text", "label").collect()  # sample_docs rows of sample_chars for each language
-    return train([(t.encode(), label) for t, label in found], **options)
-
-
-def _detect(batches, model: BiGru, least: float | None = None):
-    """Rows with the prediction instead of the text; with ``least`` the rows as they are, known ones of at least that score."""
-    k = len(model.languages)
-    memo: dict[bytes, int] = {}
-    sums = np.zeros((1024, k + 1), np.float32)
-
-    def rows_of(words: list[bytes]) -> np.ndarray:
-        """A row for each word: summed probabilities, positions."""
-        nonlocal sums, memo
-        if len(memo) + len(words) > MEMO:
-            memo = {}
-        new = [w for w in words if w not in memo]
-        if new:
-            parts = [segments(w) for w in new]
-            flat = [s for p in parts for s in p]
-            starts = np.cumsum([0, *map(len, parts)])[:-1]
-            found = np.add.reduceat(np.column_stack([model.word_sums(flat), [len(s) + 2 for s in flat]]), starts, axis=0)
-            base = len(memo)
-            memo.update(zip(new, range(base, base + len(new))))
-            while len(sums) < len(memo):
-                sums = np.concatenate([sums, np.zeros_like(sums)])
-            sums[base : len(memo)] = found
-        return sums[[memo[w] for w in words]]
-
-    for batch in batches:
-        text = batch.column("text")
-        letter = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-        total = np.zeros((batch.num_rows, k + 1))
-        data, offsets = texts_of(text)
-        at = 0
-        while at < batch.num_rows and k:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
-            part = lower_ascii(data[offsets[at] : offsets[to]])
-            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer((offsets[at : to + 1] - offsets[at]).astype(np.int64)), pa.py_buffer(part)])
-            words = pc.ascii_split_whitespace(binary.cast(pa.large_string()))
-            ends = words.offsets.to_numpy()
-            coded = words.flatten().dictionary_encode()
-            index = coded.indices.to_numpy()
-            each = [x.encode() for x in coded.dictionary.to_pylist()]
-            blank = np.array([not w for w in each], bool)
-            found = np.zeros((len(each), k + 1), np.float32)
-            if len(each) and not blank.all():
-                found[~blank] = rows_of([w for w in each if w])
-            if len(index):
-                running = np.zeros((len(index) + 1, k + 1))
-                np.cumsum(found[index], axis=0, dtype=np.float64, out=running[1:])
-                total[at:to] = running[ends[1:]] - running[ends[:-1]]
-            at = to
-        best = total[:, :k].argmax(axis=1) if k else np.zeros(batch.num_rows, int)
-        score = total[np.arange(batch.num_rows), best] / np.maximum(total[:, k], 1) if k else np.zeros(batch.num_rows)
-        known = letter & (total[:, k] > 0)
-        if least is not None:
-            yield batch.filter(pa.array(known & (score >= least)))
-            continue
-        names = np.array([*model.languages, UNKNOWN], object)
-        yield pa.RecordBatch.from_arrays(
-            [*[c for c, f in zip(batch.columns, batch.schema) if f.name != "text"], pa.array(names[np.where(known, best, k)], pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))],
-            [*[f.name for f in batch.schema if f.name != "text"], "lang_pred", "score"],
-        )
+    rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).filter("label is not null and text is not null").withColumn("rank", F.xxhash64("text"))
+    line = Window.partitionBy("label").orderBy("rank")
+    best = rows.select("label", "rank").distinct().withColumn("n", F.row_number().over(line)).filter(F.col("n") <= sample_docs)
+    last = best.groupBy("label").agg(F.max("rank").alias("last"))  # one row for each language
+    found = rows.join(F.broadcast(last), "label").filter(F.col("rank") <= F.col("last")).groupBy("label", "rank").agg(F.min("text").alias("text"))
+    return [(r.text.encode(), r.label) for r in found.orderBy("label", "rank").collect()]  # sample_docs rows for each language
+
+
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, **options) -> BiGru:
+    """Train on a bounded sample of the labelled rows of ``docs``."""
+    return train(sample(docs, text_col, label_col, sample_docs), **options)
+
+
+def _judged(rows: pa.RecordBatch, column: str, data: np.ndarray, offsets: np.ndarray, model: BiGru) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of a piece: whether it has a language, the best one, its mean probability."""
+    letter = pc.fill_null(pc.match_substring_regex(rows.column(column), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    if not model.languages:
+        return np.zeros(rows.num_rows, bool), np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
+    mean = model.sums(lower_ascii(data), offsets) / np.maximum(np.diff(offsets), 1)[:, None]
+    best = mean.argmax(axis=1)
+    return letter, best, np.where(letter, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
+
+
+def _detect(batches, model: BiGru):
+    names = np.array([*model.languages, UNKNOWN], object)
+    for rows, data, offsets in pieces(batches, "text"):
+        known, best, score = _judged(rows, "text", data, offsets, model)
+        named = pa.array(names[np.where(known, best, len(model.languages))], pa.string())
+        yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("doc_id"), named, pa.array(score)], ["rid", "doc_id", "lang_pred", "score"])
+
+
+def _kept(batches, model: BiGru, least: float, column: str):
+    for rows, data, offsets in pieces(batches, column):
+        known, _, score = _judged(rows, column, data, offsets, model)
+        yield rows.filter(pa.array(known & (score >= least)))
 
 
 def detect(docs: DataFrame, model: BiGru, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -250,8 +246,8 @@ def detect(docs: DataFrame, model: BiGru, text_col: str = "text", id_col: str =
 
 def keep_known(docs: DataFrame, model: BiGru, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in a learned language of at least that score, in place."""
-    named = docs.withColumnRenamed(text_col, "text")
-    return named.transform(in_arrow, partial(_detect, model=model, least=least), named.schema).withColumnRenamed("text", text_col)
+    placed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name twice, whatever the columns are called
+    return placed.transform(in_arrow, partial(_kept, model=model, least=least, column=f"c{docs.columns.index(text_col)}"), placed.schema).toDF(*docs.columns)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

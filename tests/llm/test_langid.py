@@ -18,16 +18,18 @@ def text(rng, language, n):
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(0)
-    return L.train([(text(rng, k, 60).encode(), k) for k in SYLLABLES for _ in range(30)], steps=150, batch=256)
+    return L.train([(text(rng, k, 60).encode(), k) for k in SYLLABLES for _ in range(30)], steps=150)
 
 
 def test_gradients_are_those_of_the_loss():
-    """Backpropagation through time against finite differences, both directions, padding included."""
+    """Backpropagation through time against finite differences, both directions, places outside included."""
     net = L.BiGru(["a", "b"], hidden=3, seed=1)
     net.params = {k: v.astype(np.float64) for k, v in net.params.items()}
-    codes, live = L.padded([b"ab", b"c", b"hello"])
+    data = np.frombuffer(b"abchello", np.uint8)
+    codes = L.coded(data, np.array([0, 2, 3]), 5, np.array([0, 2, 3]), np.array([2, 3, 8]), context=0)
+    assert (codes == L.OUTSIDE).sum() == 7
     label = np.array([0, 1, 1])
-    _, grads = net.gradients(codes, live, label)
+    _, grads = net.gradients(codes, label)
     rng = np.random.default_rng(0)
     for name in net.params:
         flat = net.params[name].reshape(-1)
@@ -35,16 +37,41 @@ def test_gradients_are_those_of_the_loss():
         for i in rng.choice(rows, min(6, len(rows)), replace=False):
             old, step = flat[i], 1e-3
             flat[i] = old + step
-            up = net.gradients(codes, live, label)[0]
+            up = net.gradients(codes, label)[0]
             flat[i] = old - step
-            down = net.gradients(codes, live, label)[0]
+            down = net.gradients(codes, label)[0]
             flat[i] = old
             assert grads[name].reshape(-1)[i] == pytest.approx((up - down) / (2 * step), rel=2e-2, abs=2e-4)
 
 
-def test_positions_do_not_depend_on_padding(model):
-    alone, both = model.word_sums([b"eau"]), model.word_sums([b"eau", b"einschungen"])
-    assert np.allclose(alone[0], both[0], atol=1e-4) and alone[0].sum() == pytest.approx(5, abs=1e-3)
+def whole(model, data):
+    """The network over a whole text at once, place by place: the states never start anew."""
+    codes = L.lower_ascii(np.frombuffer(data, np.uint8))[:, None].astype(np.int64)
+    return model.probabilities(codes)[:, :, 0].sum(axis=0)
+
+
+def test_lanes_do_not_depend_on_each_other(model):
+    data = np.frombuffer("eaueinschungen".encode(), np.uint8)
+    both, alone = model.sums(data, np.array([0, 3, 14])), model.sums(data[:3], np.array([0, 3]))
+    assert np.allclose(alone[0], both[0], atol=1e-4) and alone[0].sum() == pytest.approx(3, abs=1e-3)
+
+
+def test_detection_equals_a_plain_pass_over_each_text(spark, model):
+    """Chunks with context give what one unbroken recurrence over the text gives, whatever its length."""
+    rng = random.Random(4)
+    texts = [text(rng, k, n) for k in SYLLABLES for n in (1, 3, 20, 150, 900)]
+    texts += ["".join(text(rng, k, 300).split()) for k in SYLLABLES]  # no white space at all
+    texts += [text(rng, "en", 200) + text(rng, "fr", 210), "é" * 500, "THE Eau ç"]
+    found = {r.doc_id: r for r in L.detect(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        mean = whole(model, t.encode()) / len(t.encode())
+        assert found[i].lang_pred == model.languages[mean.argmax()] and found[i].score == pytest.approx(mean.max(), abs=0.01)
+
+
+def test_states_pass_white_space(model):
+    """The byte after a space is labelled by what stands before it."""
+    a, b = (model.probabilities(np.frombuffer(x, np.uint8)[:, None].astype(np.int64))[-1, :, 0] for x in (b"sch ung e", b"eau oui e"))
+    assert np.abs(a - b).max() > 0.01
 
 
 def test_held_out_accuracy(spark, model):
@@ -66,15 +93,10 @@ def test_unknown_texts_and_whole_texts(spark, model):
     assert L.detect(frame(spark, rows).limit(0), model).count() == 0
 
 
-def test_memo_limit_changes_nothing(spark, model, monkeypatch):
-    rng = random.Random(4)
-    texts = [text(rng, "en", 50) for _ in range(40)]
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["doc_id", "text"])
-    whole = list(L._detect(iter([batch, batch]), model))
-    monkeypatch.setattr(L, "MEMO", 60)
-    assert np.allclose(list(L._detect(iter([batch, batch]), model))[1].column("score"), whole[1].column("score"), atol=1e-4)
+def test_the_sample_is_of_whole_distinct_texts(spark):
+    rows = [(i, "the " * 5000 if i < 50 else f"oui {i}", "en" if i < 50 else "fr", None, 0) for i in range(100)] + [(None, None, "en", None, 0), (None, "x", None, None, 0)]
+    found = L.sample(frame(spark, rows, CLASHING), sample_docs=7)
+    assert sorted(len(t) for t, k in found if k == "en") == [20_000] and sum(k == "fr" for _, k in found) == 7
 
 
 def test_nothing_to_learn_from(spark):
@@ -87,6 +109,9 @@ def test_keep_known_keeps_rows_as_they_are(spark, model):
     docs = frame(spark, [(1, "the ing", "x", "y", 3), (2, "...", None, None, 0), (None, "eau", None, None, None)], CLASHING)
     kept = L.keep_known(docs, model, 0.3)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, None}
+    other = docs.withColumnRenamed("text", "body").withColumn("text", docs["lang"])
+    kept = L.keep_known(other, model, 0.3, "body")
+    assert kept.columns == other.columns and {r.doc_id for r in kept.collect()} == {1, None}
 
 
 def test_query_predicts_held_out_documents(spark):
