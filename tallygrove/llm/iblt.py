@@ -14,13 +14,15 @@ until all are recovered.  Likeness is Dice's:
 twice the shared digests over the sum of both counts.
 
 The next document in descending order of ids is found in range buckets of the
-ids, each of which also gets the first document of the bucket after it, so the
-order never passes through one task.
+order, each of which also gets the first document of the bucket after it, so the
+order never passes through one task.  Bucket bounds are (id, text's hash), so
+rows of one id, and those without an id, are many buckets too; the bounds alone
+come from a sample of about ``BOUNDS`` rows by hash.
 
 Defined results: null text is empty; texts without paragraphs are alike (1) and
 unlike all others (0); rows of one id follow each other in the order of their
-texts' hashes; null ids come last; a single row is its own next one; other
-columns are ignored.
+texts' hashes; null ids come last; a single row is its own next one; ids may be
+of any type with an order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import settle, table
 
@@ -40,6 +43,8 @@ ROUNDS = 6
 SWEEPS = 2
 #: Characters from which a line is cut at its next sentence end.
 LONG = 150
+#: Rows that bucket bounds are chosen from.
+BOUNDS = 20_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -141,14 +146,13 @@ def written(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat(c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["key"])), F.lit(":"), F.lower(F.hex(c["check"])))), ",")
 
 
-def _below(x: Column, cuts: list) -> Column:
+def _below(x: Column, cuts: list[Column]) -> Column:
     """How many of the sorted cuts are less than x: every so many first, then those between."""
     if not cuts:
         return F.lit(0)
     step = math.isqrt(len(cuts)) + 1
-    literal = F.array(*map(F.lit, cuts))
-    block = F.size(F.filter(F.array(*map(F.lit, cuts[::step])), lambda c: c < x)) - 1
-    inside = F.size(F.filter(F.slice(literal, F.greatest(block, F.lit(0)) * step + 1, F.lit(step)), lambda c: c < x))
+    block = F.size(F.filter(F.array(*cuts[::step]), lambda c: c < x)) - 1
+    inside = F.size(F.filter(F.slice(F.array(*cuts), F.greatest(block, F.lit(0)) * step + 1, F.lit(step)), lambda c: c < x))
     return F.when(block < 0, 0).otherwise(block * step + inside)
 
 
@@ -156,17 +160,18 @@ def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     """doc_id, text, next_text: that of the following row in descending order of ids; after the last comes the first."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)])).first()[0] or []
-    cuts = sorted(set(cuts))
-    name = _below(F.col("doc_id"), cuts)
-    rows = rows.select("doc_id", "text", F.coalesce(F.when(F.col("doc_id").isNotNull(), name), F.lit(-1)).alias("bucket"), F.xxhash64("text").alias("tie"))
-    firsts = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("first")).orderBy("bucket").collect()  # one row per bucket
-    place = "bucket int, doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", tie long"
-    after = [(r["bucket"], *firsts[i - 1]["first"]) for i, r in enumerate(firsts)]  # the lowest bucket is followed by the highest
-    heads = spark.createDataFrame(after, place)
-    heads = heads.select(F.col("bucket").alias("into"), F.col("doc_id").alias("head"), F.col("tie").alias("head_tie"))
-    ghosts = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))).select("doc_id", "text", F.col("into").alias("bucket"), "tie", F.lit(True).alias("ghost"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    kind = rows.schema["doc_id"].dataType
+    place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tie")
+    every = max(1, rows.count() // BOUNDS)
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(every)) == 0).select(place.alias("p")).distinct().orderBy("p").select("p.*").collect()
+    cuts = [chosen[i * len(chosen) // buckets] for i in range(1, buckets)] if chosen else []
+    cuts = [F.struct(F.lit(named).alias("named"), F.lit(doc_id).cast(kind).alias("doc_id"), F.lit(tie).cast("long").alias("tie")) for named, doc_id, tie in dict.fromkeys(map(tuple, cuts))]
+    rows = rows.withColumn("bucket", _below(place, cuts))
+    firsts = rows.groupBy("bucket").agg(F.max(place).alias("first")).orderBy("bucket").collect()  # one row per bucket
+    after = [(r["bucket"], firsts[i - 1]["first"]["doc_id"], firsts[i - 1]["first"]["tie"]) for i, r in enumerate(firsts)]  # the lowest bucket is followed by the highest
+    heads = spark.createDataFrame(after, T.StructType().add("into", T.IntegerType()).add("head", kind).add("head_tie", T.LongType()))
+    ghosts = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))).select("doc_id", "text", "tie", F.col("into").alias("bucket"), F.lit(True).alias("ghost"))
     line = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
     return both.select("doc_id", "text", "ghost", F.lead("text").over(line).alias("next_text")).filter(~F.col("ghost")).drop("ghost")

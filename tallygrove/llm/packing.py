@@ -6,8 +6,9 @@ remainder opens a window of its tier's size, and the gap behind it is filled
 from shorter tiers: first with whole remainders (best fit), then with one that
 is cut to the gap.  So a window is full at a power of two and needs no padding
 until a block of documents runs out of remainders; those last ones share
-windows that are padded.  Windows of one tier are dealt to step groups of equal
-token count.
+windows that are padded.  A block's windows, long ones first, go to the step
+group that has the fewest tokens so far, so groups of a block draw on all tiers
+and differ by one window of the longest tier at most.
 
 A block is a bounded run of documents within a task.  Nothing is shuffled, no
 task holds more than a block, and a block wastes at most one padded window.
@@ -22,6 +23,7 @@ import base64
 import zlib
 from bisect import bisect_right, insort
 from functools import cache, partial
+from heapq import heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +121,17 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
     return out
 
 
+def balanced(sizes: list[int], step_tokens: int) -> list[int]:
+    """A group for each window: as many groups as come nearest to ``step_tokens`` each, filled evenly."""
+    groups = [(0, g) for g in range(max(1, round(sum(sizes) / step_tokens)))]
+    out = [0] * len(sizes)
+    for window in sorted(range(len(sizes)), key=lambda w: -sizes[w]):
+        tokens, group = groups[0]
+        out[window] = group
+        heapreplace(groups, (tokens + sizes[window], group))
+    return out
+
+
 def sum_of_shorter(rest: list[tuple[int, int, int]], enough: int) -> int:
     """Ids that wait, counted up to ``enough``."""
     total = 0
@@ -132,28 +145,27 @@ def sum_of_shorter(rest: list[tuple[int, int, int]], enough: int) -> int:
 def _pack_batches(batches, path: str, tiers: tuple[int, ...], step_tokens: int, kind: pa.DataType):
     from pyspark import TaskContext
 
-    base, used, steps = TaskContext.get().partitionId() << 33, 0, {}
+    base, used, steps = TaskContext.get().partitionId() << 33, 0, 0
 
     def packed(ids: list, arrays: list[np.ndarray]) -> pa.RecordBatch:
-        nonlocal used
+        nonlocal used, steps
         rows = pack([len(x) for x in arrays], tiers)
-        step = {}
-        for _, _, n, window, _, tier in rows:  # each step group takes windows of one tier up to so many tokens
-            if window not in step:
-                steps[tier] = steps.get(tier, -1) + 1
-                step[window] = base + ((steps[tier] // max(1, step_tokens // tier)) << 11 | tier)
+        sizes = [0] * (max(r[3] for r in rows) + 1)
+        for _, _, _, window, _, tier in rows:
+            sizes[window] = tier
+        step = balanced(sizes, step_tokens)
         cols = [np.array(x, np.int64) for x in zip(*rows)]
         crc = [zlib.crc32(arrays[d][s : s + n]) for d, s, n, *_ in rows]
         out = pa.RecordBatch.from_arrays(
             [
                 pa.array([ids[d] for d in cols[0]], kind), pa.array(cols[1]), pa.array(cols[2]), pa.array(crc, pa.int64()),
                 pa.array(np.array([len(x) for x in arrays], np.int64)[cols[0]]), pa.array(cols[3] + (base + used)), pa.array(cols[4]),
-                pa.array(cols[5].astype(np.int32)), pa.array([step[w] for w in cols[3]], pa.int64()),
+                pa.array(cols[5].astype(np.int32)), pa.array([base + steps + step[w] for w in cols[3]], pa.int64()),
                 pa.array([arrays[d][s : s + n].view(np.int32) for d, s, n, *_ in rows], pa.list_(pa.int32())),
             ],
             ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"],
         )
-        used += int(cols[3].max()) + 1
+        used, steps = used + len(sizes), steps + max(step) + 1
         return out
 
     ids, arrays, held = [], [], 0

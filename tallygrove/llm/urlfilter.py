@@ -8,8 +8,10 @@ no second dimension.  Rules and probes are sorted together, and one sweep over
 the order keeps the stack of rules whose intervals are open: intervals of
 prefixes nest, so the stack's top is the longest rule that holds.
 
-Probes of one host are dealt out by a salt and the host's rules are copied to
-each salt, so a host with a third of all urls is swept by many tasks; a task
+Probes at hosts without rules go first.  Those of one host are dealt out by a
+salt and the host's rules are copied to each salt; a host has as many salts as
+its share of all probes fills parts of a fixed number of tasks, so one with a
+third of all urls is swept by a third of them, and most hosts have one.  A task
 streams its rows and holds no more than the stack.
 
 Defined results: a null url or one without ``://`` has an empty host and path;
@@ -27,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import in_arrow, table
+from .shared import in_arrow, settle, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SALTS = 16
+#: Parts of a shuffle partition's share of all probes that one salt of a host holds.
+PARTS = 4
 DEFAULT = "allow"
 #: The rules of the contract: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -67,8 +70,9 @@ def _sweep(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))], ["rid", "rule", "verdict"])
 
 
-def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str = "page_id", default: str = DEFAULT, salts: int = SALTS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str = "page_id", default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule and verdict of every row; rules: verdict, host, path."""
+    spark = pages.sparkSession
     clean = (
         rules.select(F.coalesce("verdict", F.lit("block")).alias("verdict"), F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
         .groupBy("host", "path")
@@ -77,17 +81,25 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     depth = clean.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0
     mark = F.lit("\x01")
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rows = settle(rows, "url-rows")  # both uses below see the same numbers of rows
+    clean = settle(clean, "url-rules")
     labels = F.split("host", r"\.", -1)
     ancestors = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(depth, 1)))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    probes = rows.select("rid", "path", F.explode(ancestors).alias("at")).select(
-        F.concat(_reversed(F.col("at")), F.lit("\x02"), F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("string")).alias("cell"),
+    at = rows.select("rid", "path", F.explode(ancestors).alias("at"))
+    sizes = at.groupBy("at").agg(F.count("*").alias("n")).join(clean.select(F.col("host").alias("at")).distinct(), "at")
+    tasks = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = F.lit(max(rows.count(), 1))
+    salts = settle(sizes.select("at", F.ceil(F.col("n") * tasks / total).cast("int").alias("salts")), "url-salts")
+    cell = lambda host, salt: F.concat(_reversed(F.col(host)), F.lit("\x02"), salt.cast("string")).alias("cell")
+    probes = at.join(salts, "at").select(
+        cell("at", F.pmod(F.xxhash64("rid"), F.col("salts"))),
         F.concat(_reversed(F.col("at")), mark, "path").alias("key"),
         F.lit(None).cast("string").alias("rule"),
         "rid",
         F.lit(None).cast("string").alias("verdict"),
     )
-    copies = clean.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
-        F.concat(_reversed(F.col("host")), F.lit("\x02"), F.col("salt").cast("string")).alias("cell"),
+    copies = clean.join(salts, clean["host"] == salts["at"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
+        cell("host", F.col("salt")),
         F.concat(_reversed(F.col("host")), mark, "path").alias("key"),
         F.concat("host", "path").alias("rule"),
         F.lit(None).cast("long").alias("rid"),

@@ -57,7 +57,7 @@ def test_next_document_over_many_buckets(spark):
 @pytest.mark.parametrize("n", [0, 1, 2, 10, 101])
 def test_buckets(spark, n):
     cuts = [3 * i for i in range(n)]
-    found = spark.range(-2, 3 * n + 2).select("id", I._below(F.col("id"), cuts).alias("b")).collect()
+    found = spark.range(-2, 3 * n + 2).select("id", I._below(F.col("id"), [F.lit(c).cast("long") for c in cuts]).alias("b")).collect()
     assert all(r.b == sum(c < r.id for c in cuts) for r in found)
 
 
@@ -69,6 +69,19 @@ def test_single_and_equal_rows(spark):
     assert I.with_next(one.limit(0)).count() == 0
 
 
+def test_ids_may_be_strings_and_half_may_be_null(spark, monkeypatch):
+    monkeypatch.setattr(I, "BOUNDS", 50)
+    rows = [(None if i % 2 else f"d{i:03}", f"text {i}", None, None, 0) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    found = I.with_next(docs).collect()
+    assert len(found) == 300 and sorted(r.next_text for r in found) == sorted(r[1] for r in rows)  # one round through all
+    named = sorted((r[:2] for r in rows if r[0]), reverse=True)
+    by = {r.doc_id: r.next_text for r in found if r.doc_id}
+    assert all(by[a[0]] == b[1] for a, b in zip(named, named[1:]))
+    largest = docs.withColumn("tie", F.xxhash64("text")).filter("doc_id is null").count()
+    assert largest == 150
+
+
 def test_query_equals_brute_force(spark, tmp_path):
     rows = [r for r in map(tuple, frame(spark).collect()) if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values())

@@ -84,11 +84,21 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert P.packed_pieces(docs.limit(0), P.default_tokenizer()).count() == 0
 
 
-def test_step_groups_hold_one_tier_and_so_many_tokens(spark):
-    rows = P.query(spark, "/root/testdata/sf0.001").collect()
-    tiers, tokens = defaultdict(set), defaultdict(set)
-    for r in rows:
-        tiers[r.step_group].add(r.tier)
-        tokens[r.step_group].add(r.sequence_id)
-    assert all(len(t) == 1 for t in tiers.values())
-    assert all(len(s) * max(tiers[g]) <= P.STEP_TOKENS for g, s in tokens.items())
+def test_step_groups_are_even():
+    rng = random.Random(3)
+    for n in (1, 2, 40, 3000):
+        sizes = [rng.choice(P.TIERS) for _ in range(n)]
+        group = P.balanced(sizes, 4096)
+        totals = [sum(s for s, g in zip(sizes, group) if g == k) for k in range(max(group) + 1)]
+        assert sum(totals) == sum(sizes) and max(totals) - min(totals) <= max(sizes)
+        assert n < 40 or all(0.7 * 4096 < t < 1.4 * 4096 for t in totals)
+
+
+def test_step_groups_of_the_query_are_even(spark):
+    rows = P.query(spark, "/root/testdata/sf0.01").collect()
+    tier = {r.sequence_id: (r.step_group, r.tier) for r in rows}
+    assert all(tier[r.sequence_id] == (r.step_group, r.tier) for r in rows)
+    tokens = defaultdict(int)
+    for group, size in tier.values():
+        tokens[group] += size
+    assert len(tokens) > 8 and max(tokens.values()) - min(tokens.values()) <= 0.1 * P.STEP_TOKENS

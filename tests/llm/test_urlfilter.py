@@ -53,5 +53,24 @@ def test_no_rules_and_no_rows(spark):
     assert U.judge(df.limit(0), spark.createDataFrame(RULES, "verdict string, host string, path string")).count() == 0
 
 
+def test_a_host_with_half_of_all_urls_is_swept_in_parts(spark, monkeypatch):
+    """The largest cell is bounded by its share of the tasks, and the verdicts are those of one sweep."""
+    seen = []
+    own = U.settle
+
+    def kept(df, name):
+        out = own(df, name)
+        if name == "url-salts":
+            seen.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(U, "settle", kept)
+    df = spark.range(4000).selectExpr("id as page_id", "case when id % 2 = 0 then concat('http://x.b/p', id) else concat('http://h', id, '.net/en') end as url")
+    found = U.judge(df, spark.createDataFrame(RULES, "verdict string, host string, path string")).collect()
+    salts = {r["at"]: r["salts"] for r in seen}
+    assert salts["b"] == 2000 * U.PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")) // 4000 and len(found) == 4000
+    assert {(r.page_id % 2, r.rule) for r in found} == {(0, "b/p"), (1, "net/")}
+
+
 def test_query_equals_sql(spark):
     check(spark, "/root/testdata/sf0.001", U.query, U.ORACLE)

@@ -25,7 +25,12 @@ def test_records_are_rebuilt_byte_for_byte(spark, tmp_path):
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         assert int(fields["Content-Length"]) == len(block) - 4
         assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
-        assert block[:-4] == (b"" if fields["WARC-Type"] == "revisit" else bytes(r.payload))
+        http, _, body = block[:-4].partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK") and f"Content-Length: {len(r.payload)}".encode() in http
+        assert body == (b"" if fields["WARC-Type"] == "revisit" else bytes(r.payload))
+    names = [r.header.split("WARC-Record-ID: <")[1].split(">")[0] for r in records]
+    referred = {r.header.split("WARC-Refers-To: <")[1].split(">")[0] for r in records if "WARC-Refers-To" in r.header}
+    assert len(set(names)) == len(names) and referred <= {n for n, r in zip(names, records) if "WARC-Type: response" in r.header}
     payloads = spark.read.parquet(f"file://{tmp_path}/a/payloads")
     assert payloads.count() == len({r[2] or "" for r in rows})
 
@@ -33,11 +38,26 @@ def test_records_are_rebuilt_byte_for_byte(spark, tmp_path):
 def test_index_names_responses_and_revisits(spark, tmp_path):
     df, rows = pages(spark)
     W.write_archive(df, f"file://{tmp_path}/b")
-    found = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in W.read_index(spark, f"file://{tmp_path}/b").collect()), key=repr)
+    found = sorted(((r.page_id and int(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in W.read_index(spark, f"file://{tmp_path}/b").collect()), key=repr)
     wanted = [(1, 4, "response", None), (1, 4, "revisit", "1"), (2, 0, "response", None), (3, 4, "revisit", "1"), (4, 200_000, "response", None), (5, 0, "revisit", "2"), (7, 4, "response", None), (9, 200_000, "revisit", "4"), (None, 4, "revisit", "1"), (None, 5, "response", None)]
     assert found == sorted(wanted, key=repr)
 
 
+def test_any_url_and_any_id_is_read_back(spark, tmp_path):
+    urls = ["http://a/é?x=%0A", None, "", "a\r\nWARC-Type: x", "u" * 300 + "\n", "plain"]
+    df = spark.createDataFrame([(f"p:{i}#>é <", u, str(i)) for i, u in enumerate(urls)], "page_id string, url string, html string")
+    W.write_archive(df, f"file://{tmp_path}/g")
+    assert {(r.page_id, r.url) for r in W.read_index(spark, f"file://{tmp_path}/g").collect()} == {(f"p:{i}#>é <", u) for i, u in enumerate(urls)}
+
+
+def test_a_payload_of_half_of_all_pages(spark, tmp_path):
+    df = spark.range(2000).selectExpr("id as page_id", "'u' as url", "case when id % 2 = 0 then 'same' else cast(id as string) end as html")
+    W.write_archive(df, f"file://{tmp_path}/h")
+    found = W.read_index(spark, f"file://{tmp_path}/h").collect()
+    assert sum(r.record_type == "revisit" for r in found) == 999 and {r.refers_to for r in found} == {None, "0"}
+    assert spark.read.parquet(f"file://{tmp_path}/h/payloads").count() == 1001
+
+
 def test_small_payloads_are_responses(spark, tmp_path):
     df, _ = pages(spark)
     W.write_archive(df, f"file://{tmp_path}/c", min_bytes=5)
