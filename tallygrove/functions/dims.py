@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 # Results must carry these names and group these codes.
 BLOCS = {
-    "China": "CN HK",
-    "Asia Emergente": "IN ID MY PH TH VN PK BD",
-    "Latinoamérica y Caribe": "AR BO BR CL CO CR CU DO EC SV GT HN MX NI PA PY PE PR UY VE JM TT",
-    "África Subsahariana": "ZA NG KE ET GH TZ UG SN CM CI ZW",
-    "MENA": "DZ EG IR IQ JO KW LB LY MA OM PS QA SA SY TN AE YE",
-    "Norteamérica Anglosajona": "US CA GB IE AU NZ",
-    "Europa Central/Occidental": "AT BE CH DE DK ES FI FR GR IT LU NL NO PT SE IS IL",
-    "Europa del Este": "PL CZ HU RO BG SK HR EE LV LT UA RU",
-    "Asia-Pacífico Desarrollado": "JP KR SG TW",
-}
+    "China": ["CN", "HK"],
+    "Asia Emergente": ["IN", "ID", "MY", "PH", "TH", "VN", "PK", "BD"],
+    "Latinoamérica y Caribe": ["AR", "BO", "BR", "CL", "CO", "CR", "CU", "DO", "EC", "SV", "GT", "HN", "MX", "NI", "PA", "PY", "PE", "PR", "UY", "VE", "JM", "TT"],
+    "África Subsahariana": ["ZA", "NG", "KE", "ET", "GH", "TZ", "UG", "SN", "CM", "CI", "ZW"],
+    "MENA": ["DZ", "EG", "IR", "IQ", "JO", "KW", "LB", "LY", "MA", "OM", "PS", "QA", "SA", "SY", "TN", "AE", "YE"],
+    "Norteamérica Anglosajona": ["US", "CA", "GB", "IE", "AU", "NZ"],
+    "Europa Central/Occidental": ["AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GR", "IT", "LU", "NL", "NO", "PT", "SE", "IS", "IL"],
+    "Europa del Este": ["PL", "CZ", "HU", "RO", "BG", "SK", "HR", "EE", "LV", "LT", "UA", "RU"],
+    "Asia-Pacífico Desarrollado": ["JP", "KR", "SG", "TW"],
+}
 OTHER = "Other"
-LATIN_AMERICA = "MX BR AR CL CO PE VE EC CU UY CR BO DO GT PY SV HN NI PA PR"
+# The countries of the regional levels.
+LATIN_AMERICA = ["MX", "BR", "AR", "CL", "CO", "PE", "VE", "EC", "CU", "UY", "CR", "BO", "DO", "GT", "PY", "SV", "HN", "NI", "PA", "PR"]
+# Names as results show them.
 COUNTRY_NAMES = {
     "AR": "Argentina", "AU": "Australia", "AT": "Austria", "BE": "Bélgica", "BR": "Brasil", "CA": "Canadá", "CL": "Chile", "CN": "China", "CO": "Colombia", "CR": "Costa Rica",
     "CU": "Cuba", "CZ": "República Checa", "DK": "Dinamarca", "EC": "Ecuador", "EG": "Egipto", "SV": "El Salvador", "ES": "España", "FI": "Finlandia", "FR": "Francia", "DE": "Alemania",
@@ -26,13 +28,14 @@ COUNTRY_NAMES = {
     "NL": "Países Bajos", "NZ": "Nueva Zelanda", "NO": "Noruega", "PK": "Pakistán", "PA": "Panamá", "PE": "Perú", "PL": "Polonia", "PT": "Portugal", "RU": "Rusia", "SA": "Arabia Saudita",
     "SG": "Singapur", "ZA": "Sudáfrica", "SE": "Suecia", "CH": "Suiza", "TR": "Turquía", "GB": "Reino Unido", "US": "Estados Unidos", "UY": "Uruguay", "VE": "Venezuela",
 }
+# Routes of open access and language codes that measures are named by.
 ROUTES = ("gold", "diamond", "green", "hybrid", "bronze", "closed")
 LANGUAGES = ("en", "fr", "de", "it", "la", "nd", "pt", "ru", "es")
 
 
 def codes() -> list[str]:
     """All country codes that a bloc lists, in order."""
-    return [c for listed in BLOCS.values() for c in listed.split()]
+    return [c for listed in BLOCS.values() for c in listed]
 
 
 def _lookup(pairs: dict[str, str], c: Column, default: Column) -> Column:
@@ -40,14 +43,14 @@ def _lookup(pairs: dict[str, str], c: Column, default: Column) -> Column:
 
 
 def bloc(country: Column) -> Column:
-    return _lookup({c: name for name, listed in BLOCS.items() for c in listed.split()}, country, F.lit(OTHER))
+    return _lookup({c: name for name, listed in BLOCS.items() for c in listed}, country, F.lit(OTHER))
 
 
 def first_bloc(countries: Column) -> Column:
     """The first bloc, in the table's order, that any of a work's countries is in."""
     chain = F
     for name, listed in BLOCS.items():
-        chain = chain.when(F.arrays_overlap(countries, F.array(*map(F.lit, listed.split()))), name)
+        chain = chain.when(F.arrays_overlap(countries, F.array(*map(F.lit, listed))), name)
     return chain.otherwise(OTHER)
 
 
@@ -58,7 +61,7 @@ def country_name(country: Column) -> Column:
 
 def table(spark: SparkSession) -> DataFrame:
     """country, region: a row per listed code, to join where a map is too long."""
-    return spark.createDataFrame([(c, name) for name, listed in BLOCS.items() for c in listed.split()], "country string, region string")
+    return spark.createDataFrame([(c, name) for name, listed in BLOCS.items() for c in listed], "country string, region string")
 
 
 def iso3(df: DataFrame, column: str, codes_: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+from collections import Counter
+from itertools import product
+from math import log
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +33,23 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return cells.agg(F.max("total").alias("n"), mi.alias("mi")).crossJoin(entropy(rows, a)).crossJoin(entropy(columns, b))
 
 
+def log_factorial(x: np.ndarray) -> np.ndarray:
+    """Logarithms of factorials: a table of the first, Stirling's series for the others."""
+    x = np.asarray(x, np.float64)
+    first = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 64)))])
+    y = np.maximum(x, 63) + 1
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return np.where(x < 64, first[np.minimum(x, 63).astype(np.int64)], series)
+
+
 def expected_mi(rows: list[int], columns: list[int]) -> float:
-    """Mean mutual information of random partitions with these sizes: a hypergeometric sum."""
+    """Mean mutual information of random partitions with these sizes: a hypergeometric sum for each pair of distinct sizes."""
     n = sum(rows)
-    fact = [lgamma(i + 1) for i in range(n + 1)]
     out = 0.0
-    for a in rows:
-        for b in columns:
-            fixed = fact[a] + fact[b] + fact[n - a] + fact[n - b] - fact[n]
-            for k in range(max(1, a + b - n), min(a, b) + 1):
-                chance = exp(fixed - fact[k] - fact[a - k] - fact[b - k] - fact[n - a - b + k])
-                out += k / n * log(n * k / (a * b)) * chance
+    for (a, many_a), (b, many_b) in product(Counter(rows).items(), Counter(columns).items()):
+        k = np.arange(max(1, a + b - n), min(a, b) + 1)
+        chance = np.exp(log_factorial(a) + log_factorial(b) + log_factorial(n - a) + log_factorial(n - b) - log_factorial(n) - log_factorial(k) - log_factorial(a - k) - log_factorial(b - k) - log_factorial(n - a - b + k))
+        out += many_a * many_b * float((k / n * np.log(n * k / (a * b)) * chance).sum())
     return out
 
 

@@ -129,6 +129,6 @@ def below(df: DataFrame, chosen: dict[str, str], level: str) -> DataFrame:
 
 
 def sunburst(cube_: DataFrame, n: int = 35) -> DataFrame:
-    """The n largest topics with documents and weighted impact."""
+    """The n largest themes with documents and weighted impact."""
     rows = cube_.groupBy("topic").agg(F.sum("doc_count").alias("docs"), weighted("fwci_avg").alias("fwci_avg"))
     return rows.orderBy(F.desc("docs"), "topic").limit(n)

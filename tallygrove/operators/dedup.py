@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +30,15 @@ def first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def prefer_consolidated(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Rows whose ``column`` is null or '' where a key has any, else all its rows."""
-    from pyspark.sql import Window
-
+    """Rows whose ``column`` is null or '' where a key has any, else all its rows; without keys all rows are one."""
     whole = F.col(column).isNull() | (F.col(column) == "")
-    flagged = df.withColumn("_any", F.max(whole.cast("int")).over(Window.partitionBy(*keys)))
-    return flagged.filter((F.col("_any") == 0) | whole).drop("_any")
+    found = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(whole).alias("_any"))
+    if keys:
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        flagged = df.join(found, reduce(and_, same))
+    else:
+        flagged = df.crossJoin(F.broadcast(found))  # one row
+    return flagged.filter(~F.col("_any") | whole).drop("_any", *[f"_{k}" for k in keys])
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:

@@ -45,5 +45,5 @@ def sizes(df: DataFrame, cluster: str = "cluster", bin_: str = "bin_id") -> Data
 
 def small_bins(df: DataFrame, cluster: str, bin_: str = "bin_id", least: int = 50) -> DataFrame:
     """Bins of fewer rows than ``least`` are one cluster, 0."""
-    n = F.count("*").over(Window.partitionBy(bin_))
-    return df.withColumn(cluster, F.when(n < least, F.lit(0)).otherwise(F.col(cluster)))
+    small = df.groupBy(F.col(bin_).alias("_bin")).agg(F.count("*").alias("_n")).filter(F.col("_n") < least)
+    return df.join(small, F.col(bin_).eqNullSafe(F.col("_bin")), "left").withColumn(cluster, F.when(F.col("_n").isNotNull(), F.lit(0)).otherwise(F.col(cluster))).drop("_bin", "_n")

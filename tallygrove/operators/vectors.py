@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import TOKEN
+
 
 #: Numbers of a vector that travel together.
 PART = 16
@@ -36,14 +40,21 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
 
     Exact: vectors are gathered to blocks, pairs of blocks are one matrix
     product each, and a block pair gives k rows per query at most, cut in the
-    final order, so equal cosines go by id in whatever block they are.
+    final order, so equal cosines go by id in whatever block they are.  Blocks of
+    rows stream past the blocks of queries without being shuffled again: those
+    are broadcast where Spark's own threshold allows, else read once for each
+    partition of rows.  Rows without a vector (null, empty, or with a null in it)
+    are neither queries nor neighbours.
     """
     spark = rows.sparkSession
     kind = rows.schema[id_col].dataType.simpleString()
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(df: DataFrame, side: str) -> DataFrame:
-        parts = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-df.count() // block))))
-        return df.groupBy(parts.alias(f"{side}_block")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))).alias(side))
+        real = df.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & ~F.exists(vector_col, lambda x: x.isNull()))
+        parts = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-real.count() // block))))
+        dealt = real.select(parts.alias("part"), F.struct(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).alias("row")).repartition(tasks, "part")
+        return dealt.groupBy("part").agg(F.collect_list("row").alias(side)).select(side)
 
     def best(batches):
         for pdf in batches:
@@ -59,7 +70,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
                 top = np.argsort(-near, axis=1, kind="stable")[:, :k]
                 yield pd.DataFrame({"query": np.repeat(names, top.shape[1]), "neighbour": others[top].ravel(), "cosine": np.take_along_axis(cosine, top, 1).ravel(), "near": np.take_along_axis(near, top, 1).ravel()}).query("near > -2")
 
-    pairs = blocks(queries, "q").crossJoin(blocks(rows, "r")).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "q_block", "r_block").select("q", "r")
+    pairs = blocks(rows, "r").crossJoin(blocks(queries, "q")).select("q", "r")
     found = pairs.mapInPandas(best, f"query {kind}, neighbour {kind}, cosine double, near double")
     line = Window.partitionBy("query").orderBy(F.desc("near"), "neighbour")
     return found.withColumn("rank", F.row_number().over(line).cast("long")).filter(F.col("rank") <= k).drop("near")
@@ -93,11 +104,35 @@ def fastrp(edges: DataFrame, dim: int = 128, rounds: int = 3) -> DataFrame:
     return whole.select("node", unit(F.col("v")).alias("v"))
 
 
+def text_embedded(df: DataFrame, key: str, text_col: str, dim: int) -> DataFrame:
+    """key, embedding: the mean of a text's token vectors as a unit vector; each token is a signed place, both from its digest.
+
+    The stand-in for a language model's vectors, in built-in functions.  A text
+    without tokens has the zero vector; texts of one key are one text.
+    """
+    token = F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(f"({TOKEN})"), F.lit(1)))
+    digests = df.select(key, token.alias("_token")).select(key, F.md5("_token").alias("_m"))
+    place = F.pmod(F.conv(F.substring("_m", 1, 6), 16, 10).cast("int"), F.lit(dim))
+    sums = digests.groupBy(key, place.alias("_at")).agg(F.sum(F.when(F.substring("_m", 32, 1) < "8", 1).otherwise(-1)).cast("double").alias("_x"))
+    filled = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_x"))).alias("_places"))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("_places", i), F.lit(0.0)))
+    return df.select(key).distinct().join(filled, key, "left").select(key, unit(numbers).alias("embedding"))
+
+
+def reduced(df: DataFrame, vector_col: str, dim: int, out: str = "reduced") -> DataFrame:
+    """Principal components of vectors of equal length: the learned reduction; its covariance is summed on the cluster."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.withColumn("_dense", array_to_vector(F.col(vector_col).cast("array<double>")))
+    model = PCA(k=dim, inputCol="_dense", outputCol="_main").fit(rows.filter(F.col("_dense").isNotNull()))
+    return model.transform(rows).withColumn(out, vector_to_array("_main")).drop("_dense", "_main")
+
+
 def projected(df: DataFrame, vector_col: str, size: int, dim: int) -> DataFrame:
     """Random projection of vectors of ``size`` to ``dim``, by digest signs: the stand-in for a learned reduction."""
     scale = float(dim) ** -0.5
-    rng = np.random.default_rng(42)
-    signs = np.where(rng.random((dim, size)) < 0.5, -scale, scale).tolist()
+    signs = [[scale if hashlib.md5(f"{i}:{j}".encode()).hexdigest()[0] < "8" else -scale for j in range(size)] for i in range(dim)]
     return df.withColumn("projected", F.array(*[dot(F.col(vector_col), F.array(*map(F.lit, row))) for row in signs]))
 
 

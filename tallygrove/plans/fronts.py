@@ -111,9 +111,9 @@ def vector_window(spark, d):
 
 
 def projected_sign(spark, d):
-    """How many vectors keep the sign pattern of a random projection."""
-    found = V.projected(table(spark, d, "embeddings"), "embedding", 64, 4)
-    return found.select("vec_id", F.size("projected").cast("long").alias("dims"))
+    """The coordinates of a random projection to four dimensions, and their signs."""
+    found = V.projected(table(spark, d, "embeddings"), "embedding", 64, 4).select("vec_id", F.posexplode("projected").alias("dim", "x"))
+    return found.select("vec_id", F.col("dim").cast("long").alias("dim"), (F.round("x", 5) + 0.0).alias("x"), (F.col("x") > 1e-9).alias("positive"))
 
 
 def embedding_text(spark, d):
@@ -313,7 +313,7 @@ ORACLES = {
     "vector_coverage": f"WITH {_STORE} SELECT count(*) AS total, count(*) FILTER (len(model_a) > 0) AS with_a, count(*) FILTER (len(model_b) > 0) AS with_b FROM st",
     "vector_missing": f"WITH {_STORE} SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM st WHERE len(model_b) > 0)",
     "vector_window": f"WITH {_STORE} SELECT id, len(model_a) AS dims FROM st WHERE year BETWEEN 2016 AND 2018 AND len(model_a) > 0",
-    "projected_sign": "SELECT vec_id, CAST(4 AS BIGINT) AS dims FROM embeddings",
+    "projected_sign": "WITH g AS (SELECT i, list(CASE WHEN left(md5(i || ':' || j), 1) < '8' THEN 0.5 ELSE -0.5 END ORDER BY j) AS s FROM range(4) a(i), range(64) b(j) GROUP BY i), x AS (SELECT vec_id, i AS dim, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(s AS DOUBLE[])) AS x FROM embeddings, g) SELECT vec_id, dim, round(x, 5) + 0.0 AS x, x > 1e-9 AS positive FROM x",
     "embedding_text": "SELECT doc_id, md5('Title: ' || left(text, 20) || ' [SEP] Abstract: ' || text) AS digest FROM documents",
     "contingency": f"WITH {_PARTS} SELECT * FROM t",
     "mutual_information": f"WITH {_PARTS}, x AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM t), ra AS (SELECT a, sum(n) AS m FROM t GROUP BY a), rb AS (SELECT b, sum(n) AS m FROM t GROUP BY b) SELECT CAST(max(total) AS BIGINT) AS n, round(sum(n / total * ln(n * total / (na * nb))), 6) AS mi, (SELECT round(-sum(m / s * ln(m / s)), 6) FROM ra, (SELECT sum(n) AS s FROM t)) AS h_a, (SELECT round(-sum(m / s * ln(m / s)), 6) FROM rb, (SELECT sum(n) AS s FROM t)) AS h_b FROM x",

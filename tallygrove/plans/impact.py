@@ -95,7 +95,7 @@ def summary_countries(spark, d):
     return _ratios(C.reaggregate(cells, ["entity_name"], ALL_MEASURES), ["entity_name"])
 
 
-def summary_topics(spark, d):
+def summary_themes(spark, d):
     cells = _cube(spark, d).filter("entity_type = 'Mundo'")
     return _ratios(C.reaggregate(cells, ["topic"], ALL_MEASURES), ["topic"])
 
@@ -129,7 +129,7 @@ def hierarchy_distinct(spark, d):
 
 
 def topic_evolution(spark, d):
-    """The three largest topics, year by year."""
+    """The three largest themes, year by year."""
     cells = _cube(spark, d).filter("entity_type = 'Mundo'")
     top = cells.groupBy("topic").agg(F.sum("doc_count").alias("n")).orderBy(F.desc("n"), "topic").limit(3)
     return cells.join(top, "topic", "left_semi").groupBy("topic", "year").agg(F.sum("doc_count").alias("docs"))
@@ -209,7 +209,7 @@ def metric_levels(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     world_year_topic, country_year_topic, region_year_topic, first_region_year_topic, entity_cube, entity_grouping_sets, entity_kpis, entity_trends, cagr, quadrants,
-    summary_countries, summary_topics, topic_pivot, annual_pivot, oa_unpivot, sunburst_rows, hierarchy_distinct, topic_evolution, annual_metrics, period_metrics,
+    summary_countries, summary_themes, topic_pivot, annual_pivot, oa_unpivot, sunburst_rows, hierarchy_distinct, topic_evolution, annual_metrics, period_metrics,
     journal_metrics, country_metrics, journal_kpis, country_stats, oa_vs_impact, year_range, regional_summary, metric_levels,
 )}
 
@@ -253,7 +253,7 @@ ORACLES = {
         m AS (SELECT median(docs) AS median_docs FROM q)
         SELECT entity_name, docs, impact, median_docs, (CASE WHEN docs >= median_docs THEN 'large' ELSE 'small' END) || '-' || (CASE WHEN impact >= 1 THEN 'high' ELSE 'low' END) AS quadrant FROM q, m""",
     "summary_countries": _CUBE_SQL + f", s AS (SELECT entity_name, {', '.join(f'sum({m}) AS {m}' for m in ALL_MEASURES)} FROM c0 WHERE entity_type = 'Country' AND year >= 1997 GROUP BY ALL) SELECT entity_name, {sql_ratios()} FROM s",
-    "summary_topics": _CUBE_SQL + f", s AS (SELECT topic, {', '.join(f'sum({m}) AS {m}' for m in ALL_MEASURES)} FROM c0 WHERE entity_type = 'Mundo' GROUP BY ALL) SELECT topic, {sql_ratios()} FROM s",
+    "summary_themes": _CUBE_SQL + f", s AS (SELECT topic, {', '.join(f'sum({m}) AS {m}' for m in ALL_MEASURES)} FROM c0 WHERE entity_type = 'Mundo' GROUP BY ALL) SELECT topic, {sql_ratios()} FROM s",
     "topic_pivot": _CUBE_SQL + "SELECT entity_name, " + ", ".join(f"CAST(coalesce(sum(doc_count) FILTER (topic = '{t}'), 0) AS BIGINT) AS \"{t}\"" for t in _TOPICS) + " FROM c0 WHERE year >= 1998 GROUP BY entity_name",
     "annual_pivot": _CUBE_SQL + "SELECT entity_name, " + ", ".join(f"CAST(coalesce(sum(doc_count) FILTER (year = {y}), 0) AS BIGINT) AS \"{y}\"" for y in range(1995, 2002)) + " FROM c0 GROUP BY entity_name",
     "oa_unpivot": _CUBE_SQL + ", y AS (SELECT entity_name, year, sum(doc_count) AS docs, sum(oa_f) AS oa_f, sum(oa_o) AS oa_o, sum(oa_p) AS oa_p FROM c0 WHERE entity_type = 'Region' GROUP BY ALL) " + " UNION ALL ".join(f"SELECT entity_name, year, '{r}' AS route, {sql_ratio(r, 'docs', 100)} AS share FROM y" for r in ("oa_f", "oa_o", "oa_p")),

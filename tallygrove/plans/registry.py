@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fronts, impact, panels, relations, texts
+from . import bundles, fronts, impact, panels, relations, texts
 
-_PLANS = (impact, relations, texts, fronts, panels)
+_PLANS = (impact, relations, texts, fronts, panels, bundles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -102,8 +102,7 @@ def sector_dist(spark, d):
 
 def type_distribution(spark, d):
     """Types over all countries: the consolidated rows where there are any."""
-    rows = doc_type_dist(spark, d).withColumn("one", F.lit(1))
-    return D.prefer_consolidated(rows, ["one"], "country").groupBy("kind").agg(F.sum("n").alias("n"))
+    return D.prefer_consolidated(doc_type_dist(spark, d), [], "country").groupBy("kind").agg(F.sum("n").alias("n"))
 
 
 def type_densified(spark, d):

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import slug
+from ..functions.text import slug, slug_column
 
+# Words that stay small in a readable name, and where subjects of unknown place stand.
+SMALL_WORDS = ("and", "or", "of", "for", "to", "in", "on", "with", "by", "at")
+NOWHERE = ("Cached Data (Offline)", "Local Cache")
 ARTEFACTS = ("main", "collaboration", "institutions", "types", "inst_types", "journals")
 
 
@@ -25,6 +30,27 @@ def read_or_none(spark: SparkSession, path: str, columns: list[str] | None = Non
     return found.select(*columns) if columns else found
 
 
+def row_count(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table: no column is asked for, so only footers are read."""
+    return spark.read.parquet(path).count()
+
+
+def scan(spark: SparkSession, folder: str, name: str, where: Callable[[DataFrame], Column] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A table's rows that the caller's function chooses, and columns; both reach the scan."""
+    found = table(spark, folder, name)
+    found = found.filter(where(found)) if where else found
+    return found.select(*columns) if columns else found
+
+
+def first_of(*sources: Callable[[], DataFrame | None]) -> DataFrame | None:
+    """The first source that is there and has rows; later ones aren't asked for."""
+    for source in sources:
+        found = source()
+        if found is not None and not found.isEmpty():
+            return found
+    return None
+
+
 def artefact(spark: SparkSession, root: str, subject: str, kind: str) -> DataFrame | None:
     """A subject's cached table of one kind."""
     if kind not in ARTEFACTS:
@@ -32,6 +58,20 @@ def artefact(spark: SparkSession, root: str, subject: str, kind: str) -> DataFra
     return read_or_none(spark, f"{root}/{slug(subject)}/{kind}")
 
 
+def readable(name: Column) -> Column:
+    """A subject's name from its slug: words in capitals but for small ones."""
+    return F.array_join(F.transform(F.split(name, "_"), lambda w: F.when(w.isin(*SMALL_WORDS), w).otherwise(F.initcap(w))), " ")
+
+
+def hierarchy_from_artefacts(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+    """domain, field, subfield of the subjects that have a main table under ``root``; ``known`` (the same columns) places those it lists."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select("path")
+    slugs = paths.select(F.regexp_extract("path", r"/([^/]+)/main(?:\.parquet)?(?:/|$)", 1).alias("slug")).filter("slug <> ''").distinct()
+    placed = (known if known is not None else spark.createDataFrame([], "domain string, field string, subfield string")).select("domain", "field", F.col("subfield").alias("name"), slug_column(F.col("subfield")).alias("slug"))
+    domain, field = map(F.lit, NOWHERE)
+    return slugs.join(placed, "slug", "left").select(F.coalesce("domain", domain).alias("domain"), F.coalesce("field", field).alias("field"), F.coalesce("name", readable(F.col("slug"))).alias("subfield"))
+
+
 def cached_metrics(spark: SparkSession, root: str, level: str, period: str) -> DataFrame | None:
     """Metric tables by level (latam, country, journal) and period (annual, period)."""
     return read_or_none(spark, f"{root}/{level}_{period}")
