@@ -9,12 +9,23 @@ context, and then does a successor search for the word among that context's
 children only.  Beside each k-gram stands its smoothed probability, quantised
 to a byte: the count over the context's count plus ``prior``.  A query adds the
 lower order, weighted by prior / (context count + prior): Dirichlet smoothing
-down to add-one unigrams, so every conditional distribution sums to one.
+down to add-one unigrams.  Before they are quantised every conditional
+distribution sums to one; a byte's step is a 255th of its shard's range of
+logarithms, so a token's score is off by half a step of some 0.02 at most.
 
 Levels are cut into shards of bounded size by a hash of the whole k-gram, so a
 word that follows everything, or that everything follows, is spread evenly.
-Each shard is a file of the shared folder that one task builds and that scoring
-tasks map: nothing is collected or broadcast but one number per shard.
+Each shard is a file of the shared folder that one task builds: nothing is
+collected or broadcast but one number per shard.
+
+Scoring by bigrams brings the pairs of the texts to the shards, not the shards
+to the texts: a text's score is the sum over tokens of the lower order's share,
+which needs the vocabulary alone, and of what the pairs that the trie knows add
+to it.  A task hands on its distinct pairs by text, one task per shard looks
+them up, in order, and gives back one sum for each text.  So each shard is read
+once, however many texts there are, and blocks follow the number of pairs (more
+than ``FAN`` shards are parted in rounds).  Higher orders are scored by tasks
+that map the shards they need; contexts must then be found before pairs are.
 
 Defined results: null text is empty and is its end token alone; a null document
 id is learned from; with nothing to learn from, the unigram denominator is 1
@@ -32,6 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .counts import FAN, widest
 from .eliasfano import EliasFano, pack, unpack
 from .shared import RangeHash, in_arrow, lower_ascii, map_file, mix, pieces, put_file, settle, table, texts_of, work_folder
 
@@ -242,17 +254,7 @@ def _count_grams(batches, trie: Trie, level: int, shards: int):
     size = 0
 
     def handed():
-        keys = np.concatenate(held)
-        keys, counts = np.unique(keys, return_counts=True)
-        shard = _gram_shard((keys // _U(trie.words)).astype(np.int64), (keys % _U(trie.words)).astype(np.int64), shards)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        for i in np.flatnonzero(np.diff(cut)):
-            rows = order[cut[i] : cut[i + 1]]
-            arrays, values = EliasFano.encode(keys[rows], "keys")
-            many = counts[rows]
-            block = pack(arrays | {"counts": many.astype(np.min_scalar_type(int(many.max())))}, **values)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
+        yield from _gram_blocks(*np.unique(np.concatenate(held), return_counts=True), trie.words, shards, widest(shards))
 
     for _, data, offsets in pieces(batches, "text", PIECE):
         ids, counts, first = _sequence(trie, *_tokens(data, offsets))
@@ -267,13 +269,53 @@ def _count_grams(batches, trie: Trie, level: int, shards: int):
         yield from handed()
 
 
+def _gram_blocks(keys: np.ndarray, counts: np.ndarray, words: int, shards: int, width: int):
+    """Distinct k-grams in order as one block for each range of ``width`` shards that has any; it is named by the first of them."""
+    shard = _gram_shard((keys // _U(words)).astype(np.int64), (keys % _U(words)).astype(np.int64), shards) // width
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(-(-shards // width) + 1))
+    for i in np.flatnonzero(np.diff(cut)):
+        rows = order[cut[i] : cut[i + 1]]
+        arrays, values = EliasFano.encode(keys[rows], "keys")
+        many = counts[rows]
+        block = pack(arrays | {"counts": many.astype(np.min_scalar_type(int(many.max())))}, **values)
+        yield pa.RecordBatch.from_arrays([pa.array([i * width], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
+
+
+def _opened(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    arrays, values = unpack(np.frombuffer(block, np.uint8))
+    part = EliasFano(arrays, values, "keys")
+    return part.get(np.arange(part.n)), arrays["counts"].astype(np.int64)
+
+
+def _split_grams(batches, words: int, shards: int, width: int):
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def handed():
+        keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        yield from _gram_blocks(keys, np.bincount(where, np.concatenate([c for _, c in held])).astype(np.int64), words, shards, width)
+
+    for batch in batches:
+        for block in batch.column("block").to_pylist():
+            held.append(_opened(block))
+            if sum(len(k) for k, _ in held) >= GATHER:
+                yield from handed()
+                held.clear()
+    if held:
+        yield from handed()
+
+
+def _parted(blocks: DataFrame, split, shards: int, fan: int) -> DataFrame:
+    """Blocks of ranges of shards, split until each is of one shard."""
+    width = widest(shards, fan)
+    while width > 1:
+        width //= fan
+        blocks = blocks.repartition("shard").transform(in_arrow, partial(split, shards=shards, width=width), blocks.schema)
+    return blocks
+
+
 def _build_level(group: pa.Table, trie: Trie, level: int) -> pa.Table:
-    keys, counts = [], []
-    for block in group.column("block").to_pylist():
-        arrays, values = unpack(np.frombuffer(block, np.uint8))
-        part = EliasFano(arrays, values, "keys")
-        keys.append(part.get(np.arange(part.n)))
-        counts.append(arrays["counts"].astype(np.int64))
+    keys, counts = map(list, zip(*map(_opened, group.column("block").to_pylist())))
     keys, where = np.unique(np.concatenate(keys), return_inverse=True)
     count = np.bincount(where, np.concatenate(counts)).astype(np.int64)
     context, word = keys // _U(trie.words), keys % _U(trie.words)
@@ -308,8 +350,11 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, prior: floa
     built = dealt.groupBy("shard").applyInArrow(lambda group: _build_vocabulary(group, trie.folder), "shard int, n long")
     trie.add_level(dict(map(tuple, built.collect())), shards)  # one row per shard
     for level in range(2, order + 1):
+        if (int(trie.base[-1][-1]) + 1) * trie.words >= 1 << 64:
+            raise OverflowError(f"{trie.base[-1][-1]} contexts times {trie.words} words don't fit a key of 64 bits")
         shards = max(1, -(-trie.tokens // TOKEN_SHARD))
         grams = rows.transform(in_arrow, partial(_count_grams, trie=trie, level=level, shards=shards), "shard int, block binary")
+        grams = _parted(grams, partial(_split_grams, words=trie.words), shards, FAN)
         built = grams.groupBy("shard").applyInArrow(_level_builder(trie, level), "shard int, n long")
         trie.add_level(dict(map(tuple, built.collect())), shards)
     return trie
@@ -334,9 +379,127 @@ def _score(batches, trie: Trie):
 
 def score(docs: DataFrame, trie: Trie, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score (add-one unigrams), score (the trie): log10 of the texts' probabilities."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.transform(in_arrow, partial(_score, trie=trie), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    numbers = "n_tokens long, n_known long, base_score double, score double"
+    if trie.order != 2:
+        return rows.transform(in_arrow, partial(_score, trie=trie), f"doc_id {kind.simpleString()}, {numbers}")
+    shards = len(trie.base[1]) - 1
+    asked = rows.withColumn("rid", F.monotonically_increasing_id()).transform(in_arrow, partial(_ask, trie=trie, shards=shards), "shard int, block binary")
+    answers = _parted(asked, partial(_split_asked, words=trie.words), shards, FAN).groupBy("shard").applyInArrow(_answerer(trie, kind), f"rid long, doc_id {kind.simpleString()}, {numbers}")
+    # the parts of a text's sum; sums of one task are united before the shuffle
+    whole = answers.groupBy("rid").agg(F.max_by("doc_id", "n_tokens").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return whole.drop("rid")
+
+
+# ---- pairs of texts brought to the shards -------------------------------------------------
+
+
+def _asked_blocks(keys: np.ndarray, rids: np.ndarray, times: np.ndarray, words: int, shards: int, width: int):
+    """Pairs by text (key, text, how often) as one block for each range of shards: distinct keys, texts of each, times."""
+    shard = _gram_shard((keys // _U(words)).astype(np.int64), (keys % _U(words)).astype(np.int64), shards) // width
+    order = np.lexsort((rids, keys, shard))
+    shard, keys, rids, times = shard[order], keys[order], rids[order], times[order]
+    head = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rids[1:] != rids[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    shard, keys, rids, times = shard[head], keys[head], rids[head], np.add.reduceat(times, head) if len(head) else times
+    cut = np.searchsorted(shard, np.arange(-(-shards // width) + 1))
+    for i in np.flatnonzero(np.diff(cut)):
+        part = slice(cut[i], cut[i + 1])
+        names, many = np.unique(keys[part], return_counts=True)
+        arrays, values = EliasFano.encode(names, "keys")
+        least = int(rids[part].min())
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max())))
+        block = pack(arrays | {"many": small(many), "rids": small(rids[part] - least), "times": small(times[part])}, least=least, **values)
+        yield pa.RecordBatch.from_arrays([pa.array([i * width], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
+
+
+def _asked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """A block's pairs; None for a block of texts."""
+    if block[:1] == TEXTS:
+        return None
+    arrays, values = unpack(np.frombuffer(block, np.uint8))
+    part = EliasFano(arrays, values, "keys")
+    return np.repeat(part.get(np.arange(part.n)), arrays["many"].astype(np.int64)), arrays["rids"].astype(np.int64) + values["least"], arrays["times"].astype(np.int64)
+
+
+#: A block of texts begins with this byte; one of pairs with the low byte of a length, a multiple of eight.
+TEXTS = b"\x01"
+
+
+def _ask(batches, trie: Trie, shards: int):
+    """Blocks of the pairs of a task's texts; and, to any shard, the texts with what the vocabulary alone says of them."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    width = widest(shards)
+
+    def handed():
+        yield from _asked_blocks(*(np.concatenate(x) for x in zip(*held)), trie.words, shards, width)
+
+    for rows, data, offsets in pieces(batches, "text", PIECE):
+        ids, counts, first = _sequence(trie, *_tokens(data, offsets))
+        context, many = _contexts(trie, ids, counts, first, 2)
+        unigram = np.log10((counts + 1.0) / (trie.tokens + trie.words + 1.0))
+        lower = unigram + np.where(many > 0, np.log10(trie.prior / (many + trie.prior)), 0.0)
+        sizes = np.diff(np.append(first, len(ids)))
+        sums = [np.add.reduceat(x, first) for x in (unigram, lower, (counts > 0).astype(np.int64))]
+        rids = rows.column("rid").to_numpy()
+        texts = pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])], ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, texts.schema) as stream:
+            stream.write_batch(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([int(rids[0]) % shards // width * width], pa.int32()), pa.array([TEXTS + sink.getvalue().to_pybytes()], pa.binary())], ["shard", "block"])
+        known = np.flatnonzero((context >= 0) & (ids >= 0))
+        row = np.repeat(np.arange(len(sizes)), sizes)[known]
+        held.append((context[known].astype(np.uint64) * _U(trie.words) + ids[known].astype(np.uint64), rids[row], np.ones(len(known), np.int64)))
+        if sum(len(h[0]) for h in held) >= GATHER:
+            yield from handed()
+            held.clear()
+    if held:
+        yield from handed()
+
+
+def _split_asked(batches, words: int, shards: int, width: int):
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for at, block in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist()):
+            part = _asked(block)
+            if part is None:
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
+                continue
+            held.append(part)
+            if sum(len(h[0]) for h in held) >= GATHER:
+                yield from _asked_blocks(*(np.concatenate(x) for x in zip(*held)), words, shards, width)
+                held.clear()
+    if held:
+        yield from _asked_blocks(*(np.concatenate(x) for x in zip(*held)), words, shards, width)
+
+
+def _answer(group: pa.Table, trie: Trie, schema: pa.Schema) -> pa.Table:
+    """What the known pairs of a shard add to the texts that have them, and the texts that came along."""
+    parts, out = [], []
+    for block in group.column("block").to_pylist():
+        if (part := _asked(block)) is not None:
+            parts.append(part)
+        else:
+            out.append(pa.ipc.open_stream(block[1:]).read_all().cast(schema))
+    if parts:
+        keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        context, word = (keys // _U(trie.words)).astype(np.int64), (keys % _U(trie.words)).astype(np.int64)
+        share = trie.children(2, context, word)[1]
+        weight = trie.prior / (trie.counts(1, context) + trie.prior)
+        unigram = (trie.counts(1, word) + 1.0) / (trie.tokens + trie.words + 1.0)
+        more = np.log10(1 + share / (weight * unigram))[where] * np.concatenate([p[2] for p in parts])
+        rids, of = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        n = len(rids)
+        zero, none = pa.array(np.zeros(n, np.int64)), pa.nulls(n, schema.field("doc_id").type)
+        out.append(pa.Table.from_arrays([pa.array(rids), none, zero, zero, pa.array(np.zeros(n)), pa.array(np.bincount(of, more))], schema=schema))
+    return pa.concat_tables(out)
+
+
+def _answerer(trie: Trie, kind):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    return lambda group: _answer(group, trie, schema)
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:

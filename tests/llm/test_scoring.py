@@ -5,10 +5,12 @@ from re import findall
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallygrove.llm import ngram
+from tallygrove.llm.counts import widest as counts_widest
 from tallygrove.llm.eliasfano import EliasFano, pack, unpack
 
 from .fixtures import CLASHING, doubled, frame, lowered
@@ -94,6 +96,43 @@ def test_vocabulary_is_exact_over_many_shards(spark, monkeypatch):
     assert {x[:2] for x in a} == {x[:2] for x in b}
 
 
+def test_pairs_brought_to_shards_give_what_mapped_shards_give(spark, monkeypatch):
+    """Many shards, in one round and in several; each shard is opened by one task alone."""
+    monkeypatch.setattr(ngram, "TOKEN_SHARD", 700)
+    monkeypatch.setattr(ngram, "GATHER", 900)
+    docs = frame(spark, extra=CLASHING)
+    trie = ngram.fit(docs)
+    shards = len(trie.base[1]) - 1
+    assert shards > 20
+    rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    mapped = rows.transform(ngram.in_arrow, ngram.partial(ngram._score, trie=trie), "doc_id long, n_tokens long, n_known long, base_score double, score double").collect()
+    wanted = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in mapped)
+    for fan in (256, 3):
+        monkeypatch.setattr(ngram, "FAN", fan)
+        monkeypatch.setattr(ngram, "widest", lambda n, f=fan: counts_widest(n, f))
+        found = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ngram.score(docs, trie).collect())
+        assert [f[:3] for f in found] == [w[:3] for w in wanted]
+        assert all(abs(a - b) < 1e-4 for f, w in zip(found, wanted) for a, b in zip(f[3:], w[3:]))
+        blocks = ngram._parted(rows.withColumn("rid", F.monotonically_increasing_id()).transform(ngram.in_arrow, ngram.partial(ngram._ask, trie=trie, shards=shards), "shard int, block binary"), ngram.partial(ngram._split_asked, words=trie.words), shards, fan)
+        for r in blocks.collect():
+            if (part := ngram._asked(bytes(r.block))) is not None:
+                assert set(ngram._gram_shard((part[0] // np.uint64(trie.words)).astype(np.int64), (part[0] % np.uint64(trie.words)).astype(np.int64), shards)) == {r.shard}
+
+
+def test_keys_that_do_not_fit_are_refused(spark, monkeypatch):
+    class Wide(ngram.Trie):
+        def __init__(self, folder, tokens, words, documents, prior):
+            super().__init__(folder, tokens, 1 << 40, documents, prior)
+
+        def add_level(self, sizes, shards):
+            self.base.append(np.array([0, 1 << 30]))
+
+    monkeypatch.setattr(ngram, "Trie", Wide)
+    monkeypatch.setattr(ngram, "VOCABULARY_SHARD", 1 << 40)
+    with pytest.raises(OverflowError):
+        ngram.fit(frame(spark))
+
+
 def test_distribution_sums_to_one(spark):
     docs = frame(spark, [(0, "a b a", None, None, 0), (1, "b b", None, None, 0)])
     trie = ngram.fit(docs)
