@@ -96,8 +96,9 @@ def fastrp(edges: DataFrame, dim: int = 128, rounds: int = 3) -> DataFrame:
     now = start.withColumnRenamed("r", "v")
     for _ in range(rounds):
         sent = both.join(now.withColumnRenamed("node", "dst"), "dst")
-        mean = sent.groupBy(F.col("src").alias("node"), "at").agg(*[F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(PART)])
-        means = F.filter(F.array(*[F.col(f"m{i}") for i in range(PART)]), lambda m: m.isNotNull())
+        # one count for all sums: what is shuffled is half of what as many averages are
+        mean = sent.groupBy(F.col("src").alias("node"), "at").agg(F.count("*").alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(PART)])
+        means = F.filter(F.array(*[F.col(f"m{i}") / F.col("n") for i in range(PART)]), lambda m: m.isNotNull())
         now = start.join(mean, ["node", "at"]).select("node", "at", F.zip_with(means, "r", lambda x, y: x + y).alias("v"))
         now = now.checkpoint() if keep else now
     whole = now.groupBy("node").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda p: p["v"])).alias("v"))
