@@ -22,9 +22,9 @@ Scoring by bigrams brings the pairs of the texts to the shards, not the shards
 to the texts: a text's score is the sum over tokens of the lower order's share,
 which needs the vocabulary alone, and of what the pairs that the trie knows add
 to it.  A task hands on its distinct pairs by text, one task per shard looks
-them up, in order, and gives back one sum for each text.  So each shard is read
-once, however many texts there are, and blocks follow the number of pairs (more
-than ``FAN`` shards are parted in rounds).  Higher orders are scored by tasks
+them up, in order, and gives back one sum for each text, in blocks by chunk of texts.
+So each shard is read once, however many texts there are, and blocks follow the
+number of pairs (more than ``FAN`` shards are parted in rounds).  Higher orders are scored by tasks
 that map the shards they need; contexts must then be found before pairs are.
 
 Defined results: null text is empty and is its end token alone; a null document
@@ -386,10 +386,8 @@ def score(docs: DataFrame, trie: Trie, text_col: str = "text", id_col: str = "do
         return rows.transform(in_arrow, partial(_score, trie=trie), f"doc_id {kind.simpleString()}, {numbers}")
     shards = len(trie.base[1]) - 1
     asked = rows.withColumn("rid", F.monotonically_increasing_id()).transform(in_arrow, partial(_ask, trie=trie, shards=shards), "shard int, block binary")
-    answers = _parted(asked, partial(_split_asked, words=trie.words), shards, FAN).groupBy("shard").applyInArrow(_answerer(trie, kind), f"rid long, doc_id {kind.simpleString()}, {numbers}")
-    # the parts of a text's sum; sums of one task are united before the shuffle
-    whole = answers.groupBy("rid").agg(F.max_by("doc_id", "n_tokens").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return whole.drop("rid")
+    answers = _parted(asked, partial(_split_asked, words=trie.words), shards, FAN).groupBy("shard").applyInArrow(_answerer(trie), "chunk long, block binary")
+    return answers.groupBy("chunk").applyInArrow(_united, f"doc_id {kind.simpleString()}, {numbers}")
 
 
 # ---- pairs of texts brought to the shards -------------------------------------------------
@@ -422,6 +420,17 @@ def _asked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     return np.repeat(part.get(np.arange(part.n)), arrays["many"].astype(np.int64)), arrays["rids"].astype(np.int64) + values["least"], arrays["times"].astype(np.int64)
 
 
+#: Texts whose sums come together again are those with the same number but for so many bits.
+CHUNK = 10
+
+
+def _chunks(rids: np.ndarray):
+    """(chunk, first, end) of each run of rows, in order of their numbers, that is in one chunk."""
+    cut = np.flatnonzero(np.diff(rids >> CHUNK)) + 1
+    for at, end in zip([0, *cut.tolist()], [*cut.tolist(), len(rids)]):
+        yield int(rids[at]) >> CHUNK, at, end
+
+
 #: A block of texts begins with this byte; one of pairs with the low byte of a length, a multiple of eight.
 TEXTS = b"\x01"
 
@@ -443,10 +452,11 @@ def _ask(batches, trie: Trie, shards: int):
         sums = [np.add.reduceat(x, first) for x in (unigram, lower, (counts > 0).astype(np.int64))]
         rids = rows.column("rid").to_numpy()
         texts = pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])], ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, texts.schema) as stream:
-            stream.write_batch(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([int(rids[0]) % shards // width * width], pa.int32()), pa.array([TEXTS + sink.getvalue().to_pybytes()], pa.binary())], ["shard", "block"])
+        for chunk, at, end in _chunks(rids):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts.schema) as stream:
+                stream.write_batch(texts.slice(at, end - at))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk % shards // width * width], pa.int32()), pa.array([TEXTS + sink.getvalue().to_pybytes()], pa.binary())], ["shard", "block"])
         known = np.flatnonzero((context >= 0) & (ids >= 0))
         row = np.repeat(np.arange(len(sizes)), sizes)[known]
         held.append((context[known].astype(np.uint64) * _U(trie.words) + ids[known].astype(np.uint64), rids[row], np.ones(len(known), np.int64)))
@@ -473,14 +483,15 @@ def _split_asked(batches, words: int, shards: int, width: int):
         yield from _asked_blocks(*(np.concatenate(x) for x in zip(*held)), words, shards, width)
 
 
-def _answer(group: pa.Table, trie: Trie, schema: pa.Schema) -> pa.Table:
-    """What the known pairs of a shard add to the texts that have them, and the texts that came along."""
-    parts, out = [], []
+def _answer(group: pa.Table, trie: Trie) -> pa.Table:
+    """By chunk of texts, as blocks: what the known pairs of a shard add to each text; and the texts that came along."""
+    parts, chunks, blocks = [], [], []
     for block in group.column("block").to_pylist():
         if (part := _asked(block)) is not None:
             parts.append(part)
         else:
-            out.append(pa.ipc.open_stream(block[1:]).read_all().cast(schema))
+            chunks.append(pa.ipc.open_stream(block[1:]).read_all().column("rid")[0].as_py() >> CHUNK)
+            blocks.append(block)
     if parts:
         keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         context, word = (keys // _U(trie.words)).astype(np.int64), (keys % _U(trie.words)).astype(np.int64)
@@ -489,17 +500,29 @@ def _answer(group: pa.Table, trie: Trie, schema: pa.Schema) -> pa.Table:
         unigram = (trie.counts(1, word) + 1.0) / (trie.tokens + trie.words + 1.0)
         more = np.log10(1 + share / (weight * unigram))[where] * np.concatenate([p[2] for p in parts])
         rids, of = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-        n = len(rids)
-        zero, none = pa.array(np.zeros(n, np.int64)), pa.nulls(n, schema.field("doc_id").type)
-        out.append(pa.Table.from_arrays([pa.array(rids), none, zero, zero, pa.array(np.zeros(n)), pa.array(np.bincount(of, more))], schema=schema))
-    return pa.concat_tables(out)
+        sums = np.bincount(of, more)
+        for chunk, at, end in _chunks(rids):
+            chunks.append(chunk)
+            blocks.append(pack({"rids": (rids[at:end] & ((1 << CHUNK) - 1)).astype(np.uint16), "sums": sums[at:end]}))
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "block": pa.array(blocks, pa.binary())})
 
 
-def _answerer(trie: Trie, kind):
-    from pyspark.sql.pandas.types import to_arrow_type
+def _answerer(trie: Trie):
+    return lambda group: _answer(group, trie)
 
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return lambda group: _answer(group, trie, schema)
+
+def _united(group: pa.Table) -> pa.Table:
+    """A chunk's texts, and the sums that all shards gave for them."""
+    texts, more = [], np.zeros(1 << CHUNK)
+    for block in group.column("block").to_pylist():
+        if block[:1] == TEXTS:
+            texts.append(pa.ipc.open_stream(block[1:]).read_all())
+        else:
+            part = unpack(np.frombuffer(block, np.uint8))[0]
+            more[part["rids"]] += part["sums"]
+    whole = pa.concat_tables(texts)
+    score = whole.column("score").to_numpy() + more[whole.column("rid").to_numpy() & ((1 << CHUNK) - 1)]
+    return whole.drop_columns(["rid", "score"]).append_column("score", pa.array(score))
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
