@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one vectorised step works on; a longer document is one step of its own.
-PIECE_BYTES = 1 << 20
+#: Bytes of text that one vectorised step works on, and one less than the powers that its range hashes need; a longer document is one step of its own.
+PIECE_BYTES = (1 << 19) - 1
 #: Bytes of an Arrow batch; a longer row is one of its own.
 BATCH_BYTES = "4m"
 
