@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, iblt, langid, ngram, packing, simhash, suffix, urlfilter, warc
+from . import alignment, chat, decontaminate, iblt, langid, negatives, ngram, packing, simhash, suffix, tokencounts, urlfilter, warc
 
 _MODULES = {
     "op1_elias_fano_lm": ngram,
@@ -15,6 +15,9 @@ _MODULES = {
     "op8_bigru_language": langid,
     "op9_invertible_bloom": iblt,
     "op10_prefix_target_chat": chat,
+    "op11_digest_cache_counts": tokencounts,
+    "op12_hashed_pair_alignment": alignment,
+    "op13_one_bit_negatives": negatives,
 }
 
 
