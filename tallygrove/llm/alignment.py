@@ -25,6 +25,7 @@ import hashlib
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,15 +85,17 @@ class Aligned:
 
     def __init__(self, a: np.ndarray, b: np.ndarray, a_rows: np.ndarray, a_size: np.ndarray, b_size: np.ndarray):
         self.a, self.b = a, b
-        a_ends, b_ends = np.cumsum(a_size[a]), np.cumsum(b_size[b])
         # every stretch between two ends lies in one token of A and one of B, and every linked pair shares one stretch
-        ends = np.union1d(a_ends, b_ends)
-        self.link_a, self.link_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        ended = np.zeros(int(a_size[a].sum()) + 1, np.uint8)
+        ended[np.cumsum(a_size[a])] = 1
+        ended[np.cumsum(b_size[b])] |= 2
+        ended = ended[np.flatnonzero(ended)]
+        a_after, b_after = np.cumsum(ended & 1, dtype=np.int64), np.cumsum(ended >> 1, dtype=np.int64)
+        self.link_a, self.link_b = a_after - (ended & 1), b_after - (ended >> 1)
         self.row_of_a = np.repeat(np.arange(len(a_rows) - 1), np.diff(a_rows))
         self.row = self.row_of_a[self.link_a]
-        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
         #: One past the last token of each group.
-        self.group_a, self.group_b = np.searchsorted(a_ends, both) + 1, np.searchsorted(b_ends, both) + 1
+        self.group_a, self.group_b = a_after[ended == 3], b_after[ended == 3]
 
     def pairs(self, b_vocabulary: int) -> np.ndarray:
         return self.a[self.link_a] * b_vocabulary + self.b[self.link_b]
@@ -131,8 +134,8 @@ def _local_pairs(batches, read: _Reader):
 
     for _, _, _, found, vocabulary in read(batches):
         pairs = found.pairs(vocabulary)
-        name, place = np.unique(pairs, return_inverse=True)
-        once = np.unique(found.row * max(1, len(name)) + place)  # a document counts a pair once
+        place, name = pd.factorize(pairs)
+        once = pd.unique(found.row * max(1, len(name)) + place)  # a document counts a pair once
         held.append((name, np.bincount(once % max(1, len(name)), minlength=len(name)).astype(np.int64)))
         size += len(name)
         if size >= HELD:
@@ -294,7 +297,7 @@ def _described(batches, read: _Reader, known: Shards):
     best = unpack(map_file(f"{known.folder}/best"))[0]["best"]
     for batch, a_rows, b_rows, found, vocabulary in read(batches):
         n = batch.num_rows
-        pairs, at = np.unique(found.pairs(vocabulary), return_inverse=True)
+        at, pairs = pd.factorize(found.pairs(vocabulary))
         counts = known.counts(pairs)
         highest = counts == best[pairs // vocabulary]
         many = lambda rows, weight=None: pa.array(np.bincount(rows, weight, n).astype(np.int64))
