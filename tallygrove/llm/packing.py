@@ -14,15 +14,15 @@ A block is a bounded run of documents within a task.  Nothing is shuffled, no
 task holds more than a block, and a block wastes at most one padded window.
 
 Defined results: null text is an empty text (its one id is the end id); other
-columns are ignored; repeated rows are packed as often as they stand there.
+columns are ignored; repeated rows are packed as often as they stand there; null
+ids pass through; texts may have any length that a row can, of whatever characters.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 from bisect import bisect_right, insort
-from functools import cache, partial
+from functools import partial
 from heapq import heapreplace
 
 import numpy as np
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tokens
 from .shared import in_arrow, pieces, strings_of, table
 
 TIERS = (64, 128, 256, 512, 1024)
@@ -39,41 +40,9 @@ BLOCK_IDS = 1 << 20
 STEP_TOKENS = 1 << 15
 
 
-@cache
-def _encoder(path: str):
-    """Byte-level BPE over the vocabulary file, run by the faster of the two libraries that read it (same ids; tested)."""
-    import json
-
-    import tiktoken
-
-    with open(path) as f:
-        file = json.load(f)
-    to_byte = _bytes_of_characters()
-    special = {x["content"]: x["id"] for x in file["added_tokens"]}
-    ranks = {bytes(to_byte[c] for c in word): i for word, i in file["model"]["vocab"].items() if word not in special}
-    import public_tokenizers
-
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), tuple(special)
-
-
-def _bytes_of_characters() -> dict[str, int]:
-    """Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on, in order."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
-
-
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    encoder, special = _encoder(path)
-    out = []
-    for text in texts:
-        if any(s in text for s in special):
-            ids = encoder.encode(text, allowed_special="all")
-        else:
-            ids = encoder.encode_ordinary(text)
-        ids.append(END_ID)
-        out.append(np.array(ids, np.uint32))
-    return out
+    """Ids of each text and the end id; special strings inside texts are the tokens that the file's library makes of them."""
+    return [np.array([*ids, END_ID], np.uint32) for ids in tokens.encoder(path)(texts)]
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, int, int, int, int]]:
@@ -199,9 +168,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", id_co
 
 
 def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.public("byte_bpe_50k.json")
 
 
 def digest(pieces_: DataFrame) -> DataFrame:

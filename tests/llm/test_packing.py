@@ -102,3 +102,11 @@ def test_step_groups_of_the_query_are_even(spark):
     for group, size in tier.values():
         tokens[group] += size
     assert len(tokens) > 8 and max(tokens.values()) - min(tokens.values()) <= 0.1 * P.STEP_TOKENS
+
+
+def test_texts_of_megabytes(spark, tokenizer):
+    texts = ["x" + " " * 1_200_000 + "y", "\t" * 2_000_000, "\u00a0" * 1_000_000 + "!", "a" * 2_000_000, "word " * 600_000]
+    rows = P.packed_pieces(frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]), P.default_tokenizer()).select("doc_id", "start", "length", "ids").collect()
+    for i, text in enumerate(texts):
+        ids = [x for _, part in sorted((r.start, r.ids) for r in rows if r.doc_id == i) for x in part]
+        assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
