@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.text import TOKEN
 
 
-#: Numbers of a vector that travel together.
-PART = 16
-
-
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
@@ -76,35 +72,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     return found.withColumn("rank", F.row_number().over(line).cast("long")).filter(F.col("rank") <= k).drop("near")
 
 
-def fastrp(edges: DataFrame, dim: int = 128, rounds: int = 3) -> DataFrame:
-    """node, v: ``rounds`` times the mean of the neighbours plus the node's own random signs, as a unit vector.
-
-    Signs come from a digest of node and dimension, so they are the same in
-    every run and engine. Vectors travel in parts of ``PART`` numbers, so a
-    round is one join on the edges and one aggregate of few sums, combined
-    before the shuffle; a node that a third of all edges meet is combined where
-    its edges are. Lineage is cut after each round where a checkpoint folder is set.
-    """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    scale = float(dim) ** -0.5
-    sign = lambda i: F.when(F.substring(F.md5(F.concat("node", F.lit(":"), i.cast("string"))), 1, 1) < "8", scale).otherwise(-scale)
-    parts = F.explode(F.sequence(F.lit(0), F.lit(dim - 1), F.lit(PART))).alias("at")
-    numbers = F.filter(F.sequence(F.col("at"), F.col("at") + PART - 1), lambda i: i < dim)
-    start = both.select(F.col("src").alias("node")).distinct().select("node", parts).select("node", "at", F.transform(numbers, sign).alias("r"))
-    keep = edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    start = start.checkpoint() if keep else start
-    now = start.withColumnRenamed("r", "v")
-    for _ in range(rounds):
-        sent = both.join(now.withColumnRenamed("node", "dst"), "dst")
-        # one count for all sums: what is shuffled is half of what as many averages are
-        mean = sent.groupBy(F.col("src").alias("node"), "at").agg(F.count("*").alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(PART)])
-        means = F.filter(F.array(*[F.col(f"m{i}") / F.col("n") for i in range(PART)]), lambda m: m.isNotNull())
-        now = start.join(mean, ["node", "at"]).select("node", "at", F.zip_with(means, "r", lambda x, y: x + y).alias("v"))
-        now = now.checkpoint() if keep else now
-    whole = now.groupBy("node").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda p: p["v"])).alias("v"))
-    return whole.select("node", unit(F.col("v")).alias("v"))
-
-
 def text_embedded(df: DataFrame, key: str, text_col: str, dim: int) -> DataFrame:
     """key, embedding: the mean of a text's token vectors as a unit vector; each token is a signed place, both from its digest.
 

@@ -11,6 +11,7 @@ from tallygrove.operators import bins as B
 from tallygrove.operators import community as C
 from tallygrove.operators import coupling as L
 from tallygrove.operators import density as Y
+from tallygrove.operators import fastrp as P
 from tallygrove.operators import tracking as K
 from tallygrove.operators import vectors as V
 
@@ -148,7 +149,7 @@ def test_tracking_is_strict_and_ignores_noise(spark):
 
 def test_fastrp_vectors_are_units_without_nan(spark):
     edges = spark.createDataFrame([("W1", "W2"), ("W2", "I1"), ("W3", "I1")], "src string, dst string")
-    found = [r.v for r in V.fastrp(edges, 16, 3).collect()]
+    found = [r.v for r in P.fastrp(edges, 16, 3).collect()]
     assert len(found) == 4 and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in found)
 
 
