@@ -141,5 +141,5 @@ def fastrp(edges: DataFrame, dim: int = 128, rounds: int = 3) -> DataFrame:
         near = F.broadcast(now) if 8 * dim * n <= BROADCAST_BYTES else now
         sent = packed.join(near, "block").mapInArrow(partial(_sent, dim=dim), "block long, kind int, at binary, x binary")
         dealt = sent.unionByName(first).repartition("block").sortWithinPartitions("block", "kind")
-        now = work.keep(dealt.mapInArrow(partial(_summed, dim=dim), "block long, v binary"), "vectors")
+        now = work.keep(dealt.mapInArrow(partial(_summed, dim=dim), "block long, v binary"), "vectors", rolling=True)
     return start.select("block", "names").join(now, "block").select("names", "v").mapInArrow(partial(_named, dim=dim), "node string, v array<double>")

@@ -33,16 +33,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 class Work:
-    """The tables of one iteration. ``keep`` writes one; a name that is kept again drops the table before the last of that name."""
+    """The tables of one iteration. With ``rolling`` the table before the last of a name goes when one more is kept."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.paths = spark, f"{root(spark)}/tallygrove-work/{name}-{uuid.uuid4().hex}", {}
         atexit.register(_remove, spark, self.folder)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rolling: bool = False) -> DataFrame:
         known = self.paths.setdefault(name, [])
         known.append(f"{self.folder}/{name}-{len(known)}")
         df.write.parquet(known[-1])
-        if len(known) > 2:
+        if rolling and len(known) > 2:
             _remove(self.spark, known[-3])
         return self.spark.read.schema(df.schema).parquet(known[-1])
