@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from itertools import product
-from math import log
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NOISE = -1
@@ -53,29 +53,49 @@ def expected_mi(rows: list[int], columns: list[int]) -> float:
     return out
 
 
-def adjusted_mi(df: DataFrame, a: str, b: str, least: int = 10) -> float | None:
-    """Adjusted mutual information; None for ``least`` or fewer rows.
+def _log_factorial(x: Column) -> Column:
+    """As ``log_factorial``, of a column."""
+    first = F.array(*[F.lit(float(v)) for v in log_factorial(np.arange(64))])
+    y = F.greatest(x, F.lit(64)).cast("double") + 1
+    series = (y - 0.5) * F.log(y) - y + float(0.5 * np.log(2 * np.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return F.when(x < 64, F.get(first, x.cast("int"))).otherwise(series)
+
 
-    The table is counted by Spark; what comes to the driver is one row per
-    pair of clusters.
+def adjusted(df: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
+    """ami: adjusted mutual information in one row; null for ``least`` or fewer rows.
+
+    The mean over random partitions needs sizes only: distinct sizes of one
+    side (fewer than the square root of twice the rows, however many clusters)
+    meet those of the other, and each pair's hypergeometric sum is exploded and aggregated.
     """
-    cells = contingency(df, a, b).collect()
-    n = sum(c["n"] for c in cells)
-    if n <= least:
-        return None
-    rows, columns = {}, {}
-    for c in cells:
-        rows[c[a]] = rows.get(c[a], 0) + c["n"]
-        columns[c[b]] = columns.get(c[b], 0) + c["n"]
-    if len(rows) == len(columns) == 1 or len(rows) == len(columns) == n:
-        return 1.0
-    mi = sum(c["n"] / n * log(n * c["n"] / (rows[c[a]] * columns[c[b]])) for c in cells)
-    mean = sum(-sum(x / n * log(x / n) for x in side.values()) for side in (rows, columns)) / 2
-    chance = expected_mi(list(rows.values()), list(columns.values()))
-    below = mean - chance
-    return (mi - chance) / (below if abs(below) > 1e-15 else 1e-15)
-
-
-def pairwise(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Adjusted mutual information of every two partitions."""
-    return {f"ami_{a}_vs_{b}": adjusted_mi(df, a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]}
+    spark = df.sparkSession
+    table = contingency(df, a, b).select(F.col(a).alias("a"), F.col(b).alias("b"), "n")
+    total = F.broadcast(table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
+    sides = {c: table.groupBy(c).agg(F.sum("n").alias(f"n_{c}")) for c in ("a", "b")}
+    cells = table.join(sides["a"], "a").join(sides["b"], "b").crossJoin(total)
+    mi = cells.agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("n_a").cast("double") * F.col("n_b")))).alias("mi"))
+    share = lambda c: F.col(f"n_{c}") / F.col("total")
+    entropy = {c: side.crossJoin(total).agg((-F.sum(share(c) * F.log(share(c)))).alias(f"h_{c}"), F.count("*").alias(f"clusters_{c}")) for c, side in sides.items()}
+    sizes = {c: side.groupBy(F.col(f"n_{c}").alias(f"size_{c}")).agg(F.count("*").alias(f"many_{c}")) for c, side in sides.items()}
+    pairs = sizes["a"].crossJoin(sizes["b"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "size_a", "size_b").crossJoin(total)
+    x, y, n, k = F.col("size_a"), F.col("size_b"), F.col("total"), F.col("k")
+    ways = pairs.withColumn("fixed", _log_factorial(x) + _log_factorial(y) + _log_factorial(n - x) + _log_factorial(n - y) - _log_factorial(n))
+    rows = ways.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(1), x + y - n), F.least(x, y))))
+    chance = F.exp(F.col("fixed") - _log_factorial(k) - _log_factorial(x - k) - _log_factorial(y - k) - _log_factorial(n - x - y + k))
+    term = F.col("many_a") * F.col("many_b") * k / n * F.log(n * k / (x.cast("double") * y)) * chance
+    expected = rows.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("expected"))
+    parts = mi.crossJoin(entropy["a"]).crossJoin(entropy["b"]).crossJoin(expected).crossJoin(total)
+    below = (F.col("h_a") + F.col("h_b")) / 2 - F.col("expected")
+    trivial = (F.col("clusters_a") == F.col("clusters_b")) & F.col("clusters_a").isin(F.lit(1), n)
+    value = (F.col("mi") - F.col("expected")) / F.when(F.abs(below) > 1e-15, below).otherwise(1e-15)
+    return parts.select(F.when(n > least, F.when(trivial, 1.0).otherwise(value)).alias("ami"))
+
+
+def adjusted_mi(df: DataFrame, a: str, b: str, least: int = 10) -> float | None:
+    return adjusted(df, a, b, least).first()["ami"]
+
+
+def pairwise(df: DataFrame, columns: list[str]) -> DataFrame:
+    """pair, ami of every two partitions."""
+    pairs = [adjusted(df, a, b).select(F.lit(f"ami_{a}_vs_{b}").alias("pair"), "ami") for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return reduce(DataFrame.unionByName, pairs)

@@ -11,7 +11,7 @@ from ..operators import harvest as H
 from ..operators import reshape as R
 from ..operators import vectors as V
 from ..sources.readers import row_count, scan, table, year_range
-from .impact import _CUBE_SQL, _TOPICS, _cube, _ratios
+from .impact import _CUBE_SQL, _THEMES, _cube, _ratios
 from .works import ALL_MEASURES, SQL, sql_ratios, works
 
 YEARS = (1995, 2001)
@@ -34,9 +34,9 @@ def summary_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         "countries": _ratios(C.reaggregate(countries, ["year", "entity_name"], ALL_MEASURES), ["year", "entity_name"]),
         "themes": _ratios(C.reaggregate(world, ["year", "topic"], ALL_MEASURES), ["year", "topic"]),
         "countries_total": _ratios(C.reaggregate(countries, ["entity_name"], ALL_MEASURES), ["entity_name"]),
-        "pivot_annual": R.pivoted(dated, "year_entity", "topic", _TOPICS, "doc_count"),
-        "pivot_full": R.pivoted(cells, "entity_name", "topic", _TOPICS, "doc_count"),
-        "pivot_recent": R.pivoted(cells.filter(F.col("year") >= RECENT), "entity_name", "topic", _TOPICS, "doc_count"),
+        "pivot_annual": R.pivoted(dated, "year_entity", "topic", _THEMES, "doc_count"),
+        "pivot_full": R.pivoted(cells, "entity_name", "topic", _THEMES, "doc_count"),
+        "pivot_recent": R.pivoted(cells.filter(F.col("year") >= RECENT), "entity_name", "topic", _THEMES, "doc_count"),
         "themes_total": _ratios(C.reaggregate(world, ["topic"], ALL_MEASURES), ["topic"]),
     }
 
@@ -140,7 +140,7 @@ QUERIES = {f.__name__: f for f in (
 QUERIES |= {f"summary_{name}": _bundled(name) for name in ("countries_total", "pivot_annual", "pivot_full", "pivot_recent")}
 QUERIES |= {"summary_countries_annual": _bundled("countries"), "summary_themes_annual": _bundled("themes")}
 
-_PIVOT = ", ".join(f"CAST(coalesce(sum(doc_count) FILTER (topic = '{t}'), 0) AS BIGINT) AS \"{t}\"" for t in _TOPICS)
+_PIVOT = ", ".join(f"CAST(coalesce(sum(doc_count) FILTER (topic = '{t}'), 0) AS BIGINT) AS \"{t}\"" for t in _THEMES)
 
 
 def _summed(kind: str, keys: str) -> str:

@@ -136,8 +136,7 @@ def mutual_information(spark, d):
 
 
 def ami(spark, d):
-    value = A.adjusted_mi(_parts(spark, d), "a", "b")
-    return spark.createDataFrame([(value,)], "ami double")
+    return A.adjusted(_parts(spark, d), "a", "b").select(F.round("ami", 6).alias("ami"))
 
 
 def _weekly(spark, d):
@@ -251,7 +250,7 @@ def analysis(spark: SparkSession, d: str, root: str, force_from: str | None = No
 
     def agreement() -> DataFrame:
         both = M.merged({name: df.select(F.concat_ws("_", "bin_id", "id").alias("key"), F.col("cluster").alias(name)) for name, df in levels.items()}, "key")
-        return spark.createDataFrame(list(A.pairwise(both, list(levels)).items()), "pair string, ami double")
+        return A.pairwise(both, list(levels))
 
     run.level("agreement", agreement)
     run.level("tracking", lambda: K.transitions(structural))
@@ -318,6 +317,11 @@ ORACLES = {
     "embedding_text": "SELECT doc_id, md5('Title: ' || left(text, 20) || ' [SEP] Abstract: ' || text) AS digest FROM documents",
     "contingency": f"WITH {_PARTS} SELECT * FROM t",
     "mutual_information": f"WITH {_PARTS}, x AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM t), ra AS (SELECT a, sum(n) AS m FROM t GROUP BY a), rb AS (SELECT b, sum(n) AS m FROM t GROUP BY b) SELECT CAST(max(total) AS BIGINT) AS n, round(sum(n / total * ln(n * total / (na * nb))), 6) AS mi, (SELECT round(-sum(m / s * ln(m / s)), 6) FROM ra, (SELECT sum(n) AS s FROM t)) AS h_a, (SELECT round(-sum(m / s * ln(m / s)), 6) FROM rb, (SELECT sum(n) AS s FROM t)) AS h_b FROM x",
+    "ami": f"""WITH {_PARTS}, x AS (SELECT a, CAST(sum(n) AS BIGINT) AS m FROM t GROUP BY a), y AS (SELECT b, CAST(sum(n) AS BIGINT) AS m FROM t GROUP BY b), z AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM t),
+h AS (SELECT (SELECT -sum(m / z.n * ln(m / z.n)) FROM x, z) AS ha, (SELECT -sum(m / z.n * ln(m / z.n)) FROM y, z) AS hb, (SELECT sum(t.n / z.n * ln(t.n * z.n / (x.m * y.m))) FROM t JOIN x USING (a) JOIN y USING (b), z) AS mi),
+k AS (SELECT x.m AS a, y.m AS b, z.n, unnest(range(greatest(1, x.m + y.m - z.n), least(x.m, y.m) + 1)) AS k FROM x, y, z),
+e AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS e FROM k)
+SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM h, e""",
     "cluster_transitions": f"WITH {_WEEK}, ec AS (SELECT bin_id, id % 3 AS cluster, id FROM ev)" + _TRACK.format("ec") + " SELECT from_bin, to_bin, from_cluster, to_cluster, round(jaccard, 6) AS jaccard, shared_docs FROM j WHERE jaccard > 0.05",
     "event_transitions": f"WITH {_WEEK}, ec AS (SELECT bin_id, ascii(cluster) AS cluster, id FROM ev)" + _TRACK.format("ec") + " SELECT from_bin, to_bin, from_cluster, to_cluster, round(jaccard, 6) AS jaccard, shared_docs FROM j WHERE jaccard > 0.3",
     "sankey_index": f"WITH {_WEEK}, ec AS (SELECT bin_id, ascii(cluster) AS cluster, id FROM ev)" + _TRACK.format("ec") + ", l AS (SELECT 'B' || from_bin || '_C' || from_cluster AS source_label, 'B' || to_bin || '_C' || to_cluster AS target_label, shared_docs AS value FROM j WHERE jaccard > 0.3), nn AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i FROM (SELECT source_label AS label FROM l UNION SELECT target_label FROM l)) SELECT x.i AS source, y.i AS target, value, source_label, target_label FROM l JOIN nn x ON x.label = source_label JOIN nn y ON y.label = target_label",

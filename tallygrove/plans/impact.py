@@ -100,11 +100,11 @@ def summary_themes(spark, d):
     return _ratios(C.reaggregate(cells, ["topic"], ALL_MEASURES), ["topic"])
 
 
-_TOPICS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_THEMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def topic_pivot(spark, d):
-    return R.pivoted(_cube(spark, d).filter("year >= 1998"), "entity_name", "topic", _TOPICS, "doc_count")
+    return R.pivoted(_cube(spark, d).filter("year >= 1998"), "entity_name", "topic", _THEMES, "doc_count")
 
 
 def annual_pivot(spark, d):
@@ -254,7 +254,7 @@ ORACLES = {
         SELECT entity_name, docs, impact, median_docs, (CASE WHEN docs >= median_docs THEN 'large' ELSE 'small' END) || '-' || (CASE WHEN impact >= 1 THEN 'high' ELSE 'low' END) AS quadrant FROM q, m""",
     "summary_countries": _CUBE_SQL + f", s AS (SELECT entity_name, {', '.join(f'sum({m}) AS {m}' for m in ALL_MEASURES)} FROM c0 WHERE entity_type = 'Country' AND year >= 1997 GROUP BY ALL) SELECT entity_name, {sql_ratios()} FROM s",
     "summary_themes": _CUBE_SQL + f", s AS (SELECT topic, {', '.join(f'sum({m}) AS {m}' for m in ALL_MEASURES)} FROM c0 WHERE entity_type = 'Mundo' GROUP BY ALL) SELECT topic, {sql_ratios()} FROM s",
-    "topic_pivot": _CUBE_SQL + "SELECT entity_name, " + ", ".join(f"CAST(coalesce(sum(doc_count) FILTER (topic = '{t}'), 0) AS BIGINT) AS \"{t}\"" for t in _TOPICS) + " FROM c0 WHERE year >= 1998 GROUP BY entity_name",
+    "topic_pivot": _CUBE_SQL + "SELECT entity_name, " + ", ".join(f"CAST(coalesce(sum(doc_count) FILTER (topic = '{t}'), 0) AS BIGINT) AS \"{t}\"" for t in _THEMES) + " FROM c0 WHERE year >= 1998 GROUP BY entity_name",
     "annual_pivot": _CUBE_SQL + "SELECT entity_name, " + ", ".join(f"CAST(coalesce(sum(doc_count) FILTER (year = {y}), 0) AS BIGINT) AS \"{y}\"" for y in range(1995, 2002)) + " FROM c0 GROUP BY entity_name",
     "oa_unpivot": _CUBE_SQL + ", y AS (SELECT entity_name, year, sum(doc_count) AS docs, sum(oa_f) AS oa_f, sum(oa_o) AS oa_o, sum(oa_p) AS oa_p FROM c0 WHERE entity_type = 'Region' GROUP BY ALL) " + " UNION ALL ".join(f"SELECT entity_name, year, '{r}' AS route, {sql_ratio(r, 'docs', 100)} AS share FROM y" for r in ("oa_f", "oa_o", "oa_p")),
     "sunburst_rows": _CUBE_SQL + f"SELECT topic, CAST(sum(doc_count) AS BIGINT) AS docs, {_weighted_sql('fwci_avg')} FROM c WHERE entity_type = 'Mundo' GROUP BY topic ORDER BY docs DESC, topic LIMIT 35",

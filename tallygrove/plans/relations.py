@@ -11,6 +11,7 @@ from ..operators import dedup as D
 from ..operators import institutions as I
 from ..operators import matching as M
 from ..operators import reshape as R
+from ..operators import sketches as H
 from ..sources.readers import table
 from .works import SQL, places, sql_ratio, work_countries, work_institutions, work_references, works
 
@@ -145,6 +146,20 @@ def _arrays(spark, d):
     return work_countries(spark, d).groupBy("id").agg(F.collect_set("country").alias("c"))
 
 
+_LEVELS = [["country", "year", "topic"], ["country", "year"], ["country"], ["year", "topic"], ["topic"], []]
+
+
+def sketch_levels(spark, d):
+    """Distinct works of every level from one table of cells, beside exact counts: whether each is within 5 percent."""
+    rows = work_countries(spark, d).select("id", "country").join(works(spark, d).select("id", "year", "topic"), "id")
+    keys = ["country", "year", "topic"]
+    found = H.levels(H.sketched(rows, keys, "id"), _LEVELS)
+    exact = rows.groupingSets([[F.col(c) for c in s] for s in _LEVELS], *keys).agg(F.grouping_id().alias("grouping_id"), F.count_distinct("id").alias("works"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*keys, "grouping_id")]
+    near = F.abs(F.col("estimate") - F.col("works")) <= 0.05 * F.col("works")
+    return found.alias("x").join(exact.alias("y"), same).select(*[f"y.{c}" for c in keys], F.col("y.grouping_id").cast("long").alias("grouping_id"), F.col("works").cast("long").alias("works"), near.alias("near"))
+
+
 def array_has(spark, d):
     return _arrays(spark, d).filter(F.array_contains("c", "NATION_6")).select("id")
 
@@ -178,7 +193,7 @@ def status_counts(spark, d):
 QUERIES = {f.__name__: f for f in (
     top_journals, collaboration_pairs, collaboration_by_year, partner_totals, node_strength, node_degree, institution_metrics, institution_segments, institution_rank, regional_top_k,
     regional_mean, sdg_share, doc_type_dist, sector_dist, type_distribution, type_densified, dedup_latest, dedup_first, semi_ids, anti_missing, coverage_report, approx_distinct,
-    exact_distinct, array_has, array_overlap, international, country_filter_period, union_missing_columns, status_counts,
+    exact_distinct, sketch_levels, array_has, array_overlap, international, country_filter_period, union_missing_columns, status_counts,
 )}
 
 _PAIRS = f"WITH {SQL}, p AS (SELECT x.country AS a, y.country AS b, count(*) AS n FROM wc x JOIN wc y ON x.id = y.id AND x.country < y.country GROUP BY ALL)"
@@ -216,6 +231,7 @@ ORACLES = {
     "semi_ids": f"WITH {SQL} SELECT id, source_id, year FROM w WHERE source_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)",
     "anti_missing": f"WITH {SQL} SELECT id, year FROM w WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = id)",
     "coverage_report": f"WITH k AS (SELECT CASE WHEN user_id % 10 <> 0 THEN user_id END AS k FROM events), a AS (SELECT count(*) AS total, count(*) - count(k) AS without_key, count(k) AS with_key, count(*) FILTER (k IN (SELECT c_custkey FROM customer)) AS matched FROM k) SELECT *, with_key - matched AS unmatched, {sql_ratio('matched', 'greatest(with_key, 1)', 100)} AS coverage_pct FROM a",
+    "sketch_levels": f"WITH {SQL} SELECT country, year, topic, grouping(country, year, topic) AS grouping_id, count(DISTINCT id) AS works, TRUE AS near FROM wc JOIN w USING (id) GROUP BY GROUPING SETS ((country, year, topic), (country, year), (country), (year, topic), (topic), ())",
     "exact_distinct": f"WITH {SQL} SELECT country, count(DISTINCT id) AS works FROM wc GROUP BY country",
     "array_has": f"WITH {SQL} SELECT DISTINCT id FROM wc WHERE country = 'NATION_6'",
     "array_overlap": f"WITH {SQL} SELECT id, count(DISTINCT country) AS n_countries FROM wc GROUP BY id HAVING bool_or(country IN ('NATION_6', 'NATION_17'))",

@@ -17,6 +17,14 @@ def test_parse_reads_terms_codes_and_exclusions():
     assert q.exclusions[0].animal
 
 
+def test_codes_and_proximity_are_read_by_depth():
+    assert S.codes_in("SUBJTERMS ( 12 ) subjarea(medi) SUBJTERMS(x1) SUBJAREA(a b) SUBJAREA()") == ["SUBJTERMS(12)", "SUBJAREA(medi)"]
+    assert S.parse("( TITLE(a) AND NOT ( subjarea ( Vete ) ) )").exclusions == [S.Exclusion([], [], True)]
+    assert S.proximity("(heart  attack w/12 old age)") == ("heart attack", "old age", 12)
+    assert S.proximity("(a W/2 (b c)) d") == ("a", "(b c)", 2)
+    assert [S.proximity(t) for t in ("a W/2 b", "(a W/x b)", "(W/2 b)", "(a W/2)", "(a W/2 b", "")] == [None] * 6
+
+
 def test_reinclusion_is_what_follows_at_depth_one_of_a_block():
     block = S.split_and_not("(a AND NOT (b) AND NOT c)")
     assert block == ["(a", "(b)", "c)"]
