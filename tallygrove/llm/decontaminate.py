@@ -8,12 +8,12 @@ share selects the same place in both, so every shared span of ``span`` words or
 more is found at a shared fingerprint.
 
 Fingerprints of the benchmark and of the corpus are joined, and a hit is then
-extended word by word to both sides, over the words that a window around it can
-hold.  A run of ``span`` equal words or more is a match and all its words are
-hit; hashes choose what is compared, the words themselves decide.  As ``span - k``
-words must still agree, half of them do on one side; those stand in the join's
-key beside the fingerprint, so a phrase that is common on both sides doesn't
-pair all its surroundings.  Equal surroundings are one row on each side.
+extended to both sides: ``span - k`` words are missing, and each way to part them
+between left and right gives one run of ``span`` words.  Runs are joined word for
+word with those of the benchmark, so hashes choose what is compared and the words
+decide; what the runs of a place cover together is hit.  A run is one row of the
+benchmark's side, whatever surrounds it, so neither a common phrase nor a common
+run pairs the surroundings of both sides.  Equal surroundings are one row.
 
 A benchmark text of fewer than ``span`` words is one window of its own length.
 Corpus fingerprints that the benchmark doesn't have are left out where they
@@ -48,6 +48,8 @@ _WORD[0x00:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 #: What joins the places of a corpus text with those of the benchmark.
 _KEY = ("n", "fp", "lead", "context")
+#: What a run of n equal words is known by.
+_RUN = ("n", "fp", "other_lead", "other")
 _PLACES = "at array<long>, n array<int>, fp array<long>, lead array<int>, context array<string>"
 
 
@@ -125,42 +127,25 @@ def _scan(batches, wanted: Counts, lengths: list[int], k: int):
         yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("doc_id"), pa.array(np.diff(words.before).astype(np.int64)), *lists], ["rid", "doc_id", "n_words", "at", *_KEY])
 
 
-def _extend(batches, k: int):
-    """Pairs of surroundings of one fingerprint: how far the words around it agree, from lo to hi; what falls short of n words goes."""
-    for batch in batches:
-        lows, highs = [], []
-        for n, lead, context, other_lead, other in zip(*(batch.column(c).to_pylist() for c in ("n", "lead", "context", "other_lead", "other"))):
-            a, b = context.split(" "), other.split(" ")
-            lo = 0
-            while lo < min(lead, other_lead) and a[lead - lo - 1] == b[other_lead - lo - 1]:
-                lo += 1
-            hi = 0
-            while hi < min(len(a) - lead, len(b) - other_lead) and a[lead + hi] == b[other_lead + hi]:
-                hi += 1
-            good = hi >= min(k, n) and lo + hi >= n
-            lows.append(-lo if good else None)
-            highs.append(hi)
-        lo = pa.array(lows, pa.int32())
-        out = pa.RecordBatch.from_arrays([*batch.columns, lo, pa.array(highs, pa.int32())], [*batch.schema.names, "lo", "hi"])
-        yield out.filter(lo.is_valid())
-
-
-def _sides(k: int) -> Column:
-    """The words of half the missing length on either side of the gram, where the context holds them; a gram that misses none has one empty side."""
-    words = F.split("context", " ")
+def windows(places: DataFrame, k: int = K, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Each way to extend a place's gram to n words: other_lead words to the left, the rest to the right; other is what stands there."""
     size = F.least(F.col("n"), F.lit(k))
-    half = F.ceil((F.col("n") - size) / 2).cast("int")
-    left = F.when(F.col("lead") >= half, F.struct(F.lit("<").alias("side"), F.array_join(F.slice(words, F.col("lead") - half + 1, half), " ").alias("more")))
-    right = F.when(F.size(words) - F.col("lead") - size >= half, F.struct(F.lit(">").alias("side"), F.array_join(F.slice(words, F.col("lead") + size + 1, half), " ").alias("more")))
-    return F.explode(F.filter(F.when(half > 0, F.array(left, right)).otherwise(F.array(left)), lambda s: s.isNotNull()))
+    split = lambda i: F.when(
+        (F.col("lead") >= i) & (F.size("words") - F.col("lead") + i >= F.col("n")),
+        F.struct(i.alias("other_lead"), F.array_join(F.slice("words", F.col("lead") - i + 1, F.col("n")), " ").alias("other")),
+    )
+    found = places.select(*extra, *_KEY).distinct().withColumn("words", F.split("context", " "))
+    found = found.withColumn("w", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.col("n") - size), split), lambda w: w.isNotNull())))
+    return found.select(*extra, *_KEY, "w.other_lead", "w.other")
 
 
 def matches(asked: DataFrame, known: DataFrame, k: int = K) -> DataFrame:
-    """Surroundings that share a run of n words at a fingerprint: those asked for (n, fp, lead, context), lo, hi, and other_lead, other of the known ones."""
-    left = asked.select(*_KEY).distinct().select(*_KEY, _sides(k).alias("s"))
-    right = known.select(*_KEY).distinct().select("n", "fp", F.col("lead").alias("other_lead"), F.col("context").alias("other"), _sides(k).alias("s"))
-    pairs = left.join(right, ["n", "fp", "s"]).select(*_KEY, "other_lead", "other")
-    return pairs.transform(in_arrow, partial(_extend, k=k), "n int, fp long, lead int, context string, other_lead int, other string, lo int, hi int").distinct()
+    """Surroundings asked for (n, fp, lead, context) with each known run of n words in them: it is ``other``, lo to hi about the fingerprint.
+
+    A run is one row of the known ones, whatever stands around it, so no surroundings are paired.
+    """
+    runs = windows(known, k).select(*_RUN).distinct()
+    return windows(asked, k).join(runs, list(_RUN)).select(*_KEY, "other_lead", "other", (-F.col("other_lead")).alias("lo"), (F.col("n") - F.col("other_lead")).alias("hi"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id", span: int = SPAN, k: int = K) -> DataFrame:
@@ -176,16 +161,16 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", id_
     scanned = settle(rows.transform(in_arrow, partial(_scan, wanted=wanted, lengths=lengths, k=k), f"rid long, doc_id {kind}, n_words long, {_PLACES}"), "winnow-docs")
     places = scanned.filter(F.size("at") > 0).select("rid", F.explode(F.arrays_zip("at", *_KEY)).alias("p")).select("rid", "p.*")
     matched = settle(matches(places, known, k), "winnow-matches")
-    # items that hold the same words stand together as one list, so a passage in many items isn't paired row by row
-    holders = known.groupBy("n", "fp", F.col("lead").alias("other_lead"), F.col("context").alias("other")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    answers = matched.join(holders, ["n", "fp", "other_lead", "other"]).groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    hits = places.join(answers, list(_KEY)).select("rid", F.transform("runs", lambda r: F.struct((F.col("at") + r["lo"]).alias("from"), (F.col("at") + r["hi"]).alias("to"))).alias("runs"), "items")
+    # the items that hold a run stand together as one list; all runs of a place hold its gram, so together they are one run
+    holders = windows(known, k, ("item_id",)).groupBy(*_RUN).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    answers = matched.join(holders, list(_RUN)).groupBy(*_KEY).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = places.join(answers, list(_KEY)).select("rid", F.struct((F.col("at") + F.col("lo")).alias("from"), (F.col("at") + F.col("hi")).alias("to")).alias("run"), "items")
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total"))
     unite = lambda acc, r: F.struct(
         F.greatest(acc["end"], r["to"]).alias("end"),
         (acc["total"] + F.greatest(F.lit(0).cast("long"), r["to"] - F.greatest(acc["end"], r["from"]))).alias("total"),
     )
-    total = F.aggregate(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))), start, unite)["total"]
+    total = F.aggregate(F.array_sort(F.collect_set("run")), start, unite)["total"]
     by_row = hits.groupBy("rid").agg(total.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return (
         scanned.select("rid", "doc_id", "n_words")

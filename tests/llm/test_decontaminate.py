@@ -101,6 +101,19 @@ def test_a_passage_in_half_of_all_rows_is_compared_once(spark):
     assert all(found[i] == ((30, 50) if i % 2 else (0, 0)) for i in range(400))
 
 
+@pytest.mark.parametrize("n", [100, 400])
+def test_a_common_phrase_pairs_nothing(spark, n):
+    """Twelve common words with a different one after them: no row is joined; thirteen: one for each surrounding, not for each pair."""
+    phrase = " ".join(f"p{i}" for i in range(12))
+    for extra, most in (("", 0), (" p12", 3 * n)):
+        docs = frame(spark, [(i, f"a{i} b{i} {phrase}{extra} c{i} d{i}", None, None, 0) for i in range(n)])
+        items = spark.createDataFrame([(i, f"e{i} f{i} {phrase}{extra} g{i} h{i}") for i in range(n)], "item_id long, text string")
+        asked = D.item_fingerprints(docs, "text", "doc_id")
+        assert D.matches(asked, D.item_fingerprints(items)).count() <= most
+        found = D.contamination(docs, items).collect()
+        assert {(r.n_hit, len(r["items"])) for r in found} == {(13, n) if extra else (0, 0)}
+
+
 def test_empty_tables(spark, tables):
     rows, items = tables
     items = spark.createDataFrame(items, "item_id long, text string")
