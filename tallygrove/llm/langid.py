@@ -11,9 +11,11 @@ but for what a gated unit remembers from further away (tests bound the
 difference).
 
 The network is trained on the driver in numpy by backpropagation through time,
-on windows drawn from a bounded sample of whole texts: ``sample_docs`` distinct
-ones of each language, those with the smallest hashes.  Weights are some tens of
-kilobytes.
+on windows drawn from a bounded sample of texts: ``sample_docs`` distinct ones of
+each language, those with the smallest hashes, and ``sample_bytes`` in all
+languages together.  A text longer than its even share of these (16 kB with four
+languages) is represented by excerpts from its whole length, cut on the
+executors.  Weights are some tens of kilobytes.
 
 Defined results: a null text and a text without a letter are ``und`` with score
 0; so is every text if there was nothing to learn from; rows without a label
@@ -30,13 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import in_arrow, lower_ascii, pieces, table
+from .shared import in_arrow, lower_ascii, pieces, settle, table
 
 UNKNOWN = "und"
 HIDDEN = 12
 CHUNK = 256
 CONTEXT = 32
 SAMPLE_DOCS = 256
+#: What reaches the driver of all samples, and the excerpts that stand for a text longer than its share of it.
+SAMPLE_BYTES, PIECES = 1 << 24, 8
 STEPS = 250
 BATCH = 192
 #: Bytes that a training window has.
@@ -229,8 +233,22 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
     return model
 
 
-def sample(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> list[tuple[bytes, str]]:
-    """Whole texts and labels of ``sample_docs`` distinct texts of each language at most."""
+def _excerpts(text: str, rank: str, room: Column) -> Column:
+    """All bytes of a text that fits in ``room``; of a longer one up to PIECES excerpts that fill it, each at a place drawn by hash from its part of the text."""
+    data, size = F.col(text).cast("binary"), F.octet_length(text)
+    many = F.greatest(F.lit(1), F.least(F.lit(PIECES), F.floor(room / (4 * TRAINED)))).cast("int")
+    length, stretch = F.floor(room / many).cast("int"), F.floor(size / many).cast("int")
+    place = lambda i: i * stretch + F.pmod(F.xxhash64(rank, i), (stretch - length + 1).cast("long")).cast("int") + 1
+    return F.when(size <= room, F.array(data)).otherwise(F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.substring(data, place(i), length)))
+
+
+def sample(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, str]]:
+    """Texts and labels of ``sample_docs`` distinct texts of each language at most, ``sample_bytes`` in all.
+
+    A text of more bytes than its even share of these gives excerpts from its
+    whole length; they are cut where the text is.  So many languages that a
+    share is shorter than a training window are refused.
+    """
     from pyspark.sql import Window
 
     rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).filter("label is not null and text is not null").withColumn("rank", F.xxhash64("text"))
@@ -238,9 +256,13 @@ def sample(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sam
     for part in ([F.pmod("rank", F.lit(16))], []):  # a language of a third of all rows is cut down in parts first
         line = Window.partitionBy("label", *part).orderBy("rank")
         best = best.withColumn("n", F.row_number().over(line)).filter(F.col("n") <= sample_docs).select("label", "rank")
-    last = best.groupBy("label").agg(F.max("rank").alias("last"))  # one row for each language
-    found = rows.join(F.broadcast(last), "label").filter(F.col("rank") <= F.col("last")).groupBy("label", "rank").agg(F.min("text").alias("text"))
-    return [(r.text.encode(), r.label) for r in found.orderBy("label", "rank").collect()]  # sample_docs rows for each language
+    last = settle(best.groupBy("label").agg(F.max("rank").alias("last")), "language-ranks")  # one row for each language
+    room = sample_bytes // max(1, last.count() * sample_docs)
+    if room < TRAINED:
+        raise ValueError(f"more languages than {sample_bytes} bytes of samples serve: {last.count()}")
+    chosen = rows.join(F.broadcast(last), "label").filter(F.col("rank") <= F.col("last"))  # at most sample_bytes / sample_docs / TRAINED rows
+    found = chosen.select("label", "rank", _excerpts("text", "rank", F.lit(room)).alias("parts")).groupBy("label", "rank").agg(F.min("parts").alias("parts"))
+    return [(bytes(part), r.label) for r in found.orderBy("label", "rank").collect() for part in r.parts]  # sample_bytes at most
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, **options) -> BiGru:

@@ -99,6 +99,19 @@ def test_the_sample_is_of_whole_distinct_texts(spark):
     assert sorted(len(t) for t, k in found if k == "en") == [20_000] and sum(k == "fr" for _, k in found) == 7
 
 
+def test_the_driver_gets_a_bounded_number_of_bytes(spark):
+    """Fifty labels with texts of five megabytes: excerpts of the whole length, within the bound."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(150, numPartitions=15).select(F.col("id").alias("doc_id"), F.concat(F.lit("start "), F.repeat(F.concat(F.lit("é"), F.col("id").cast("string")), 1_250_000), F.lit(" end")).alias("text"), (F.col("id") % 50).cast("string").alias("lang"))
+    found = L.sample(docs, sample_docs=3, sample_bytes=300_000)
+    assert sum(len(t) for t, _ in found) <= 300_000 and len({k for _, k in found}) == 50
+    assert sum(len(t) for t, _ in found) > 290_000 and len(found) == 150 * 8 and len(set(found)) > 300
+    assert sorted(found) == sorted(L.sample(docs.repartition(7), sample_docs=3, sample_bytes=300_000))
+    with pytest.raises(ValueError, match="languages"):
+        L.sample(docs.withColumn("text", F.lit("short")), sample_docs=3, sample_bytes=5000)
+
+
 def test_nothing_to_learn_from(spark):
     docs = frame(spark)
     empty = L.fit(docs.filter("false"))
