@@ -24,7 +24,9 @@ which needs the vocabulary alone, and of what the pairs that the trie knows add
 to it.  A task hands on its distinct pairs by text, one task per shard looks
 them up, in order, and gives back one sum for each text, in blocks by chunk of texts.
 So each shard is read once, however many texts there are, and blocks follow the
-number of pairs (more than ``FAN`` shards are parted in rounds).  Higher orders are scored by tasks
+number of pairs (more than ``FAN`` shards are parted in rounds).  A pair that more
+texts of a task hold than a shard has pairs on average is dealt by ranges of texts
+besides, in groups of some ``PART`` texts, each of which maps the pair's shard.  Higher orders are scored by tasks
 that map the shards they need; contexts must then be found before pairs are.
 
 Defined results: null text is empty and is its end token alone; a null document
@@ -55,6 +57,8 @@ TOKEN_SHARD = 1 << 20
 PIECE = 2 << 20
 #: k-grams that a counting task gathers before it hands them on.
 GATHER = 3 << 20
+#: Texts of one frequent pair that a task answers together.
+PART = 1 << 20
 OPEN_SHARDS = 512
 _U = np.uint64
 
@@ -305,12 +309,12 @@ def _split_grams(batches, words: int, shards: int, width: int):
         yield from handed()
 
 
-def _parted(blocks: DataFrame, split, shards: int, fan: int) -> DataFrame:
+def _parted(blocks: DataFrame, split, shards: int, fan: int, *more: Column) -> DataFrame:
     """Blocks of ranges of shards, split until each is of one shard."""
     width = widest(shards, fan)
     while width > 1:
         width //= fan
-        blocks = blocks.repartition("shard").transform(in_arrow, partial(split, shards=shards, width=width), blocks.schema)
+        blocks = blocks.repartition("shard", *more).transform(in_arrow, partial(split, shards=shards, width=width), blocks.schema)
     return blocks
 
 
@@ -377,7 +381,7 @@ def _score(batches, trie: Trie):
         )
 
 
-def score(docs: DataFrame, trie: Trie, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, trie: Trie, text_col: str = "text", id_col: str = "doc_id", part: int = PART) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score (add-one unigrams), score (the trie): log10 of the texts' probabilities."""
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -385,37 +389,65 @@ def score(docs: DataFrame, trie: Trie, text_col: str = "text", id_col: str = "do
     if trie.order != 2:
         return rows.transform(in_arrow, partial(_score, trie=trie), f"doc_id {kind.simpleString()}, {numbers}")
     shards = len(trie.base[1]) - 1
-    asked = rows.withColumn("rid", F.monotonically_increasing_id()).transform(in_arrow, partial(_ask, trie=trie, shards=shards), "shard int, block binary")
-    answers = _parted(asked, partial(_split_asked, words=trie.words), shards, FAN).groupBy("shard").applyInArrow(_answerer(trie), "chunk long, block binary")
+    asked = rows.withColumn("rid", F.monotonically_increasing_id()).transform(in_arrow, partial(_ask, trie=trie, shards=shards, part=part), "shard int, block binary")
+    questions = _parted(asked, partial(_split_asked, words=trie.words), shards, FAN, _range_of_texts())
+    answers = questions.groupBy("shard", _range_of_texts().alias("texts")).applyInArrow(_answerer(trie), "chunk long, block binary")
     return answers.groupBy("chunk").applyInArrow(_united, f"doc_id {kind.simpleString()}, {numbers}")
 
 
 # ---- pairs of texts brought to the shards -------------------------------------------------
 
 
-def _asked_blocks(keys: np.ndarray, rids: np.ndarray, times: np.ndarray, words: int, shards: int, width: int):
-    """Pairs by text (key, text, how often) as one block for each range of shards: distinct keys, texts of each, times."""
+#: A block of one frequent pair begins with this byte; then come seven that name a range of texts.
+FREQUENT = b"\x02"
+
+
+def _range_of_texts() -> Column:
+    return F.when(F.substring("block", 1, 1) == F.lit(FREQUENT), F.substring("block", 1, 8)).otherwise(F.lit(b""))
+
+
+def _asked_block(keys: np.ndarray, rids: np.ndarray, times: np.ndarray) -> bytes:
+    names, many = np.unique(keys, return_counts=True)
+    arrays, values = EliasFano.encode(names, "keys")
+    least = int(rids.min())
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max())))
+    return pack(arrays | {"many": small(many), "rids": small(rids - least), "times": small(times)}, least=least, **values)
+
+
+def _asked_blocks(keys: np.ndarray, rids: np.ndarray, times: np.ndarray, words: int, shards: int, width: int, part: int | None = None):
+    """Pairs by text (key, text, how often) as one block for each range of shards: distinct keys, texts of each, times.
+
+    With ``part`` pairs that are frequent among these have blocks of their own:
+    those of as many input partitions (the high bits of a text's number) as hold some ``part`` texts go together.
+    """
     shard = _gram_shard((keys // _U(words)).astype(np.int64), (keys % _U(words)).astype(np.int64), shards) // width
     order = np.lexsort((rids, keys, shard))
     shard, keys, rids, times = shard[order], keys[order], rids[order], times[order]
     head = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rids[1:] != rids[:-1])])) if len(keys) else np.zeros(0, np.int64)
     shard, keys, rids, times = shard[head], keys[head], rids[head], np.add.reduceat(times, head) if len(head) else times
+    if part and len(keys):
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        many = np.diff(np.append(first, len(keys)))
+        frequent = many > max(64, 2 * len(keys) // shards)
+        for at, n in zip(first[frequent].tolist(), many[frequent].tolist()):
+            one = slice(at, at + n)
+            bits = max(0, (part // n).bit_length() - 1)
+            name = FREQUENT + bytes([bits]) + (int(rids[at]) >> 33 >> bits).to_bytes(6, "big")
+            exact = int(_gram_shard((keys[one][:1] // _U(words)).astype(np.int64), (keys[one][:1] % _U(words)).astype(np.int64), shards)[0])
+            yield pa.RecordBatch.from_arrays([pa.array([exact], pa.int32()), pa.array([name + _asked_block(keys[one], rids[one], times[one])], pa.binary())], ["shard", "block"])
+        rest = ~np.repeat(frequent, many)
+        shard, keys, rids, times = shard[rest], keys[rest], rids[rest], times[rest]
     cut = np.searchsorted(shard, np.arange(-(-shards // width) + 1))
     for i in np.flatnonzero(np.diff(cut)):
-        part = slice(cut[i], cut[i + 1])
-        names, many = np.unique(keys[part], return_counts=True)
-        arrays, values = EliasFano.encode(names, "keys")
-        least = int(rids[part].min())
-        small = lambda x: x.astype(np.min_scalar_type(int(x.max())))
-        block = pack(arrays | {"many": small(many), "rids": small(rids[part] - least), "times": small(times[part])}, least=least, **values)
-        yield pa.RecordBatch.from_arrays([pa.array([i * width], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
+        one = slice(cut[i], cut[i + 1])
+        yield pa.RecordBatch.from_arrays([pa.array([i * width], pa.int32()), pa.array([_asked_block(keys[one], rids[one], times[one])], pa.binary())], ["shard", "block"])
 
 
 def _asked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """A block's pairs; None for a block of texts."""
     if block[:1] == TEXTS:
         return None
-    arrays, values = unpack(np.frombuffer(block, np.uint8))
+    arrays, values = unpack(np.frombuffer(block, np.uint8, offset=8 if block[:1] == FREQUENT else 0))
     part = EliasFano(arrays, values, "keys")
     return np.repeat(part.get(np.arange(part.n)), arrays["many"].astype(np.int64)), arrays["rids"].astype(np.int64) + values["least"], arrays["times"].astype(np.int64)
 
@@ -435,13 +467,13 @@ def _chunks(rids: np.ndarray):
 TEXTS = b"\x01"
 
 
-def _ask(batches, trie: Trie, shards: int):
+def _ask(batches, trie: Trie, shards: int, part: int = PART):
     """Blocks of the pairs of a task's texts; and, to any shard, the texts with what the vocabulary alone says of them."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     width = widest(shards)
 
     def handed():
-        yield from _asked_blocks(*(np.concatenate(x) for x in zip(*held)), trie.words, shards, width)
+        yield from _asked_blocks(*(np.concatenate(x) for x in zip(*held)), trie.words, shards, width, part)
 
     for rows, data, offsets in pieces(batches, "text", PIECE):
         ids, counts, first = _sequence(trie, *_tokens(data, offsets))
@@ -472,7 +504,7 @@ def _split_asked(batches, words: int, shards: int, width: int):
     for batch in batches:
         for at, block in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist()):
             part = _asked(block)
-            if part is None:
+            if part is None or block[:1] == FREQUENT:
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
                 continue
             held.append(part)
@@ -486,7 +518,7 @@ def _split_asked(batches, words: int, shards: int, width: int):
 def _answer(group: pa.Table, trie: Trie) -> pa.Table:
     """By chunk of texts, as blocks: what the known pairs of a shard add to each text; and the texts that came along."""
     parts, chunks, blocks = [], [], []
-    for block in group.column("block").to_pylist():
+    for block in sorted(group.column("block").to_pylist()):  # sums don't depend on what comes first
         if (part := _asked(block)) is not None:
             parts.append(part)
         else:
@@ -514,7 +546,7 @@ def _answerer(trie: Trie):
 def _united(group: pa.Table) -> pa.Table:
     """A chunk's texts, and the sums that all shards gave for them."""
     texts, more = [], np.zeros(1 << CHUNK)
-    for block in group.column("block").to_pylist():
+    for block in sorted(group.column("block").to_pylist()):
         if block[:1] == TEXTS:
             texts.append(pa.ipc.open_stream(block[1:]).read_all())
         else:

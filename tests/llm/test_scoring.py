@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 from re import findall
@@ -119,6 +120,27 @@ def test_pairs_brought_to_shards_give_what_mapped_shards_give(spark, monkeypatch
                 assert set(ngram._gram_shard((part[0] // np.uint64(trie.words)).astype(np.int64), (part[0] % np.uint64(trie.words)).astype(np.int64), shards)) == {r.shard}
 
 
+def test_a_pair_in_every_text_is_dealt_by_ranges_of_texts(spark, monkeypatch):
+    """No group holds all texts of the pair, and scores are those of tasks that map the shards."""
+    monkeypatch.setattr(ngram, "TOKEN_SHARD", 700)
+    rng = random.Random(2)
+    rows = [(i, "of the " + " ".join(f"w{rng.randrange(900)}" for _ in range(4)), None, None, 0) for i in range(3000)]
+    docs = frame(spark, rows).repartition(8, "doc_id")
+    trie = ngram.fit(docs)
+    shards = len(trie.base[1]) - 1
+    texts = docs.select("doc_id", "text")
+    asked = texts.withColumn("rid", F.monotonically_increasing_id()).transform(ngram.in_arrow, ngram.partial(ngram._ask, trie=trie, shards=shards, part=500), "shard int, block binary")
+    sizes = {}
+    for r in asked.withColumn("texts", ngram._range_of_texts()).collect():
+        if (part := ngram._asked(bytes(r.block))) is not None:
+            sizes[r.shard, bytes(r.texts)] = sizes.get((r.shard, bytes(r.texts)), 0) + len(part[0])
+    assert shards > 20 and max(sizes.values()) < 1000 and any(texts for _, texts in sizes)
+    mapped = texts.transform(ngram.in_arrow, ngram.partial(ngram._score, trie=trie), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    wanted = {r.doc_id: r.score for r in mapped.collect()}
+    found = {r.doc_id: r.score for r in ngram.score(docs, trie, part=500).collect()}
+    assert found.keys() == wanted.keys() and all(abs(found[i] - wanted[i]) < 1e-4 for i in wanted)
+
+
 def test_keys_that_do_not_fit_are_refused(spark, monkeypatch):
     class Wide(ngram.Trie):
         def __init__(self, folder, tokens, words, documents, prior):
