@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 NOISE = -1
 
 #: Vectors of a group that one task takes.
-KERNEL_POINTS = 20_000
+KERNEL_POINTS = 8192
 
 
 def _spanning_tree(points: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:

@@ -25,7 +25,8 @@ from .labels import parts
 #: Points of a block, and the pivots of all groups together beside one for each group; a cell has as many blocks as it needs.
 BLOCK, PIVOTS = 1024, 8192
 
-_SLACK = 1e-9
+#: What rounding may add to a distance, and to one from a product of matrices.
+_SLACK, _NEAR = 1e-9, 1e-6
 
 
 def _matrix(values) -> np.ndarray:
@@ -120,20 +121,25 @@ class _Cells:
         right = points.join(asked, ["g", "cell"]).withColumn("chunk", dealt("chunks")).withColumn("salt", each("salts")).select(*block, "p", "v", "core", "comp")
 
         def pairs(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            out = {"g": [], "p": [], "x": [], "reach": []}
-            if len(q) and len(x):
-                x = x.sort_values("p")
-                at, core, comp, name = _matrix(list(x["v"])), x["core"].to_numpy(), x["comp"].to_numpy(), x["p"].to_numpy()
-                for g, p, v, own, mine, bound in zip(q["g"], q["p"], q["v"], q["core"], q["comp"], q["bound"]):
-                    reach = np.maximum(np.maximum(np.linalg.norm(at - np.frombuffer(v), axis=1), core), own)
-                    reach[comp == mine] = np.nan
-                    best = np.argsort(reach, kind="stable")[:k]
-                    best = best[reach[best] <= bound]
-                    out["g"] += [g] * len(best)
-                    out["p"] += [p] * len(best)
-                    out["x"] += name[best].tolist()
-                    out["reach"] += reach[best].tolist()
-            return pd.DataFrame(out)
+            if not len(q) or not len(x):
+                return pd.DataFrame({"g": [], "p": [], "x": [], "reach": []})
+            here, there = _matrix(list(q["v"])), _matrix(list(x["v"]))
+            own, bound, core, name = q["core"].to_numpy(), q["bound"].to_numpy(), x["core"].to_numpy(), x["p"].to_numpy()
+            # a product of matrices says who may be near, the difference of vectors decides
+            a, b = (here**2).sum(axis=1), (there**2).sum(axis=1)
+            about = np.sqrt(np.maximum(a[:, None] + b - 2 * (here @ there.T), 0))
+            about = np.maximum(np.maximum(about, core), own[:, None])
+            about[q["comp"].to_numpy()[:, None] == x["comp"].to_numpy()] = np.inf
+            within = np.partition(about, k - 1, axis=1)[:, k - 1] if k < len(name) else about.max(axis=1)
+            limit = np.minimum(bound, within) + _NEAR * (1 + np.sqrt(a + b.max()))
+            i, j = np.nonzero((about <= limit[:, None]) & np.isfinite(about))
+            reach = np.maximum(np.maximum(np.linalg.norm(there[j] - here[i], axis=1), core[j]), own[i])
+            i, j, reach = (z[reach <= bound[i]] for z in (i, j, reach))
+            order = np.lexsort((name[j], reach, i))
+            i, j, reach = i[order], j[order], reach[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, reach = (z[place < k] for z in (i, j, reach))
+            return pd.DataFrame({"g": q["g"].to_numpy()[i], "p": q["p"].to_numpy()[i], "x": name[j], "reach": reach})
 
         found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(pairs, "g long, p long, x long, reach double")
         line = Window.partitionBy("g", "p").orderBy("reach", "x")
