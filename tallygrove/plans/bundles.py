@@ -10,7 +10,9 @@ from ..operators import cube as C
 from ..operators import harvest as H
 from ..operators import reshape as R
 from ..operators import vectors as V
+from ..sources import pages as P
 from ..sources.readers import row_count, scan, table, year_range
+from ..sources.work import Work
 from .impact import _CUBE_SQL, _THEMES, _cube, _ratios
 from .works import ALL_MEASURES, SQL, sql_ratios, works
 
@@ -70,6 +72,23 @@ def harvest_gathered(spark, d):
     return H.gather(parts, "eid", "orders", "year 1994-1998", 1994, 1998).rows
 
 
+def harvest_pages(spark, d):
+    """Documents as page files by language and source, fetched into a store in two runs: what headers announce and what came in.
+
+    The second run resumes: it adds only the chunks that the first, a search for one language, left.
+    """
+    schema, by = "doc_id long, text string, lang string, source string", ["lang", "source"]
+    folder, store = (f"{Work(spark, 'harvest').folder}/{name}" for name in ("pages", "store"))
+    P.write_pages(table(spark, d, "documents").select("doc_id", "text", *by), folder, by, size=1000)
+    P.fetch(spark, folder, schema, by, store, F.col("lang") == "en")
+    P.fetch(spark, folder, schema, by, store)
+    came = P.stored(spark, schema, store).groupBy(*by).agg(
+        F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count("text").alias("texts"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars")
+    )
+    listed = P.headers(spark, folder, "lang string, source string", by).select(*by, F.col("count").alias("announced"))
+    return P.joined(listed, came, by)
+
+
 def theme_names(spark, d):
     """Works by source under its name, or under its id where the source has none."""
     names = table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.when(F.col("c_nationkey") < 10, F.col("c_name")).when(F.col("c_nationkey") < 15, F.lit("")).alias("name"))
@@ -135,7 +154,7 @@ def hierarchy_recovered(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    harvest_plan, harvest_gathered, theme_names, any_name, table_rows, windows_distinct, first_titles, callback_filter, text_vectors, hierarchy_recovered,
+    harvest_plan, harvest_gathered, harvest_pages, theme_names, any_name, table_rows, windows_distinct, first_titles, callback_filter, text_vectors, hierarchy_recovered,
 )}
 QUERIES |= {f"summary_{name}": _bundled(name) for name in ("countries_total", "pivot_annual", "pivot_full", "pivot_recent")}
 QUERIES |= {"summary_countries_annual": _bundled("countries"), "summary_themes_annual": _bundled("themes")}
@@ -152,6 +171,7 @@ ORACLES = {
     "harvest_plan": f"""WITH o AS (SELECT CAST(year(o_orderdate) AS INT) AS year, strftime(o_orderdate, '%b') AS month, CASE WHEN o_orderpriority IN ({_KINDS}) THEN o_orderpriority ELSE 'other' END AS kind FROM orders WHERE year(o_orderdate) BETWEEN {YEARS[0]} AND {YEARS[1]}),
         s AS (SELECT *, count(*) OVER (PARTITION BY year) AS ny, count(*) OVER (PARTITION BY year, month) AS nm FROM o)
         SELECT year, CASE WHEN ny > {MOST} THEN month END AS month, CASE WHEN ny > {MOST} AND nm > {MOST} THEN kind END AS kind, count(*) AS n FROM s GROUP BY ALL""",
+    "harvest_pages": "SELECT nullif(lang, '') AS lang, nullif(source, '') AS source, count(*) AS announced, count(*) AS rows, count(DISTINCT doc_id) AS ids, count(text) AS texts, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM documents GROUP BY ALL",
     "harvest_gathered": "SELECT o_orderkey AS eid, CAST(year(o_orderdate) AS INT) AS year, CAST(greatest(year(o_orderdate) - 1, 1994) AS INT) AS found_in FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1998",
     "theme_names": f"WITH {SQL} SELECT CASE WHEN c_nationkey < 10 AND c_name <> '' THEN c_name ELSE CAST(source_id AS VARCHAR) END AS name, count(*) AS n FROM w JOIN customer ON c_custkey = source_id GROUP BY ALL",
     "any_name": "SELECT c_custkey AS source_id, any_value(c_name) AS name FROM customer GROUP BY c_custkey",

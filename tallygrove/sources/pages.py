@@ -175,7 +175,7 @@ def headers(spark: SparkSession, folder: str, chunk_schema: str, by: list[str])
     return found.groupBy(*by).agg(F.max("count").alias("count"), F.max("pages").alias("pages"), F.count_distinct("page").alias("there"))
 
 
-def _joined(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+def joined(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Rows of ``a`` with those of ``b`` of the same chunk; a null value is one."""
     other = {c: f"of {c}" for c in by}
     return a.join(b.withColumnsRenamed(other), reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"`{o}`")) for c, o in other.items()]), how).drop(*other.values())
@@ -188,12 +188,12 @@ def write_pages(rows: DataFrame, folder: str, by: list[str], size: int = 200) ->
     inner = [c for c in rows.columns if c not in by]
     dealt = rows.select(*by, F.to_json(F.struct(*inner), {"ignoreNullFields": "false"}).alias("record"), F.monotonically_increasing_id().alias("at"))
     many = dealt.groupBy(*by).agg(F.count("*").alias("count")).withColumn("pages", F.ceil(F.col("count") / size))
-    paged = _joined(dealt, many, by).select(*by, "record", "count", "pages", F.pmod(F.xxhash64("record", "at"), F.col("pages")).alias("page"))
+    paged = joined(dealt, many, by).select(*by, "record", "count", "pages", F.pmod(F.xxhash64("record", "at"), F.col("pages")).alias("page"))
     held = paged.groupBy(*by, "page").agg(F.max("count").alias("count"), F.max("pages").alias("pages"), F.sort_array(F.collect_list("record")).alias("records"))
     header = F.to_json(F.struct("count", "page", F.col("pages"), F.size("records").cast("long").alias("rows")))
     # a page that no record fell to is not there; the pages that are there are the chunk's
     there = held.groupBy(*by).agg(F.count("*").alias("filled"))
-    held = _joined(held, there, by).select(*by, "page", "count", F.col("filled").alias("pages"), "records")
+    held = joined(held, there, by).select(*by, "page", "count", F.col("filled").alias("pages"), "records")
     held.select(*by, "page", F.concat_ws("\n", F.array(header), "records").alias("value")).write.partitionBy(*by, "page").text(folder)
 
 
@@ -215,7 +215,7 @@ def fetch(spark: SparkSession, folder: str, schema: str, by: list[str], store: s
     found, have = headers(spark, folder, names, by), committed(spark, store, names)
     if where is not None:
         found = found.filter(where)
-    missing = _joined(found.filter("there = pages"), have, by, "left_anti").select(*by).collect()
+    missing = joined(found.filter("there = pages"), have, by, "left_anti").select(*by).collect()
     if not missing:
         return 0
     rows = pages(spark, folder, schema, by, only=json.dumps([list(r) for r in missing]))
