@@ -12,6 +12,7 @@ from tallygrove.operators import community as C
 from tallygrove.operators import coupling as L
 from tallygrove.operators import density as Y
 from tallygrove.operators import fastrp as P
+from tallygrove.operators import terms as T
 from tallygrove.operators import tracking as K
 from tallygrove.operators import vectors as V
 
@@ -168,3 +169,82 @@ def test_small_bins(spark):
     rows = spark.createDataFrame([(0, 3)] * 2 + [(1, 3)] * 5, "bin_id int, cluster int")
     assert {(r.bin_id, r.cluster) for r in K.small_bins(rows, "cluster", least=3).collect()} == {(0, 0), (1, 3)}
     assert rows.filter(F.col("cluster") == 3).count() == 7
+
+
+def test_terms_of_texts_that_share_a_key_of_few_words_and_of_no_cluster(spark, monkeypatch):
+    """Against counting: copies of a key are one text, ties at the vocabulary's end, and tables too large to be brought near."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(4)
+    rows = [(c, rng.randrange(30), " ".join(rng.choice("ab cd ef gh ij kl".split()) + str(rng.randrange(3)) for _ in range(rng.randrange(12)))) for c in ("x", "y") for _ in range(40)]
+    rows += [("z", 1, "one two"), (None, 2, "one two"), ("x", 3, None), ("x", None, "ab0 ab0 cd1"), ("y", 5, "the a")]
+
+    def terms(text):
+        w = [x for x in text.split() if len(x) > 1 and x not in T.STOP_WORDS]
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+    wanted = set()
+    for c in ("x", "y", "z"):
+        tf, n = defaultdict(Counter), sum(r[0] == c and r[2] is not None for r in rows)
+        for r in rows:
+            if r[0] == c and r[2] is not None:
+                tf[r[1]].update(terms(r[2]))
+        total = sum(tf.values(), Counter())
+        known = sorted(total, key=lambda t: (-total[t], t))[:20]
+        idf = {t: math.log((1 + n) / (1 + sum(t in f for f in tf.values()))) + 1 for t in known}
+        sums = Counter()
+        for k, f in tf.items():
+            x = {t: f[t] * idf[t] for t in known if f[t]}
+            for t in x if k is not None else ():
+                sums[t] += x[t] / math.sqrt(sum(v * v for v in x.values()))
+        best = sorted(sums, key=lambda t: (-round(sums[t], 6), t))[:6]
+        wanted |= {(c, t, round(sums[t], 5), i + 1) for i, t in enumerate(best)}
+    df = spark.createDataFrame(rows, "c string, id int, text string")
+    for near in (T.NEAR, 0):
+        monkeypatch.setattr(T, "NEAR", near)
+        found = T.cluster_terms(df, "c", features=20, top=6).collect()
+        assert {(r.c, r.term, round(r.weight, 5), r.rank) for r in found} == wanted
+
+
+def test_pairs_of_words_that_cannot_be_in_the_vocabulary_are_not_counted(spark, monkeypatch):
+    kept, keep = {}, T.Work.keep
+    monkeypatch.setattr(T.Work, "keep", lambda self, df, name, **more: kept.setdefault(name, keep(self, df, name, **more)))
+    rows = [(0, i, f"often often often rare{i} seldom{i}") for i in range(50)]
+    found = T.cluster_terms(spark.createDataFrame(rows, "c int, id int, text string"), "c", features=1)
+    assert [(r.term, r.rank) for r in found.collect()] == [("often", 1)]
+    assert [r.term for r in kept["often"].collect()] == ["often"] and kept["vocabulary"].count() == 1
+
+
+@pytest.mark.parametrize("size", [1, 3, 2048])
+def test_coupling_through_lists_of_any_length(spark, monkeypatch, size):
+    """A reference that all cite, in one group or none; null ids, groups and references couple nothing; numbers ride along."""
+    monkeypatch.setattr(L, "LIST", size)
+    rng = random.Random(size)
+    rows = [(y, i, r) for y in (1, 2) for i in range(12) for r in ["hub", *(rng.choice("abcde") for _ in range(3))]] + [(None, 1, "a"), (None, 2, "a"), (1, 3, None), (1, 4, None), (1, None, "hub")]
+    refs = spark.createDataFrame(rows, "year int, id int, ref string")
+    times = {(y, i, r): rows.count((y, i, r)) for y, i, r in rows if None not in (y, i, r)}
+    wanted = {}
+    for (y, a, r), m in times.items():
+        for b in range(a + 1, 12):
+            if n := times.get((y, b, r)):
+                wanted[y, a, b] = wanted.get((y, a, b), 0) + m * n
+    assert {(e.year, e.a, e.b): e.shared for e in L.coupled(refs, "year").collect()} == wanted
+    k = lambda y, i: sum(x[:2] == (y, i) for x in rows)
+    found = {(e.year, e.a, e.b): e.weight for e in L.salton(L.coupled(refs, "year", sized=True), refs, "year", 0.2).collect()}
+    assert found == pytest.approx({(y, a, b): s / math.sqrt(k(y, a) * k(y, b)) for (y, a, b), s in wanted.items() if s / math.sqrt(k(y, a) * k(y, b)) >= 0.2})
+
+
+def test_tasks_grow_with_the_table_and_pairs_meet_no_join(spark, monkeypatch):
+    from tallygrove.plans import fronts, works
+    from tallygrove.sources import work
+
+    monkeypatch.setattr(work, "TASK_ROWS", 500)
+    data = "/root/testdata/sf0.001"
+    assert works.work_institutions(spark, data).rdd.getNumPartitions() >= 10
+    assert fronts.coupling(spark, data).rdd.getNumPartitions() > 4
+    plan = fronts.salton_edges(spark, data)._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
