@@ -13,7 +13,7 @@ from ..operators import matching as M
 from ..operators import reshape as R
 from ..operators import sketches as H
 from ..sources.readers import table
-from .works import SQL, places, sql_ratio, work_countries, work_institutions, work_references, works
+from .works import SQL, bare_works, places, sql_ratio, work_countries, work_institutions, work_references, works
 
 
 def top_journals(spark, d):
@@ -151,10 +151,13 @@ _LEVELS = [["country", "year", "topic"], ["country", "year"], ["country"], ["yea
 
 def sketch_levels(spark, d):
     """Distinct works of every level from one table of cells, beside exact counts: whether each is within 5 percent."""
-    rows = work_countries(spark, d).select("id", "country").join(works(spark, d).select("id", "year", "topic"), "id")
+    rows = work_countries(spark, d).select("id", "country").join(bare_works(spark, d).select("id", "year", "topic"), "id")
     keys = ["country", "year", "topic"]
     found = H.levels(H.sketched(rows, keys, "id"), _LEVELS)
-    exact = rows.groupingSets([[F.col(c) for c in s] for s in _LEVELS], *keys).agg(F.grouping_id().alias("grouping_id"), F.count_distinct("id").alias("works"))
+    # a work's rows are in one task, so it is made distinct in each level there
+    level = lambda s: F.struct(*[(F.col(c) if c in s else F.lit(None)).alias(c) for c in keys], F.lit(sum((c not in s) << i for i, c in enumerate(reversed(keys)))).cast("long").alias("grouping_id"))
+    each = rows.select("id", F.explode(F.array(*[level(s) for s in _LEVELS])).alias("level")).select("id", "level.*").distinct()
+    exact = each.groupBy(*keys, "grouping_id").agg(F.count("id").alias("works"))
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*keys, "grouping_id")]
     near = F.abs(F.col("estimate") - F.col("works")) <= 0.05 * F.col("works")
     return found.alias("x").join(exact.alias("y"), same).select(*[f"y.{c}" for c in keys], F.col("y.grouping_id").cast("long").alias("grouping_id"), F.col("works").cast("long").alias("works"), near.alias("near"))
