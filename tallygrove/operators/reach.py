@@ -25,6 +25,10 @@ from .labels import parts
 #: Points of a block, and the pivots of all groups together beside one for each group; a cell has as many blocks as it needs.
 BLOCK, PIVOTS = 1024, 8192
 
+#: Cells that are searched together, one bit each, and vectors of a side that a task takes: a vector is shuffled once for
+#: each ``WIDE`` of the other side, not once for each cell.
+CELLS, WIDE = 32, 1 << 15
+
 #: What rounding may add to a distance, and to one from a product of matrices.
 _SLACK, _NEAR = 1e-9, 1e-6
 
@@ -78,7 +82,9 @@ class _Cells:
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
         self.points = work.keep(points.mapInPandas(deal, kinds + ", cell int, far double"), "dealt")
-        self.cells = work.keep(self.points.groupBy("g", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "cells")
+        self.cells = work.keep(self.points.groupBy("g", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")), "cells")
+        part = F.expr(f"cell div {CELLS}").cast("int").alias("part")
+        self.parts = self.cells.groupBy("g", part).agg(F.ceil(F.sum("n") / WIDE).cast("int").alias("chunks"))
         self.radius = {g: np.zeros(len(m)) for g, m in pivots.items()}
         for r in self.cells.collect():
             self.radius[r.g][r.cell] = r.radius
@@ -108,38 +114,66 @@ class _Cells:
                         open_[d.argmin()] = False
                     closed = only.get(int(g), {})
                     found.append([int(c) for c in np.flatnonzero(open_) if closed.get(int(c)) != comp])
-                times = [len(c) for c in found]
-                yield pd.DataFrame({c: np.repeat(pdf[c].to_numpy(object), times) for c in pdf} | {"cell": [c for cells in found for c in cells]})
+                masks: list[dict[int, int]] = []
+                for cells in found:
+                    masks.append({})
+                    for c in cells:
+                        masks[-1][c // CELLS] = masks[-1].get(c // CELLS, 0) | 1 << c % CELLS
+                times = [len(m) for m in masks]
+                yield pd.DataFrame({c: np.repeat(pdf[c].to_numpy(object), times) for c in pdf} | {"part": [c for m in masks for c in m], "mask": [x for m in masks for x in m.values()]})
 
         columns = "g long, p long, v binary, core double, comp long, bound double"
-        aimed = self.work.keep(queries.select("g", "p", "v", "core", "comp", "bound").mapInPandas(aim, columns + ", cell int"), "aimed", rolling=True)
-        asked = aimed.groupBy("g", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts")).join(self.cells.select("g", "cell", "chunks"), ["g", "cell"])
+        aimed = self.work.keep(queries.select("g", "p", "v", "core", "comp", "bound").mapInPandas(aim, columns + ", part int, mask long"), "aimed", rolling=True)
+        some = aimed.groupBy("g", "part").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("salts"))
+        asked = self.work.keep(some.join(self.parts, ["g", "part"]), "asked", rolling=True)
         dealt = lambda n: F.pmod(F.xxhash64("p"), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        block = ["g", "cell", "chunk", "salt"]
-        left = aimed.join(asked, ["g", "cell"]).withColumn("salt", dealt("salts")).withColumn("chunk", each("chunks"))
-        right = points.join(asked, ["g", "cell"]).withColumn("chunk", dealt("chunks")).withColumn("salt", each("salts")).select(*block, "p", "v", "core", "comp")
-
-        def pairs(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(x):
-                return pd.DataFrame({"g": [], "p": [], "x": [], "reach": []})
-            here, there = _matrix(list(q["v"])), _matrix(list(x["v"]))
-            own, bound, core, name = q["core"].to_numpy(), q["bound"].to_numpy(), x["core"].to_numpy(), x["p"].to_numpy()
+        block = ["g", "part", "chunk", "salt"]
+        left = aimed.join(asked, ["g", "part"]).withColumn("salt", dealt("salts")).withColumn("chunk", each("chunks"))
+        right = points.withColumn("part", F.expr(f"cell div {CELLS}").cast("int")).join(asked, ["g", "part"]).withColumn("chunk", dealt("chunks")).withColumn("salt", each("salts"))
+        left, right = left.select(*block, "p", "v", "core", "comp", "bound", "mask"), right.select(*block, "p", "v", "core", "comp", "cell")
+
+        def first(i: np.ndarray, name: np.ndarray, reach: np.ndarray) -> np.ndarray:
+            """Places of the k nearest of each query, by query."""
+            order = np.lexsort((name, reach, i))
+            at = i[order]
+            return order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+
+        def near(here, own, bound, mine, there, core, theirs, name):
+            """Query, point and reach of what two blocks have within bounds."""
             # a product of matrices says who may be near, the difference of vectors decides
             a, b = (here**2).sum(axis=1), (there**2).sum(axis=1)
             about = np.sqrt(np.maximum(a[:, None] + b - 2 * (here @ there.T), 0))
             about = np.maximum(np.maximum(about, core), own[:, None])
-            about[q["comp"].to_numpy()[:, None] == x["comp"].to_numpy()] = np.inf
+            about[mine[:, None] == theirs] = np.inf
             within = np.partition(about, k - 1, axis=1)[:, k - 1] if k < len(name) else about.max(axis=1)
             limit = np.minimum(bound, within) + _NEAR * (1 + np.sqrt(a + b.max()))
             i, j = np.nonzero((about <= limit[:, None]) & np.isfinite(about))
             reach = np.maximum(np.maximum(np.linalg.norm(there[j] - here[i], axis=1), core[j]), own[i])
             i, j, reach = (z[reach <= bound[i]] for z in (i, j, reach))
-            order = np.lexsort((name[j], reach, i))
-            i, j, reach = i[order], j[order], reach[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j, reach = (z[place < k] for z in (i, j, reach))
-            return pd.DataFrame({"g": q["g"].to_numpy()[i], "p": q["p"].to_numpy()[i], "x": name[j], "reach": reach})
+            best = first(i, name[j], reach)
+            return i[best], name[j[best]], reach[best]
+
+        def pairs(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(x):
+                return pd.DataFrame({"g": [], "p": [], "x": [], "reach": []})
+            x = x.sort_values("cell", kind="stable")
+            here, there = _matrix(list(q["v"])), _matrix(list(x["v"]))
+            own, bound, mine, mask = (q[c].to_numpy() for c in ("core", "bound", "comp", "mask"))
+            core, theirs, name, cell = (x[c].to_numpy() for c in ("core", "comp", "p", "cell"))
+            out = []
+            for c in np.unique(cell):
+                asks = np.flatnonzero(mask >> (c % CELLS) & 1)
+                s, e = np.searchsorted(cell, [c, c + 1])
+                for y in range(s, e, BLOCK):
+                    to = slice(y, min(e, y + BLOCK))
+                    for z in range(0, len(asks), BLOCK):
+                        at = asks[z : z + BLOCK]
+                        i, found, reach = near(here[at], own[at], bound[at], mine[at], there[to], core[to], theirs[to], name[to])
+                        out.append((at[i], found, reach))
+            i, found, reach = (np.concatenate(z) if out else np.array([], int) for z in (zip(*out) if out else ((), (), ())))
+            best = first(i, found, reach)
+            return pd.DataFrame({"g": q["g"].to_numpy()[i[best]], "p": q["p"].to_numpy()[i[best]], "x": found[best], "reach": reach[best]})
 
         found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(pairs, "g long, p long, x long, reach double")
         line = Window.partitionBy("g", "p").orderBy("reach", "x")

@@ -93,3 +93,22 @@ def test_five_thousand_vectors(spark, rounds):
     got = found(Y.detect(frame(spark, {0: data}), "bin", least=50, neighbours=10))[0]
     unit = data / np.linalg.norm(data, axis=1, keepdims=True)
     assert [got[i] for i in range(5000)] == Y.clusters(unit).tolist()
+
+
+@pytest.mark.parametrize("cells, wide", [(2, 30), (5, 1000)])
+def test_a_query_is_sent_once_for_each_part_of_cells(spark, rounds, cells, wide):
+    """Parts and wide blocks of any size give the nearest, and no vector is written for each cell."""
+    for name, value in (("BLOCK", 20), ("CELLS", cells), ("WIDE", wide)):
+        rounds.setattr(R, name, value)
+    data = blobs(5, 300, 8, 3, 100)
+    work = Work(spark, "parts")
+    points = R._packed(work, frame(spark, {0: data}), "bin", "id", "v", False).select("g", "v", F.lit(1).cast("long").alias("w"), F.col("id").alias("first"), F.col("id").alias("p"))
+    known = R._Cells(work, work.keep(points, "points"))
+    got = {}
+    for r in R._lists(known, 4).collect():
+        got.setdefault(r.p, []).append((r.reach, r.x))
+    for i, v in enumerate(data):
+        far = np.linalg.norm(data - v, axis=1)
+        assert [x for _, x in sorted(got[i])] == [j for j in np.argsort(far, kind="stable") if j != i][:4]
+    parts = -(-known.cells.agg(F.max("cell")).first()[0] // cells) + 1
+    assert spark.read.parquet(work.paths["aimed"][-1]).count() <= 400 * parts
