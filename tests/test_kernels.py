@@ -248,3 +248,15 @@ def test_tasks_grow_with_the_table_and_pairs_meet_no_join(spark, monkeypatch):
     assert "Join" not in plan
 
 
+
+
+def test_degrees_are_counted_from_tables_dealt_by_work(spark, monkeypatch):
+    """One shuffle of the line items serves what is distinct and what is joined, in tasks of bounded rows."""
+    from tallygrove.plans import fronts
+    from tallygrove.sources import work
+
+    monkeypatch.setattr(work, "TASK_ROWS", 500)
+    edges = fronts.hetero_edges(spark, "/root/testdata/sf0.001")
+    assert edges.rdd.getNumPartitions() > 12
+    plan = fronts.degree(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "o_totalprice" not in plan.split("== Physical Plan ==")[1]
