@@ -40,6 +40,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _forget(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # the session may be gone at exit
+        pass
+
+
 class Work:
     """The tables of one iteration. With ``rolling`` the table before the last of a name goes when one more is kept."""
 
@@ -53,4 +60,25 @@ class Work:
         df.write.parquet(known[-1])
         if rolling and len(known) > 2:
             _remove(self.spark, known[-3])
+        self._release()
         return self.spark.read.schema(df.schema).parquet(known[-1])
+
+    def append(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+        """The table of that name with these rows too, in buckets by a key, so what goes by the key needs no shuffle."""
+        table = f"{name}_{self.folder.rsplit('-', 1)[1]}"
+        if name not in self.paths:
+            atexit.register(_forget, self.spark, table)
+        self.paths[name] = [f"{self.folder}/{name}"]
+        df.write.format("parquet").mode("append").option("path", self.paths[name][0]).bucketBy(buckets, key).saveAsTable(table)
+        self._release()
+        return self.spark.table(table)
+
+    def drop(self, *names: str) -> None:
+        """Removes tables that nothing reads any more."""
+        for name in names:
+            for path in self.paths.get(name, []):
+                _remove(self.spark, path)
+
+    def _release(self) -> None:
+        """Spark removes shuffle files of finished jobs when the driver's JVM collects their plans, which may not come about in a short run."""
+        self.spark.sparkContext._jvm.System.gc()

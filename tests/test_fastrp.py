@@ -75,3 +75,22 @@ def test_long_rows_are_cut(monkeypatch):
     wanted = np.zeros_like(got)
     np.add.at(wanted, (src >> 32, src & 0xFFFFFFFF), v[dst])
     assert np.allclose(got, wanted)
+
+
+@pytest.mark.parametrize("dim, parts, rounds", [(12, 5, 3), (9, 2, 1), (3, 8, 0)])
+def test_dimensions_in_parts_equal_brute_force(spark, monkeypatch, dim, parts, rounds):
+    """A large graph goes through the rounds a few dimensions at a time; their number need not divide evenly."""
+    monkeypatch.setattr(P, "PART_BYTES", 1)
+    monkeypatch.setattr(P, "PARTS", parts)
+    monkeypatch.setattr(P, "BLOCK_BYTES", 1024)
+    monkeypatch.setattr(P, "EDGES", 256)
+    rows = graph(3, 80)
+    found = {r.node: r.v for r in P.fastrp(spark.createDataFrame(rows, "src string, dst string"), dim, rounds).collect()}
+    wanted = brute(rows, dim, rounds)
+    assert set(found) == set(wanted)
+    assert all(np.allclose(found[x], wanted[x], atol=1e-9) for x in wanted)
+
+
+def test_signs_are_bits_and_the_last_join_has_no_shuffle(spark):
+    plan = P.fastrp(spark.createDataFrame(graph(4, 60), "src string, dst string"), 16, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
