@@ -1,4 +1,8 @@
-"""Embeddings of graph nodes by fast random projection, as products of a blocked sparse matrix and blocks of vectors.
+"""Embeddings of graph nodes by fast random projection.
+
+Where tasks can map files of the shared folder, a round looks its neighbours up
+there (``gathered``).  Elsewhere it is a product of a blocked sparse matrix and
+blocks of vectors, as follows.
 
 Nodes are dealt to blocks by ranges of their names, since names that are near
 often have neighbours in common, and numbered within them; a block's vectors are
@@ -19,10 +23,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import mounted
 from ..sources.work import Work
+from . import gathered
 
 #: Bytes of a block of vectors, edges of a packed row, and edges whose vectors are gathered at once.
 BLOCK_BYTES, EDGES, STEP = 1 << 23, 1 << 20, 1 << 13
@@ -127,11 +133,12 @@ def _named(names: pa.Table, parts: pa.Table) -> pa.Table:
     return pa.Table.from_batches(batches, schema)
 
 
-def fastrp(edges: DataFrame, dim: int = 128, rounds: int = 3) -> DataFrame:
+def fastrp(edges: DataFrame, dim: int = 128, rounds: int = 3, asked: Column | None = None) -> DataFrame:
     """node, v: ``rounds`` times the mean of the neighbours plus the node's own random signs, as a unit vector.
 
     ``edges``: src, dst as text; an edge listed twice counts twice, and edges without one end are left out.  Signs come
-    from a digest of node and dimension, so they are the same in every run and engine.
+    from a digest of node and dimension, so they are the same in every run and engine.  ``asked``: a condition on ``node``;
+    the vectors of the others are not returned.
     """
     spark = edges.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
@@ -140,6 +147,15 @@ def fastrp(edges: DataFrame, dim: int = 128, rounds: int = 3) -> DataFrame:
     links = work.keep(real, "links")
     counted = work.keep(links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "nodes")
     n, ends = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n and mounted(spark, work.folder):
+        return gathered.vectors(work, links, counted, n, dim, rounds, F.lit(True) if asked is None else asked)
+    found = _by_shuffles(work, links, counted, n, ends, dim, rounds)
+    return found if asked is None else found.filter(asked)
+
+
+def _by_shuffles(work: Work, links: DataFrame, counted: DataFrame, n: int, ends: int, dim: int, rounds: int) -> DataFrame:
+    """The same where tasks can't map files of the shared folder."""
+    spark = work.spark
     width = -(-dim // min(PARTS, dim, max(1, -(-8 * dim * ends // PART_BYTES))))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-n // max(1, BLOCK_BYTES // (8 * width))))

@@ -81,7 +81,7 @@ def degree(spark, d):
 
 
 def fastrp(spark, d):
-    found = P.fastrp(_hetero(spark, d), DIM).filter(F.col("node").startswith("W"))
+    found = P.fastrp(_hetero(spark, d), DIM, asked=F.col("node").startswith("W"))
     return found.select("node", F.posexplode("v").alias("dim", "x")).select("node", F.col("dim").cast("long").alias("dim"), (F.round("x", 5) + 0.0).alias("x"))
 
 
@@ -222,7 +222,7 @@ def _topological(meta: DataFrame, refs: DataFrame, institutions: DataFrame) -> D
     name = lambda letter, c: F.concat(F.col("bin_id").cast("string"), F.lit(letter), F.col(c).cast("string"))
     ends = [(inside, "W", "ref"), (meta.select("bin_id", "id").join(institutions, "id"), "I", "inst"), (meta, "S", "source_id")]
     links = [rows.select(name("W", "id").alias("src"), name(letter, c).alias("dst")) for rows, letter, c in ends]
-    found = P.fastrp(links[0].unionByName(links[1]).unionByName(links[2])).filter(F.col("node").contains("W"))
+    found = P.fastrp(links[0].unionByName(links[1]).unionByName(links[2]), asked=F.col("node").contains("W"))
     part = F.split("node", "W")
     rows = found.select(part[0].cast("int").alias("bin_id"), part[1].cast("long").alias("id"), "v")
     return _partition(meta, Y.detect(rows, "bin_id"))

@@ -79,6 +79,17 @@ class Work:
             for path in self.paths.get(name, []):
                 _remove(self.spark, path)
 
+    def place(self, name: str) -> str:
+        """A new folder for files of that name."""
+        known = self.paths.setdefault(name, [])
+        known.append(f"{self.folder}/{name}-{len(known)}")
+        return known[-1]
+
+    def clear(self, path: str) -> None:
+        """Removes a folder of files, and shuffle files of finished jobs."""
+        _remove(self.spark, path)
+        self._release()
+
     def _release(self) -> None:
         """Spark removes shuffle files of finished jobs when the driver's JVM collects their plans, which may not come about in a short run."""
         self.spark.sparkContext._jvm.System.gc()
