@@ -5,7 +5,8 @@ first into shards of bounded size.  Tasks hand on their keys counted, as one
 block per shard, or, where there are more than ``FAN`` shards, per range of
 shards; ranges are split in further rounds, so the number of blocks follows the
 number of keys and not tasks times shards.  One task per shard unites its keys
-and writes a file of sorted ones.  Any task can then look keys up, whatever the
+and writes a file of sorted ones; many shards are then put end to end in a few
+files, since a look-up visits most of them.  Any task can then look keys up, whatever the
 size of the whole: nothing is collected, broadcast or joined.
 """
 
@@ -20,12 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano, pack, unpack
-from .shared import Opened, in_arrow, mix, put_file, work_folder
+from .shared import Opened, in_arrow, local_path, map_file, mix, put_file, put_parts, remove_folder, work_folder
 
 SHARD_KEYS = 1 << 20
 #: Blocks that a task makes of what it has gathered.
 FAN = 256
 GATHER = 1 << 21
+#: Files that keys are looked up in: a look-up visits most of them, so their number doesn't go with the shards.
+FILES = 32
+#: What a shard holds.
+ARRAYS = {"keys": np.uint64, "second": np.uint64, "counts": np.uint32}
 BLOCKS = "shard int, block binary"
 _U = np.uint64
 
@@ -34,12 +39,25 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (((keys >> _U(32)) * _U(shards)) >> _U(32)).astype(np.int64)
 
 
+def _parting(shards: int, fan: int) -> tuple[int, int]:
+    """How many parts a range is split into in each further round, and their number: as few as will do, so the first ranges are many, and so are the tasks that split them."""
+    rounds, parts = 0, 1
+    while fan ** (rounds + 1) < shards:
+        rounds += 1
+    while rounds and parts**rounds * fan < shards:
+        parts += 1
+    return parts, rounds
+
+
 def widest(shards: int, fan: int = FAN) -> int:
     """Shards of one block in the first round."""
-    width = 1
-    while width * fan < shards:
-        width *= fan
-    return width
+    parts, rounds = _parting(shards, fan)
+    return parts**rounds
+
+
+def narrower(width: int, shards: int, fan: int = FAN) -> int:
+    """Shards of one block in the next round."""
+    return width // _parting(shards, fan)[0]
 
 
 def united(keys: np.ndarray, second: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,16 +126,21 @@ def dealt(blocks: DataFrame, shards: int, fan: int = FAN) -> DataFrame:
     """Blocks of ranges of shards, split until each is of one shard."""
     width = widest(shards, fan)
     while width > 1:
-        width //= fan
+        width = narrower(width, shards, fan)
         blocks = blocks.repartition("shard").transform(in_arrow, partial(_split, shards=shards, width=width), BLOCKS)
     return blocks
 
 
 class Counts:
-    """Keys and their counts, in the files of a folder."""
+    """Keys and their counts, in the files of a folder; a file is one shard, or each array of ``width`` of them."""
+
+    def __init__(self, folder: str, shards: int, width: int = 1):
+        self.folder, self.shards, self.width, self.files = folder, shards, width, Opened()
 
-    def __init__(self, folder: str, shards: int):
-        self.folder, self.shards, self.files = folder, shards, Opened()
+    def _file(self, i: int) -> dict[str, np.ndarray]:
+        if self.width == 1:
+            return self.files.get(f"{self.folder}/{i}", lambda data: unpack(data)[0])
+        return {name: self.files.get(f"{self.folder}/{i}-{name}", lambda data, kind=kind: data.view(kind)) for name, kind in ARRAYS.items()}
 
     def of(self, keys: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The count of each key; 0 if it is not there."""
@@ -125,9 +148,9 @@ class Counts:
         if not len(keys):
             return out
         order = np.argsort(keys)
-        cut = np.searchsorted(shard_of(keys[order], self.shards), np.arange(self.shards + 1))
+        cut = np.searchsorted(shard_of(keys[order], self.shards) // self.width, np.arange(-(-self.shards // self.width) + 1))
         for i in np.flatnonzero(np.diff(cut)):
-            known = self.files.get(f"{self.folder}/{i}", lambda data: unpack(data)[0])
+            known = self._file(i)
             names, checks, counts = known["keys"], known["second"], known["counts"]
             rows = order[cut[i] : cut[i + 1]]
             if not len(names):
@@ -157,14 +180,30 @@ def _merge(group: pa.Table, folder: str, least: int) -> pa.Table:
     return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([int(keep.sum())], pa.int64())})
 
 
+def _end_to_end(batches, folder: str, to: str, shards: int, width: int):
+    """Files of ``width`` shards; shards are ranges of keys, so the keys of a file are in order too."""
+    for batch in batches:
+        for i in batch.column(0).to_pylist():
+            for name in ARRAYS:
+                put_parts(f"{to}/{i}-{name}", (unpack(map_file(f"{folder}/{shard}"))[0][name] for shard in range(i * width, min((i + 1) * width, shards))))
+        yield batch
+
+
 def counted(blocks: DataFrame, shards: int, name: str, least: int = 2) -> Counts:
     """Unite the blocks of all tasks; keys that occur fewer than ``least`` times are left out."""
-    out = Counts(work_folder(blocks.sparkSession, name), shards)
+    spark = blocks.sparkSession
+    out = Counts(work_folder(spark, name), shards)
     found = dealt(blocks, shards).groupBy("shard").applyInArrow(lambda group: _merge(group, out.folder, least), "shard int, n long").collect()  # one row per shard
     none = np.zeros(0, np.uint64)
     for i in set(range(shards)) - {r[0] for r in found}:
         write_shard(out.folder, i, none, none, none)
-    return out
+    if shards <= FILES or local_path(out.folder) is None:  # what isn't mounted is read whole, so it stays small
+        return out
+    width = -(-shards // FILES)
+    files, folder = -(-shards // width), work_folder(spark, f"{name}-files")
+    spark.range(0, files, 1, files).transform(in_arrow, partial(_end_to_end, folder=out.folder, to=folder, shards=shards, width=width), "id long").collect()
+    remove_folder(spark, out.folder)
+    return Counts(folder, shards, width)
 
 
 # ---- sets of keys -------------------------------------------------------------------------

@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .counts import FAN, widest
+from .counts import FAN, narrower, widest
 from .eliasfano import EliasFano, pack, unpack
 from .shared import RangeHash, in_arrow, lower_ascii, map_file, mix, pieces, put_file, settle, table, texts_of, work_folder
 
@@ -313,7 +313,7 @@ def _parted(blocks: DataFrame, split, shards: int, fan: int, *more: Column) -> D
     """Blocks of ranges of shards, split until each is of one shard."""
     width = widest(shards, fan)
     while width > 1:
-        width //= fan
+        width = narrower(width, shards, fan)
         blocks = blocks.repartition("shard", *more).transform(in_arrow, partial(split, shards=shards, width=width), blocks.schema)
     return blocks
 

@@ -109,3 +109,40 @@ def test_a_folder_without_scheme_is_of_the_default_file_system(spark):
     assert shared.shared_root(spark).startswith("file:") and shared.local_path("hdfs://x/y") is None
     assert shared.local_path(shared.shared_root(spark) + "/a").endswith("/a")
     assert pa.__version__
+
+
+def test_a_lookup_visits_few_files_however_many_shards(spark):
+    """Keys that share their first hash, shards without keys, and a last file of fewer shards."""
+    shards, rng = 150, np.random.default_rng(4)
+    keys = rng.integers(0, 2**62, 4000, dtype=np.uint64) * np.uint64(4)
+    keys[C.shard_of(keys, shards) == 70] = keys[0]
+    second = rng.integers(0, 3, 4000, dtype=np.uint64)
+
+    def work(batches):
+        for batch in batches:
+            for seed in batch.column(0).to_pylist():
+                rows = np.random.default_rng(seed).integers(0, 4000, 3000)
+                held = C.Gathering(shards, C.widest(shards))
+                yield from held.add(keys[rows], second[rows])
+                yield from held.rest()
+
+    known = C.counted(spark.range(6, numPartitions=2).mapInArrow(work, C.BLOCKS), shards, "test", least=1)
+    wanted = Counter()
+    for seed in range(6):
+        rows = np.random.default_rng(seed).integers(0, 4000, 3000)
+        wanted.update(zip(keys[rows].tolist(), second[rows].tolist()))
+    ask = np.append(keys, keys[:5]), np.append(second, [np.uint64(9)] * 5)
+    assert known.of(*ask).tolist() == [wanted[k, s] for k, s in zip(ask[0].tolist(), ask[1].tolist())]
+    assert len(known.files.held) <= len(C.ARRAYS) * C.FILES
+
+
+@pytest.mark.parametrize("shards, fan", [(1, 256), (256, 256), (257, 256), (847, 256), (70000, 256), (22, 3), (13, 2)])
+def test_first_ranges_are_many_and_each_lies_in_one_of_the_round_before(shards, fan):
+    width = C.widest(shards, fan)
+    ranges = -(-shards // width)
+    assert ranges <= fan and (ranges == shards or ranges > fan / 3)
+    while width > 1:
+        after = C.narrower(width, shards, fan)
+        assert width % after == 0 and 1 < width // after <= fan
+        width = after
+    assert width == 1
