@@ -139,20 +139,26 @@ class _Cells:
             at = i[order]
             return order[np.arange(len(at)) - np.searchsorted(at, at) < k]
 
-        def near(here, own, bound, mine, there, core, theirs, name):
-            """Query, point and reach of what two blocks have within bounds."""
+        def near(here, own, limit, mine, there, core, theirs, name):
+            """Query, point and reach of what two blocks have within limits."""
             # a product of matrices says who may be near, the difference of vectors decides
             a, b = (here**2).sum(axis=1), (there**2).sum(axis=1)
-            about = np.sqrt(np.maximum(a[:, None] + b - 2 * (here @ there.T), 0))
-            about = np.maximum(np.maximum(about, core), own[:, None])
-            about[mine[:, None] == theirs] = np.inf
-            within = np.partition(about, k - 1, axis=1)[:, k - 1] if k < len(name) else about.max(axis=1)
-            limit = np.minimum(bound, within) + _NEAR * (1 + np.sqrt(a + b.max()))
-            i, j = np.nonzero((about <= limit[:, None]) & np.isfinite(about))
+            about = here @ there.T
+            about *= -2
+            about += b
+            if np.isin(mine, theirs).any():
+                about[mine[:, None] == theirs] = np.inf
+            free = np.flatnonzero(np.isinf(limit))
+            if len(free):  # of queries that have no limit yet the k-th here is one
+                some = np.maximum(np.maximum(np.sqrt(np.maximum(about[free] + a[free, None], 0)), core), own[free, None])
+                limit = limit.copy()
+                limit[free] = np.partition(some, k - 1, axis=1)[:, k - 1] if k < len(name) else some.max(axis=1)
+            limit = limit + _NEAR * (1 + np.sqrt(a + b.max()))
+            i, j = np.nonzero(about <= (limit**2 - a)[:, None])
+            fit = (np.maximum(core[j], own[i]) <= limit[i]) & np.isfinite(about[i, j])
+            i, j = i[fit], j[fit]
             reach = np.maximum(np.maximum(np.linalg.norm(there[j] - here[i], axis=1), core[j]), own[i])
-            i, j, reach = (z[reach <= bound[i]] for z in (i, j, reach))
-            best = first(i, name[j], reach)
-            return i[best], name[j[best]], reach[best]
+            return i, name[j], reach
 
         def pairs(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(x):
@@ -161,7 +167,8 @@ class _Cells:
             here, there = _matrix(list(q["v"])), _matrix(list(x["v"]))
             own, bound, mine, mask = (q[c].to_numpy() for c in ("core", "bound", "comp", "mask"))
             core, theirs, name, cell = (x[c].to_numpy() for c in ("core", "comp", "p", "cell"))
-            out = []
+            # the k nearest so far, and the limit that they are for the next block
+            best_name, best = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
             for c in np.unique(cell):
                 asks = np.flatnonzero(mask >> (c % CELLS) & 1)
                 s, e = np.searchsorted(cell, [c, c + 1])
@@ -169,11 +176,21 @@ class _Cells:
                     to = slice(y, min(e, y + BLOCK))
                     for z in range(0, len(asks), BLOCK):
                         at = asks[z : z + BLOCK]
-                        i, found, reach = near(here[at], own[at], bound[at], mine[at], there[to], core[to], theirs[to], name[to])
-                        out.append((at[i], found, reach))
-            i, found, reach = (np.concatenate(z) if out else np.array([], int) for z in (zip(*out) if out else ((), (), ())))
-            best = first(i, found, reach)
-            return pd.DataFrame({"g": q["g"].to_numpy()[i[best]], "p": q["p"].to_numpy()[i[best]], "x": found[best], "reach": reach[best]})
+                        limit = np.minimum(bound[at], best[at, k - 1])
+                        i, found, reach = near(here[at], own[at], limit, mine[at], there[to], core[to], theirs[to], name[to])
+                        i = at[i]
+                        fit = reach <= np.minimum(bound[i], best[i, k - 1])
+                        if not fit.any():
+                            continue
+                        rows = np.unique(i[fit])
+                        old, place = np.nonzero(np.isfinite(best[rows]))
+                        i, found, reach = np.r_[i[fit], rows[old]], np.r_[found[fit], best_name[rows[old], place]], np.r_[reach[fit], best[rows[old], place]]
+                        top = first(i, found, reach)
+                        i, found, reach = i[top], found[top], reach[top]
+                        turn = np.arange(len(i)) - np.searchsorted(i, i)
+                        best[i, turn], best_name[i, turn] = reach, found
+            i, turn = np.nonzero(np.isfinite(best))
+            return pd.DataFrame({"g": q["g"].to_numpy()[i], "p": q["p"].to_numpy()[i], "x": best_name[i, turn], "reach": best[i, turn]})
 
         found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(pairs, "g long, p long, x long, reach double")
         line = Window.partitionBy("g", "p").orderBy("reach", "x")

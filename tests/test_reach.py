@@ -112,3 +112,19 @@ def test_a_query_is_sent_once_for_each_part_of_cells(spark, rounds, cells, wide)
         assert [x for _, x in sorted(got[i])] == [j for j in np.argsort(far, kind="stable") if j != i][:4]
     parts = -(-known.cells.agg(F.max("cell")).first()[0] // cells) + 1
     assert spark.read.parquet(work.paths["aimed"][-1]).count() <= 400 * parts
+
+
+def test_lists_that_are_longer_than_a_block(spark, rounds):
+    """The limit of a query comes from several blocks."""
+    for name, value in (("BLOCK", 5), ("PIVOTS", 20)):
+        rounds.setattr(R, name, value)
+    data = np.round(blobs(6, 120, 3, 3, 40), 1)  # many equal distances
+    work = Work(spark, "long")
+    points = R._packed(work, frame(spark, {0: data}), "bin", "id", "v", False).select("g", "v", F.lit(1).cast("long").alias("w"), F.col("id").alias("first"), F.col("id").alias("p"))
+    got = {}
+    for r in R._lists(R._Cells(work, work.keep(points, "points")), 9).collect():
+        got.setdefault(r.p, []).append((r.reach, r.x))
+    for i, v in enumerate(data):
+        far = np.linalg.norm(data - v, axis=1)
+        far[i] = np.inf
+        assert np.allclose([d for d, _ in sorted(got[i])], np.sort(far)[:9], atol=1e-9)
